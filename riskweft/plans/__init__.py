@@ -1,6 +1,6 @@
 """Registered queries.  Importing the package fills the registry."""
 
 from riskweft.plans.registry import REGISTRY
-from riskweft.plans import cleaning, portfolio  # noqa: F401
+from riskweft.plans import analysis, cleaning, portfolio, quality  # noqa: F401
 
 __all__ = ["REGISTRY"]
