@@ -1,6 +1,14 @@
 """Registered queries.  Importing the package fills the registry."""
 
 from riskweft.plans.registry import REGISTRY
-from riskweft.plans import analysis, charts, cleaning, portfolio, quality  # noqa: F401
+from riskweft.plans import (  # noqa: F401
+    analysis,
+    charts,
+    cleaning,
+    models,
+    portfolio,
+    quality,
+    storage,
+)
 
 __all__ = ["REGISTRY"]
