@@ -139,6 +139,22 @@ def _f(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return _mapped(f_tail, f, d1, d2)
 
 
+@F.pandas_udf(DoubleType())
+def _by_kind(kind: pd.Series, x: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
+    def one(k, value, first, second):
+        given = [value, first] + ([second] if k == "f" else [])
+        if any(v is None or math.isnan(v) for v in given):
+            return None
+        return {"chi2": chi2_tail, "t": t_tails, "f": f_tail}[k](*given)
+
+    return pd.Series([one(*v) for v in zip(kind, x, d1, d2)], dtype="float64")
+
+
+def tail_p(kind: Column, statistic: Column, d1: Column, d2: Column) -> Column:
+    """P-value of a "chi2", "t" or "f" statistic, for tables that mix them."""
+    return _by_kind(kind, _double(statistic), _double(d1), _double(d2))
+
+
 def _double(c: Column) -> Column:
     return c.cast("double")
 

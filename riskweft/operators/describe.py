@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from riskweft.functions.shapiro import shapiro_wilk
-from riskweft.functions.tables import percent, stack_rows
+from riskweft.functions.tables import percent
 from riskweft.operators.missing import modal_value
 from riskweft.operators.profile import categorical_summary, value_counts_by_column
-from riskweft.operators.quantiles import plan_quantiles, quantiles
+from riskweft.operators.quantiles import quantile_values, quantiles
 from riskweft.operators.sampling import sample_rows
 from riskweft.roles import categorical_columns, numeric_columns, require_columns, require_numeric
 
@@ -20,73 +21,86 @@ LADDER = (1, 5, 10, 25, 50, 75, 90, 95, 99)
 SHAPIRO_ROWS = 5000
 
 
-def corrected_skewness(x: Column) -> Column:
-    """Sample skewness G1; null below 3 values, 0 for a constant."""
-    n = F.count(x).cast("double")
-    g1 = F.skewness(x)
-    return F.when(
-        n >= 3,
-        F.when(F.min(x) == F.max(x), F.lit(0.0)).otherwise(
-            g1 * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0))
-        ),
-    )
-
+def _moment_sums(column: str, shift: float | None, i: int) -> list[Column]:
+    """Plain sums of powers of x - shift, from which all moments follow.
 
-def corrected_kurtosis(x: Column) -> Column:
-    """Sample excess kurtosis G2; null below 4 values, 0 for a constant."""
-    n = F.count(x).cast("double")
-    g2 = F.kurtosis(x)
-    return F.when(
-        n >= 4,
-        F.when(F.min(x) == F.max(x), F.lit(0.0)).otherwise(
-            F.try_divide(n - 1, (n - 2) * (n - 3)) * ((n + 1) * g2 + 6)
-        ),
-    )
+    They compile to one tight loop for many columns, where a moment aggregate per
+    statistic does not.  With the median as shift the mean is at most one standard
+    deviation away, so nothing cancels.
+    """
+    x = F.col(column).cast("double")
+    d = x - F.lit(float(shift or 0.0))
+    return [
+        F.count(x).alias(f"__n{i}"),
+        F.min(x).alias(f"__min{i}"),
+        F.max(x).alias(f"__max{i}"),
+        F.sum(d).alias(f"__s1_{i}"),
+        F.sum(d * d).alias(f"__s2_{i}"),
+        F.sum(d * d * d).alias(f"__s3_{i}"),
+        F.sum(d * d * d * d).alias(f"__s4_{i}"),
+    ]
+
+
+def _shape(n: int, low, high, s1, s2, s3, s4) -> dict[str, float | None]:
+    """Moments about the mean and bias-corrected shape from the sums of one column."""
+    out = dict.fromkeys(("offset", "std", "variance", "skewness", "kurtosis"))
+    if n == 0:
+        return out
+    e1, e2, e3, e4 = s1 / n, s2 / n, s3 / n, s4 / n
+    constant = low == high
+    m2 = 0.0 if constant else e2 - e1**2
+    out["offset"] = e1
+    if n > 1:
+        out["variance"] = m2 * n / (n - 1)
+        out["std"] = math.sqrt(out["variance"])
+    if n > 2:
+        m3 = e3 - 3 * e1 * e2 + 2 * e1**3
+        g1 = 0.0 if constant else m3 / m2**1.5
+        out["skewness"] = g1 * math.sqrt(n * (n - 1)) / (n - 2)
+    if n > 3:
+        m4 = e4 - 4 * e1 * e3 + 6 * e1**2 * e2 - 3 * e1**4
+        corrected = 0.0 if constant else (n + 1) * (m4 / m2**2 - 3) + 6
+        out["kurtosis"] = corrected * (n - 1) / ((n - 2) * (n - 3))
+    return out
+
+
+_NUMERIC_SCHEMA = (
+    "column string, count bigint, mean double, std double, min double, p25 double, p50 double, "
+    "p75 double, max double, median double, range double, variance double, skewness double, "
+    "kurtosis double, missing bigint, missing_pct double"
+)
 
 
 def describe_numeric(
     df: DataFrame, columns: Sequence[str] | None = None, accuracy: int | None = None
 ) -> DataFrame:
-    """One row per numeric column: moments, quartiles, shape and missing share."""
+    """One row per numeric column: moments, quartiles, shape and missing share.
+
+    The table is reduced to one row of sums; only that row reaches the driver.
+    """
     if columns:
         require_columns(df, columns)
     names = [c for c in numeric_columns(df) if not columns or c in columns]
     if not names:
         raise ValueError("No numeric columns to describe")
-    plan = plan_quantiles(df, {c: [0.25, 0.5, 0.75] for c in names}, accuracy=accuracy)
-    aggregates, rows = [], []
+    levels = quantile_values(df, {c: [0.25, 0.5, 0.75] for c in names}, accuracy)
+    aggregates = [F.count(F.lit(1)).alias("__rows")]
     for i, c in enumerate(names):
-        x = F.col(c).cast("double")
-        aggregates.append(
-            F.struct(
-                F.count(x).alias("count"),
-                F.avg(x).alias("mean"),
-                F.stddev_samp(x).alias("std"),
-                F.min(x).alias("min"),
-                plan[c, 0.25].alias("p25"),
-                plan[c, 0.5].alias("p50"),
-                plan[c, 0.75].alias("p75"),
-                F.max(x).alias("max"),
-                F.var_samp(x).alias("variance"),
-                corrected_skewness(x).alias("skewness"),
-                corrected_kurtosis(x).alias("kurtosis"),
-                F.count_if(x.isNull()).alias("missing"),
-                F.count(F.lit(1)).alias("rows"),
-            ).alias(f"__c{i}")
-        )
-        s = F.col(f"__c{i}")
-        shown = ("count", "mean", "std", "min", "p25", "p50", "p75", "max")
+        aggregates += _moment_sums(c, levels[c, 0.5], i)
+    row = df.agg(*aggregates).first()
+    total, rows = row["__rows"], []
+    for i, c in enumerate(names):
+        n, low, high = (row[f"__{k}{i}"] for k in ("n", "min", "max"))
+        m = _shape(n, low, high, *[row[f"__s{k}_{i}"] for k in (1, 2, 3, 4)])
+        q1, q2, q3 = (levels[c, p] for p in (0.25, 0.5, 0.75))
+        mean = None if n == 0 else q2 + m["offset"]
+        spread = None if n == 0 else high - low
+        share = 100.0 * (total - n) / total if total else None
         rows.append(
-            {
-                "column": F.lit(c),
-                **{k: s[k] for k in shown},
-                "median": s["p50"],
-                "range": s["max"] - s["min"],
-                **{k: s[k] for k in ("variance", "skewness", "kurtosis", "missing")},
-                "missing_pct": percent(s["missing"], s["rows"]),
-            }
+            (c, n, mean, m["std"], low, q1, q2, q3, high, q2, spread, m["variance"],
+             m["skewness"], m["kurtosis"], total - n, share)
         )
-    return stack_rows(plan.rows.agg(*aggregates), rows)
+    return df.sparkSession.createDataFrame(rows, _NUMERIC_SCHEMA)
 
 
 def describe_categorical(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

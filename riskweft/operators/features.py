@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskweft.operators.metrics import CLAIMS, PREMIUM, has_claim
-from riskweft.operators.quantiles import plan_quantiles
+from riskweft.operators.quantiles import quantile_values
 
 # feature -> columns it needs, in the order features are built
 FEATURES: dict[str, tuple[str, ...]] = {
@@ -81,8 +81,7 @@ def derive_features(
     }
     added = {n: make() for n, make in row_wise.items() if n in build}
     if "IsHighValue" in build:
-        plan = plan_quantiles(df, {"SumInsured": [0.75]}, accuracy=accuracy)
-        cut = plan.rows.agg(plan["SumInsured", 0.75]).first()[0]
+        cut = quantile_values(df, {"SumInsured": [0.75]}, accuracy)["SumInsured", 0.75]
         high = F.lit(False) if cut is None else F.coalesce(F.col("SumInsured") > cut, F.lit(False))
         added["IsHighValue"] = high.cast("int")
     if added:

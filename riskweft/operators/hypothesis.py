@@ -6,12 +6,12 @@ tail probability on the single result row.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from riskweft.functions.pvalues import chi2_p, f_p, t_p
+from riskweft.functions.pvalues import chi2_p, f_p, t_p, tail_p
 from riskweft.operators.metrics import CLAIMS, PREMIUM, largest_groups
 from riskweft.roles import require_columns
 
@@ -32,15 +32,46 @@ def _metric(metric: str) -> Column:
     return (F.col(PREMIUM) - F.col(CLAIMS)).cast("double")
 
 
-def _rows(df: DataFrame, group: str, selected: Sequence | None) -> DataFrame:
-    rows = df.withColumn("Group", F.col(group)).dropna(subset=["Group"])
-    return rows if selected is None else rows.filter(F.col("Group").isin(list(selected)))
-
-
 def _error(message: str, as_type: str = "double") -> Column:
     return F.raise_error(F.lit(message)).cast(as_type)
 
 
+# --- one row per group -----------------------------------------------------------------
+
+
+def group_summary(
+    df: DataFrame,
+    group: str,
+    metrics: Mapping[str, Column],
+    selected: Sequence | None = None,
+    top_k: int | None = None,
+) -> DataFrame:
+    """Per group: row count, claim counts, and (n, mean, variance) of each metric.
+
+    Everything any of the tests needs, from one aggregation.  ``top_k`` keeps the
+    groups with most rows.
+    """
+    require_columns(df, [group])
+    rows = df.withColumn("Group", F.col(group)).filter(F.col("Group").isNotNull())
+    if selected is not None:
+        rows = rows.filter(F.col("Group").isin(list(selected)))
+    aggregates = [F.count(F.lit(1)).alias("PolicyCount")]
+    if CLAIMS in df.columns:
+        has = F.coalesce(F.col(CLAIMS) > 0, F.lit(False))
+        aggregates += [
+            F.count_if(has).alias("with_claim"),
+            F.count_if(~has).alias("without_claim"),
+        ]
+    for name, value in metrics.items():
+        aggregates += [
+            F.count(value).alias(f"n_{name}"),
+            F.avg(value).alias(f"mean_{name}"),
+            F.var_samp(value).alias(f"variance_{name}"),
+        ]
+    table = rows.groupBy("Group").agg(*aggregates)
+    return table if top_k is None else largest_groups(table, top_k)
+
+
 # --- chi-squared ---------------------------------------------------------------------
 
 
@@ -49,15 +80,7 @@ def claim_contingency(
 ) -> DataFrame:
     """Per group: rows with and without a claim."""
     require_columns(df, [group, CLAIMS])
-    has = F.coalesce(F.col(CLAIMS) > 0, F.lit(False))
-    table = _rows(df, group, selected).groupBy("Group").agg(
-        F.count_if(has).alias("with_claim"),
-        F.count_if(~has).alias("without_claim"),
-        F.count(F.lit(1)).alias("PolicyCount"),
-    )
-    if top_k is not None:
-        table = largest_groups(table, top_k)
-    return table.drop("PolicyCount")
+    return group_summary(df, group, {}, selected, top_k).drop("PolicyCount")
 
 
 def contingency_statistic(cells: DataFrame, row: str, column: str, n: str) -> DataFrame:
@@ -131,7 +154,10 @@ def chi_squared_test(
 ) -> DataFrame:
     """Does claim frequency differ between groups?  One row."""
     _check(df, group, alpha)
-    table = claim_contingency(df, group, selected, top_k)
+    return _chi_squared_result(claim_contingency(df, group, selected, top_k), group, alpha)
+
+
+def _chi_squared_of(table: DataFrame) -> DataFrame:
     w, wo = F.col("with_claim").cast("double"), F.col("without_claim").cast("double")
     sums = table.agg(
         F.count(F.lit(1)).alias("rows"),
@@ -142,7 +168,7 @@ def chi_squared_test(
         F.sum(1.0 / (w + wo)).alias("row_inverse"),
     )
     checked = F.when(F.col("rows") < 2, _error("Need at least 2 groups for chi-squared test", "bigint"))
-    result = _chi_squared(
+    return _chi_squared(
         sums.select(
             checked.otherwise(F.col("rows")).alias("rows"),
             ((F.col("w") > 0).cast("long") + (F.col("wo") > 0).cast("long")).alias("columns"),
@@ -157,6 +183,10 @@ def chi_squared_test(
             ).alias("column_inverse"),
         )
     )
+
+
+def _chi_squared_result(table: DataFrame, group: str, alpha: float) -> DataFrame:
+    result = _chi_squared_of(table)
     p = chi2_p(F.col("statistic"), F.col("degrees_of_freedom"))
     result = _decide(result.withColumn("p_value", p), alpha)
     return _explain(
@@ -180,17 +210,23 @@ def t_test(
 ) -> DataFrame:
     """Welch's t-test between two groups, with Cohen's d.  One row."""
     _check(df, group, alpha, metric)
-    value = _metric(metric)
-    a, b = F.col(group) == first, F.col(group) == second
-    sums = df.filter(a | b).agg(
-        F.count_if(a).alias("rows1"),
-        F.count_if(b).alias("rows2"),
-        F.count(F.when(a, value)).alias("n1"),
-        F.count(F.when(b, value)).alias("n2"),
-        F.avg(F.when(a, value)).alias("mean_group1"),
-        F.avg(F.when(b, value)).alias("mean_group2"),
-        F.var_samp(F.when(a, value)).alias("v1"),
-        F.var_samp(F.when(b, value)).alias("v2"),
+    table = group_summary(df, group, {metric: _metric(metric)}, [first, second])
+    return _t_result(table, first, second, metric, alpha)
+
+
+def _t_of(table: DataFrame, first, second, metric: str) -> DataFrame:
+    def of(value, column: str) -> Column:
+        return F.max(F.when(F.col("Group") == value, F.col(column)))
+
+    sums = table.agg(
+        F.coalesce(of(first, "PolicyCount"), F.lit(0)).alias("rows1"),
+        F.coalesce(of(second, "PolicyCount"), F.lit(0)).alias("rows2"),
+        of(first, f"n_{metric}").alias("n1"),
+        of(second, f"n_{metric}").alias("n2"),
+        of(first, f"mean_{metric}").alias("mean_group1"),
+        of(second, f"mean_{metric}").alias("mean_group2"),
+        of(first, f"variance_{metric}").alias("v1"),
+        of(second, f"variance_{metric}").alias("v2"),
     )
     empty = (F.col("rows1") == 0) | (F.col("rows2") == 0)
     few = (F.col("n1") < 2) | (F.col("n2") < 2)
@@ -206,7 +242,7 @@ def t_test(
         F.pow(e1, F.lit(2)) / (F.col("n1") - 1) + F.pow(e2, F.lit(2)) / (F.col("n2") - 1),
     )
     pooled = F.sqrt((F.col("v1") + F.col("v2")) / 2)
-    result = sums.select(
+    return sums.select(
         (F.try_divide(gap, F.sqrt(e1 + e2)) + guard).alias("statistic"),
         dof.alias("degrees_of_freedom"),
         "mean_group1",
@@ -215,6 +251,10 @@ def t_test(
         "n1",
         "n2",
     )
+
+
+def _t_result(table: DataFrame, first, second, metric: str, alpha: float) -> DataFrame:
+    result = _t_of(table, first, second, metric)
     p = t_p(F.col("statistic"), F.col("degrees_of_freedom"))
     result = _decide(result.withColumn("p_value", p), alpha)
     return _explain(
@@ -242,16 +282,18 @@ def group_means(
     at_least: int = 2,
 ) -> DataFrame:
     """Per group: count, mean and variance of the metric, for large enough groups."""
+    name = metric if isinstance(metric, str) else "value"
     value = _metric(metric) if isinstance(metric, str) else metric
-    table = _rows(df, group, selected).groupBy("Group").agg(
-        F.count(F.lit(1)).alias("PolicyCount"),
-        F.count(value).alias("n"),
-        F.avg(value).alias("mean"),
-        F.var_samp(value).alias("variance"),
-    )
-    if top_k is not None:
-        table = largest_groups(table, top_k)
-    return table.filter(F.col("n") >= at_least).drop("PolicyCount")
+    return _means(group_summary(df, group, {name: value}, selected, top_k), name, at_least)
+
+
+def _means(table: DataFrame, metric: str, at_least: int) -> DataFrame:
+    return table.select(
+        "Group",
+        F.col(f"n_{metric}").alias("n"),
+        F.col(f"mean_{metric}").alias("mean"),
+        F.col(f"variance_{metric}").alias("variance"),
+    ).filter(F.col("n") >= at_least)
 
 
 def f_statistic(groups: DataFrame) -> DataFrame:
@@ -289,12 +331,21 @@ def anova_test(
 ) -> DataFrame:
     """Does the metric differ between groups?  One row; means in ``group_means``."""
     _check(df, group, alpha, metric)
-    result = f_statistic(group_means(df, group, metric, selected, top_k))
+    table = group_summary(df, group, {metric: _metric(metric)}, selected, top_k)
+    return _anova_result(table, group, metric, alpha)
+
+
+def _anova_of(table: DataFrame, metric: str) -> DataFrame:
+    result = f_statistic(_means(table, metric, 2))
     few = F.when(
         F.col("num_groups") < 2,
         _error("Need at least 2 groups with sufficient data for ANOVA"),
     ).otherwise(F.col("statistic"))
-    result = result.withColumn("statistic", few)
+    return result.withColumn("statistic", few)
+
+
+def _anova_result(table: DataFrame, group: str, metric: str, alpha: float) -> DataFrame:
+    result = _anova_of(table, metric)
     p = f_p(F.col("statistic"), F.col("df_between"), F.col("df_within"))
     result = _decide(result.withColumn("p_value", p), alpha)
     return _explain(
@@ -344,34 +395,58 @@ class TestSpec:
 
 
 def run_battery(df: DataFrame, specs: Sequence[TestSpec], alpha: float = 0.05) -> DataFrame:
-    """All tests as one table: statistic, p-value and decision per hypothesis."""
+    """All tests as one table: statistic, p-value and decision per hypothesis.
+
+    Tests on the same groups share one aggregation of the rows; its result, a row per
+    group, is cached because each statistic reads it more than once.
+    """
+    summaries: dict[tuple, DataFrame] = {}
+
+    def summary(spec: TestSpec) -> DataFrame:
+        key = (spec.group, spec.selected or spec.pair, spec.top_k)
+        if key not in summaries:
+            _check(df, spec.group, alpha, spec.metric)
+            metrics = {m: _metric(m) for m in METRICS}
+            summaries[key] = group_summary(df, *key[:1], metrics, *key[1:]).persist()
+        return summaries[key]
+
     parts = []
     for spec in specs:
+        table = summary(spec)
         if spec.test == "chi_squared":
-            result = chi_squared_test(df, spec.group, spec.selected, spec.top_k, alpha)
-            label = "Chi-Squared"
+            result, label, kind = _chi_squared_of(table), "Chi-Squared", "chi2"
         elif spec.test == "anova":
-            result = anova_test(df, spec.group, spec.metric, spec.selected, spec.top_k, alpha)
-            label = "ANOVA"
+            result, label, kind = _anova_of(table, spec.metric), "ANOVA", "f"
         elif spec.test == "t_test":
-            result = t_test(df, spec.group, *spec.pair, metric=spec.metric, alpha=alpha)
-            label = "T-Test"
+            result, label, kind = _t_of(table, *spec.pair, spec.metric), "T-Test", "t"
         else:
             raise ValueError(f"Unknown test: {spec.test}")
+        dofs = ("df_between", "df_within") if kind == "f" else ("degrees_of_freedom", None)
         parts.append(
             result.select(
                 F.lit(spec.hypothesis).alias("hypothesis"),
                 F.lit(label).alias("test"),
+                F.lit(kind).alias("kind"),
                 "statistic",
-                "p_value",
-                F.when(F.col("reject_null"), "REJECT").otherwise("FAIL TO REJECT").alias("decision"),
-                F.col("reject_null").alias("significant"),
+                F.col(dofs[0]).cast("double").alias("d1"),
+                (F.col(dofs[1]) if dofs[1] else F.lit(None)).cast("double").alias("d2"),
             )
         )
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out
+    # One call for all p-values.
+    p = tail_p(F.col("kind"), F.col("statistic"), F.col("d1"), F.col("d2"))
+    out = _decide(out.coalesce(1).withColumn("p_value", p), alpha)
+    decision = F.when(F.col("reject_null"), "REJECT").otherwise("FAIL TO REJECT")
+    return out.select(
+        "hypothesis",
+        "test",
+        "statistic",
+        "p_value",
+        decision.alias("decision"),
+        F.col("reject_null").alias("significant"),
+    )
 
 
 def standard_battery(first, second, top_k: int = 20) -> list[TestSpec]:

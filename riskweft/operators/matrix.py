@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -10,7 +12,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskweft.functions.labels import correlation_strength
-from riskweft.functions.tables import null_count, stack_rows
 from riskweft.operators.ordering import running_total, sorted_blocks, with_position
 from riskweft.roles import pick_numeric
 
@@ -18,7 +19,7 @@ METHODS = ("pearson", "spearman", "kendall")
 
 # Kendall: distinct pairs one task sorts, and blocks per axis (so at most its square
 # of block cells in one task).
-BLOCK_ROWS = 250_000
+BLOCK_ROWS = 100_000
 MOST_BLOCKS = 2_000
 
 
@@ -37,34 +38,112 @@ def _columns(df: DataFrame, columns: Sequence[str] | None) -> list[str]:
     return names
 
 
-def _mirrored(pairs: DataFrame, diagonal: DataFrame | None = None) -> DataFrame:
-    """Add (b, a) for each (a, b), and the diagonal."""
-    flipped = pairs.select(
-        F.col("column2").alias("column1"), F.col("column1").alias("column2"), "value"
-    )
-    out = pairs.unionByName(flipped)
-    return out if diagonal is None else out.unionByName(diagonal)
+def _union(parts: Sequence[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
-def _pairwise(df: DataFrame, names: Sequence[str], measure, same: bool) -> DataFrame:
-    """Evaluate ``measure(x, y)`` for all pairs in one aggregation, as a full matrix."""
-    pairs = list(combinations(names, 2)) + ([(c, c) for c in names] if same else [])
-    wide = df.agg(*[measure(a, b).alias(f"__v{i}") for i, (a, b) in enumerate(pairs)])
-    rows = []
-    for i, (a, b) in enumerate(pairs):
-        for p, q in {(a, b), (b, a)}:
-            rows.append({"column1": F.lit(p), "column2": F.lit(q), "value": F.col(f"__v{i}")})
-    return stack_rows(wide, rows)
+@dataclass(frozen=True)
+class _Pair:
+    """Sums of one pair of columns over the rows where both are present."""
+
+    n: int
+    sx: float
+    sy: float
+    sxx: float
+    syy: float
+    sxy: float
+    varies: bool
+
+    def covariance(self) -> float | None:
+        return (self.sxy - self.sx * self.sy / self.n) / (self.n - 1) if self.n > 1 else None
+
+    def correlation(self) -> float | None:
+        if self.n < 2 or not self.varies:
+            return None
+        xx = self.sxx - self.sx**2 / self.n
+        yy = self.syy - self.sy**2 / self.n
+        if xx <= 0 or yy <= 0:
+            return None
+        r = (self.sxy - self.sx * self.sy / self.n) / (math.sqrt(xx) * math.sqrt(yy))
+        return max(-1.0, min(1.0, r))
+
+
+def _pair_sums(
+    df: DataFrame, names: Sequence[str], centres: dict[str, float] | None = None
+) -> dict[tuple[str, str], _Pair]:
+    """All pairs (and each column with itself) from one row of plain sums.
+
+    Values are shifted by their column mean first, so the products do not cancel.
+    Columns without nulls share their sums over all pairs.  Known ``centres`` of
+    complete columns save the pass that finds the means.
+    """
+    x = {c: F.col(c).cast("double") for c in names}
+    if centres is None:
+        row = df.agg(
+            F.count(F.lit(1)).alias("rows"),
+            *[F.count(c).alias(f"n{i}") for i, c in enumerate(names)],
+            *[F.avg(x[c]).alias(f"m{i}") for i, c in enumerate(names)],
+        ).first()
+        centres = {c: row[f"m{i}"] or 0.0 for i, c in enumerate(names)}
+        complete = {c for i, c in enumerate(names) if row[f"n{i}"] == row["rows"]}
+    else:
+        complete = set(names)
+    d = {c: x[c] - F.lit(float(centres[c])) for c in names}
+    pairs = [(c, c) for c in names] + list(combinations(names, 2))
+    aggregates = []
+    for i, c in enumerate(names):
+        aggregates += [
+            F.count(x[c]).alias(f"n{i}"),
+            F.sum(d[c]).alias(f"s{i}"),
+            F.sum(d[c] * d[c]).alias(f"ss{i}"),
+            (F.min(x[c]) < F.max(x[c])).alias(f"v{i}"),
+        ]
+    for k, (a, b) in enumerate(pairs):
+        if a == b:
+            continue
+        aggregates.append(F.sum(d[a] * d[b]).alias(f"xy{k}"))
+        if not {a, b} <= complete:
+            both = x[a].isNotNull() & x[b].isNotNull()
+            p, q = F.when(both, d[a]), F.when(both, d[b])
+            aggregates += [
+                F.count(p).alias(f"pn{k}"),
+                F.sum(p).alias(f"px{k}"),
+                F.sum(q).alias(f"py{k}"),
+                F.sum(p * p).alias(f"pxx{k}"),
+                F.sum(q * q).alias(f"pyy{k}"),
+                ((F.min(p) < F.max(p)) & (F.min(q) < F.max(q))).alias(f"pv{k}"),
+            ]
+    row = df.agg(*aggregates).first()
+    place = {c: i for i, c in enumerate(names)}
+    out = {}
+    for k, (a, b) in enumerate(pairs):
+        i, j = place[a], place[b]
+        if a == b:
+            values = [row[f"n{i}"], row[f"s{i}"], row[f"s{i}"], *[row[f"ss{i}"]] * 3, row[f"v{i}"]]
+        elif {a, b} <= complete:
+            values = [
+                row[f"n{i}"], row[f"s{i}"], row[f"s{j}"], row[f"ss{i}"], row[f"ss{j}"],
+                row[f"xy{k}"], row[f"v{i}"] and row[f"v{j}"],
+            ]
+        else:
+            values = [row[f"p{m}{k}"] for m in ("n", "x", "y", "xx", "yy")]
+            values += [row[f"xy{k}"], row[f"pv{k}"]]
+        out[a, b] = _Pair(*[0 if v is None else v for v in values[:6]], bool(values[6]))
+    return out
+
+
+def _long(df: DataFrame, values: dict[tuple[str, str], float | None]) -> DataFrame:
+    rows = [(a, b, v) for (a, b), v in values.items()]
+    rows += [(b, a, v) for (a, b), v in values.items() if a != b]
+    return df.sparkSession.createDataFrame(rows, "column1 string, column2 string, value double")
 
 
 def covariance_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    names = _columns(df, columns)
-    return _pairwise(
-        df,
-        names,
-        lambda a, b: F.covar_samp(F.col(a).cast("double"), F.col(b).cast("double")),
-        same=True,
-    )
+    pairs = _pair_sums(df, _columns(df, columns))
+    return _long(df, {k: p.covariance() for k, p in pairs.items()})
 
 
 def correlation_matrix(
@@ -75,41 +154,39 @@ def correlation_matrix(
         raise ValueError(f"Method must be one of {METHODS}")
     names = _columns(df, columns)
     if method == "pearson":
-        return _pairwise(df, names, pearson, same=True)
-    diagonal = stack_rows(
-        # 1 where the column varies, null where a correlation is undefined
-        df.agg(*[F.when(F.min(c) < F.max(c), 1.0).alias(f"__v{i}") for i, c in enumerate(names)]),
-        [
-            {"column1": F.lit(c), "column2": F.lit(c), "value": F.col(f"__v{i}")}
-            for i, c in enumerate(names)
-        ],
-    )
-    if method == "kendall":
-        parts = []
-        for a, b in combinations(names, 2):
-            value = kendall_tau(df, a, b)
-            parts.append(
-                value.select(F.lit(a).alias("column1"), F.lit(b).alias("column2"), F.col("tau").alias("value"))
-            )
-        return _mirrored(_union(parts), diagonal)
-
+        return _long(df, _correlations(_pair_sums(df, names)))
     rows = df.select(*[F.col(c).cast("double").alias(c) for c in names])
-    nulls = rows.agg(sum([null_count(c) for c in names[1:]], null_count(names[0]))).first()[0]
-    if not nulls:
-        ranked = average_ranks(rows, names)
-        return _pairwise(ranked, names, pearson, same=False).unionByName(diagonal)
-    parts = []
+    if method == "kendall":
+        values = {(a, b): kendall_tau(rows, a, b).first()["tau"] for a, b in combinations(names, 2)}
+        return _long(df, {**_diagonal(rows, names), **values})
+
+    found = rows.agg(
+        F.count(F.lit(1)).alias("rows"), *[F.count(c).alias(f"n{i}") for i, c in enumerate(names)]
+    ).first()
+    if all(found[f"n{i}"] == found["rows"] for i in range(len(names))):
+        return _long(df, _rank_correlations(rows, names, found["rows"]))
+    values = {}
     for a, b in combinations(names, 2):
-        ranked = average_ranks(rows.select(a, b).dropna(), [a, b])
-        parts.append(_pairwise(ranked, [a, b], pearson, same=False))
-    return _union(parts).unionByName(diagonal)
+        pair = rows.select(a, b).dropna()
+        values[a, b] = _rank_correlations(pair, [a, b])[a, b]
+    return _long(df, {**_diagonal(rows, names), **values})
 
 
-def _union(parts: Sequence[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+def _correlations(pairs: dict[tuple[str, str], _Pair]) -> dict[tuple[str, str], float | None]:
+    return {(a, b): (1.0 if p.varies else None) if a == b else p.correlation() for (a, b), p in pairs.items()}
+
+
+def _rank_correlations(rows: DataFrame, names: Sequence[str], n: int | None = None):
+    # Average ranks of n rows have the mean (n + 1) / 2, ties or not.
+    n = rows.count() if n is None else n
+    centres = dict.fromkeys(names, (n + 1) / 2)
+    return _correlations(_pair_sums(average_ranks(rows, names), names, centres))
+
+
+def _diagonal(rows: DataFrame, names: Sequence[str]) -> dict[tuple[str, str], float | None]:
+    """1 for a column that varies, null where a correlation is undefined."""
+    row = rows.agg(*[(F.min(c) < F.max(c)).alias(f"v{i}") for i, c in enumerate(names)]).first()
+    return {(c, c): 1.0 if row[f"v{i}"] else None for i, c in enumerate(names)}
 
 
 def highly_correlated(

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from riskweft.operators.quantiles import quantile_values
 from riskweft.roles import require_columns, require_numeric
 
 CLAIMS = "TotalClaims"
@@ -25,9 +26,16 @@ def has_claim(claims: str = CLAIMS) -> Column:
     return F.coalesce(F.col(claims) > 0, F.lit(False))
 
 
+def present(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows without nulls in the columns, as conditions a scan can push down."""
+    for c in columns:
+        df = df.filter(F.col(c).isNotNull())
+    return df
+
+
 def _grouped(df: DataFrame, by: Sequence[str]):
     require_columns(df, by)
-    return df.dropna(subset=list(by)).groupBy(*by)
+    return present(df, by).groupBy(*by)
 
 
 def loss_ratio(df: DataFrame, claims: str = CLAIMS, premium: str = PREMIUM) -> DataFrame:
@@ -75,7 +83,7 @@ def kpis(
     groups, so choosing them costs no second look at the rows.
     """
     require_columns(df, [group, PREMIUM, CLAIMS])
-    rows = df.select(F.col(group).alias("Group"), PREMIUM, CLAIMS).dropna(subset=["Group"])
+    rows = present(df.select(F.col(group).alias("Group"), PREMIUM, CLAIMS), ["Group"])
     if selected is not None:
         rows = rows.filter(F.col("Group").isin(list(selected)))
     claims, premium = F.col(CLAIMS), F.col(PREMIUM)
@@ -218,14 +226,12 @@ def risk_matrix_wide(matrix: DataFrame, row: str = "Province", column: str = "Ve
 
 def target_stats(df: DataFrame, target: str = CLAIMS) -> DataFrame:
     """Mean, median, maximum of the target and the share of positive values."""
-    from riskweft.operators.quantiles import plan_quantiles
-
     require_numeric(df, [target])
-    plan = plan_quantiles(df, {target: [0.5]})
+    median = quantile_values(df, {target: [0.5]})[target, 0.5]
     x = F.col(target)
-    return plan.rows.agg(
+    return df.agg(
         F.avg(x).alias("mean"),
-        plan[target, 0.5].alias("median"),
+        F.lit(median).cast("double").alias("median"),
         F.max(x).alias("max"),
         F.count_if(x > 0).alias("positive"),
         F.try_divide(F.count_if(x > 0) * 100.0, F.count(F.lit(1))).alias("positive_pct"),

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from riskweft.functions.tables import null_count
 from riskweft.operators.ordering import sorted_blocks
-from riskweft.operators.quantiles import plan_quantiles
+from riskweft.operators.quantiles import quantile_values
 from riskweft.roles import categorical_columns, numeric_columns, require_columns, role_of
 from riskweft import roles
 
@@ -147,10 +147,9 @@ def impute(
         for c in numeric:
             replaced[c] = _or_value(c, found[f"mean_{c}"])
     elif numeric_strategy == "median" and numeric:
-        plan = plan_quantiles(df, {c: [0.5] for c in numeric}, accuracy=accuracy)
-        medians = plan.rows.agg(*[plan[c, 0.5].alias(c) for c in numeric]).first()
+        medians = quantile_values(df, {c: [0.5] for c in numeric}, accuracy)
         for c in numeric:
-            replaced[c] = _or_value(c, medians[c])
+            replaced[c] = _or_value(c, medians[c, 0.5])
     elif numeric_strategy == "mode":
         for c in numeric:
             replaced[c] = F.coalesce(

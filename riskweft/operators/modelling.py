@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from riskweft.operators.features import vehicle_age
 from riskweft.operators.profile import value_counts_by_column
-from riskweft.operators.quantiles import plan_quantiles
+from riskweft.operators.quantiles import quantile_values
 from riskweft.operators.sampling import split
 
 # Default feature columns: fixed values.
@@ -114,9 +114,8 @@ def fit_features(
     df = _with_age(df, with_age)
     medians: dict[str, float | None] = {}
     if numerical:
-        plan = plan_quantiles(df, {c: [0.5] for c in numerical})
-        row = plan.rows.agg(*[plan[c, 0.5].alias(c) for c in numerical]).first()
-        medians = {c: row[c] for c in numerical}
+        levels = quantile_values(df, {c: [0.5] for c in numerical})
+        medians = {c: levels[c, 0.5] for c in numerical}
     modes, labels = _categories(df, categorical)
 
     means, deviations = {}, {}

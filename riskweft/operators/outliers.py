@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskweft.functions.tables import percent, stack_rows
-from riskweft.operators.quantiles import plan_quantiles
+from riskweft.operators.quantiles import quantile_values
 from riskweft.roles import is_numeric, numeric_columns, pick_numeric
 
 log = logging.getLogger(__name__)
@@ -95,10 +95,7 @@ def find_bounds(
 
 
 def _levels(df, columns, probabilities, accuracy) -> dict[tuple[str, float], float | None]:
-    plan = plan_quantiles(df, {c: probabilities for c in columns}, accuracy=accuracy)
-    keys = [(c, p) for c in columns for p in probabilities]
-    row = plan.rows.agg(*[plan[k].alias(f"q{i}") for i, k in enumerate(keys)]).first()
-    return {k: row[f"q{i}"] for i, k in enumerate(keys)}
+    return quantile_values(df, {c: probabilities for c in columns}, accuracy)
 
 
 def _modified(df, columns, threshold, accuracy) -> list[Bounds]:

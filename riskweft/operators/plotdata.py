@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from riskweft.operators.describe import value_counts
 from riskweft.operators.matrix import correlation_matrix
 from riskweft.operators.metrics import CLAIMS, PREMIUM, kpis, loss_ratio_by, monthly_trend
-from riskweft.operators.quantiles import plan_quantiles
+from riskweft.operators.quantiles import plan_quantiles, quantile_values
 from riskweft.operators.sampling import sample_rows
 from riskweft.roles import is_numeric, require_columns, require_numeric
 
@@ -49,9 +49,10 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
 def centre_lines(df: DataFrame, column: str, accuracy: int | None = None) -> DataFrame:
     """One row: the mean and the median, the two marks on a histogram."""
     require_numeric(df, [column])
-    plan = plan_quantiles(df, {column: [0.5]}, accuracy=accuracy)
-    return plan.rows.agg(
-        F.avg(F.col(column).cast("double")).alias("mean"), plan[column, 0.5].alias("median")
+    median = quantile_values(df, {column: [0.5]}, accuracy)[column, 0.5]
+    return df.agg(
+        F.avg(F.col(column).cast("double")).alias("mean"),
+        F.lit(median).cast("double").alias("median"),
     )
 
 

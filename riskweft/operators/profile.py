@@ -10,7 +10,7 @@ from riskweft import roles
 from riskweft.functions.tables import null_count, percent, stack_rows
 from riskweft.operators.dedupe import duplicate_report
 from riskweft.operators.outliers import outlier_report
-from riskweft.operators.quantiles import plan_quantiles
+from riskweft.operators.quantiles import quantile_values
 from riskweft.roles import categorical_columns, is_numeric, numeric_columns, role_of
 
 _NUMBER = r"^\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*$"
@@ -106,7 +106,7 @@ def value_ranges(
     names = [c for c in (columns or numeric_columns(df)) if is_numeric(df, c)]
     if not names:
         raise ValueError("No numeric columns to check")
-    plan = plan_quantiles(df, {c: [0.5] for c in names}, accuracy=accuracy)
+    medians = quantile_values(df, {c: [0.5] for c in names}, accuracy)
     aggregates, rows = [], []
     for i, c in enumerate(names):
         x = F.col(c).cast("double")
@@ -115,7 +115,6 @@ def value_ranges(
                 F.min(x).alias("min"),
                 F.max(x).alias("max"),
                 F.avg(x).alias("mean"),
-                plan[c, 0.5].alias("median"),
                 F.stddev_samp(x).alias("std"),
                 F.count_if(x == 0).alias("zeros"),
                 F.count_if(x < 0).alias("negatives"),
@@ -130,7 +129,7 @@ def value_ranges(
                 "min": s["min"],
                 "max": s["max"],
                 "mean": s["mean"],
-                "median": s["median"],
+                "median": F.lit(medians[c, 0.5]).cast("double"),
                 "std": s["std"],
                 "zeros": s["zeros"],
                 "zeros_percentage": F.round(percent(s["zeros"], s["n"]), 2),
@@ -139,7 +138,7 @@ def value_ranges(
                 "non_null_count": s["n"],
             }
         )
-    return stack_rows(plan.rows.agg(*aggregates), rows)
+    return stack_rows(df.agg(*aggregates), rows)
 
 
 def value_counts_by_column(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -217,17 +216,31 @@ def table_info(df: DataFrame) -> DataFrame:
     )
 
 
+def _issue_count(df: DataFrame) -> Column:
+    return numeric_text_columns(df).agg(F.count(F.lit(1))).scalar()
+
+
+def _facts(df: DataFrame) -> DataFrame:
+    """One row: the missing summary, the duplicate report and the type issues."""
+    duplicates = duplicate_report(df)
+    return missing_summary(df).select(
+        "*",
+        duplicates.select(F.struct("*")).scalar().alias("__d"),
+        _issue_count(df).alias("type_issues"),
+    ).select("*", "__d.*").drop("__d")
+
+
 def quality_score(df: DataFrame) -> DataFrame:
     """One row: the deductions and the score from 100 down to 0."""
-    missing = missing_summary(df).select("missing_percentage").scalar()
-    duplicate = duplicate_report(df).select("duplicate_percentage").scalar()
-    issues = numeric_text_columns(df).agg(F.count(F.lit(1))).scalar()
-    base = df.sparkSession.range(1).select(
-        F.coalesce(missing, F.lit(0.0)).alias("missing_percentage"),
-        F.coalesce(duplicate, F.lit(0.0)).alias("duplicate_percentage"),
-        issues.alias("type_issues"),
-    )
-    return base.withColumn("quality_score", _score())
+    return _scored(_facts(df))
+
+
+def _scored(facts: DataFrame) -> DataFrame:
+    return facts.select(
+        F.coalesce("missing_percentage", F.lit(0.0)).alias("missing_percentage"),
+        F.coalesce("duplicate_percentage", F.lit(0.0)).alias("duplicate_percentage"),
+        "type_issues",
+    ).withColumn("quality_score", _score())
 
 
 def _score() -> Column:
@@ -270,15 +283,11 @@ def _advice(width: int) -> Column:
 
 def recommendations(df: DataFrame) -> DataFrame:
     """``(position, recommendation)``, empty for a clean table."""
-    duplicates = duplicate_report(df).select("duplicate_count").scalar()
-    issues = numeric_text_columns(df).agg(F.count(F.lit(1))).scalar()
-    base = missing_summary(df).select(
-        "missing_percentage",
-        "columns_with_missing",
-        duplicates.alias("duplicate_count"),
-        issues.alias("type_issues"),
-    )
-    return base.select(F.posexplode(_advice(len(df.columns))).alias("position", "recommendation"))
+    return _recommended(_facts(df), len(df.columns))
+
+
+def _recommended(facts: DataFrame, width: int) -> DataFrame:
+    return facts.select(F.posexplode(_advice(width)).alias("position", "recommendation"))
 
 
 def quality_report(
@@ -292,15 +301,23 @@ def quality_report(
     if df.isEmpty():
         raise ValueError("Data cannot be empty")
     df = df.persist()
+    facts = _facts(df).persist()  # one row, read by four sections
+    rows = (F.col("complete_rows") + F.col("rows_with_missing")).alias("rows")
+    missing = [c for c in facts.columns if "missing" in c or "complete" in c]
     parts = [
-        _melt("overview", table_info(df).select("rows", "columns")),
-        _melt("missing_values", missing_summary(df)),
+        _melt("overview", facts.select(rows, F.lit(len(df.columns)).alias("columns"))),
+        _melt("missing_values", facts.select(*missing)),
         _melt("missing_by_column", missing_by_column(df, 0.0).filter("missing > 0"), "column"),
-        _melt("duplicates", duplicate_report(df)),
+        _melt(
+            "duplicates",
+            facts.select(
+                "duplicate_count", "duplicate_percentage", "unique_count", "unique_percentage"
+            ),
+        ),
         _melt("data_types", column_types(df), "column"),
         _melt("type_issues", numeric_text_columns(df), "column"),
-        _melt("quality_score", quality_score(df).select("quality_score")),
-        _recommendation_part(df),
+        _melt("quality_score", _scored(facts).select("quality_score")),
+        _recommendation_part(_recommended(facts, len(df.columns))),
     ]
     if numeric_columns(df):
         parts.append(_melt("value_ranges", value_ranges(df, accuracy=accuracy), "column"))
@@ -323,8 +340,8 @@ def quality_report(
     return out
 
 
-def _recommendation_part(df: DataFrame) -> DataFrame:
-    return recommendations(df).select(
+def _recommendation_part(advice: DataFrame) -> DataFrame:
+    return advice.select(
         F.lit("recommendations").alias("section"),
         F.lit(None).cast("string").alias("column"),
         F.col("position").cast("string").alias("metric"),

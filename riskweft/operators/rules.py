@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from riskweft.functions.labels import loss_ratio_light, pricing_tier
-from riskweft.operators.quantiles import plan_quantiles
+from riskweft.operators.quantiles import quantile_values
 from riskweft.operators.metrics import segment_totals
 
 MARGIN_ALERT = -10.0
@@ -49,12 +49,11 @@ def risk_bands(
     """Label each row by the quantile band its score falls into."""
     if len(labels) != len(cuts) + 1:
         raise ValueError("Need one label more than cuts")
-    plan = plan_quantiles(df, {score: list(cuts)})
-    row = plan.rows.agg(*[plan[score, c].alias(f"c{i}") for i, c in enumerate(cuts)]).first()
+    levels = quantile_values(df, {score: list(cuts)})
     x = F.col(score)
     band = None
-    for i, label in enumerate(labels[:-1]):
-        reached = x <= row[f"c{i}"]
+    for cut, label in zip(cuts, labels):
+        reached = x <= F.lit(levels[score, cut])
         band = F.when(reached, label) if band is None else band.when(reached, label)
     band = band.when(x.isNotNull(), labels[-1])
     return df.withColumn("risk_band", band)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from riskweft.session import checkpointed
-from riskweft.operators.quantiles import plan_quantiles
+from riskweft.operators.quantiles import quantile_values
 
 # Largest sample one task gathers when it merges the top rows.
 ONE_TASK_ROWS = 100_000
@@ -34,8 +34,7 @@ def sample_rows(df: DataFrame, n: int = 1000, seed: int = 42) -> DataFrame:
     if n >= rows:
         return drawn.drop("__draw")
     share = (n - 0.5) / (rows - 1)  # between the n-th lowest draw and the next
-    plan = plan_quantiles(drawn, {"__draw": [share]})
-    cut = plan.rows.agg(plan["__draw", share]).first()[0]
+    cut = quantile_values(drawn, {"__draw": [share]})["__draw", share]
     return drawn.filter(F.col("__draw") <= cut).drop("__draw")
 
 

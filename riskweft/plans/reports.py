@@ -7,12 +7,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 from riskweft.operators.metrics import CLAIMS, PREMIUM, segment_totals
 
 
-def _extreme(df: DataFrame, group: str, worst: bool) -> Column:
-    """Segment with the highest or lowest ratio; ties by name."""
-    ratio = -F.col("loss_ratio") if worst else F.col("loss_ratio")
+def _extremes(df: DataFrame, group: str) -> Column:
+    """Struct of the segments with the highest and the lowest ratio; ties by name."""
     table = segment_totals(df, [group]).dropna(subset=["loss_ratio"])
-    ranked = F.min(F.struct(ratio.alias("r"), F.col(group).alias("name")))
-    return table.agg(ranked.getField("name").alias("name")).scalar()
+    ratio, name = F.col("loss_ratio"), F.col(group).alias("name")
+    both = table.agg(
+        F.struct(
+            F.min(F.struct((-ratio).alias("r"), name)).getField("name").alias("highest"),
+            F.min(F.struct(ratio.alias("r"), name)).getField("name").alias("lowest"),
+        )
+    )
+    return both.scalar()
 
 
 def executive_summary(
@@ -34,8 +39,14 @@ def executive_summary(
         "*",
         ratio.alias("loss_ratio"),
         F.when(ratio > 1, "unprofitable").otherwise("profitable").alias("status"),
-        _extreme(df, province, True).alias("highest_risk_province"),
-        _extreme(df, province, False).alias("lowest_risk_province"),
-        _extreme(df, vehicle, True).alias("highest_risk_vehicle"),
-        _extreme(df, vehicle, False).alias("lowest_risk_vehicle"),
+        _extremes(df, province).alias("p"),
+        _extremes(df, vehicle).alias("v"),
+    ).select(
+        *span.columns,
+        "loss_ratio",
+        "status",
+        F.col("p.highest").alias("highest_risk_province"),
+        F.col("p.lowest").alias("lowest_risk_province"),
+        F.col("v.highest").alias("highest_risk_vehicle"),
+        F.col("v.lowest").alias("lowest_risk_vehicle"),
     )

@@ -11,12 +11,40 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from riskweft.session import spread
+
 
 def _claims() -> Column:
     paid = F.col("l_extendedprice") * F.col("l_discount") * 60 / 100
     return F.when(F.col("l_returnflag") == "R", paid).otherwise(F.lit(0.0))
 
 
+# Table schemas, declared so that opening a table starts no job: fixed values.
+_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": (
+        "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
+    ),
+    "part": (
+        "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+        "p_retailprice double"
+    ),
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+        "o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+        "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+        "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"
+    ),
+    "events": (
+        "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, "
+        "props string"
+    ),
+}
+
 # column -> (dimension it needs, expression)
 _COLUMNS: dict[str, tuple[str, object]] = {
     "PolicyID": ("lineitem", lambda: F.col("l_orderkey")),
@@ -52,7 +80,8 @@ _PARENT = {"customer": "orders", "nation": "customer", "region": "nation"}
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    reader = spark.read.schema(_SCHEMAS[name]) if name in _SCHEMAS else spark.read
+    return reader.parquet(f"{folder}/{name}.parquet")
 
 
 def policy_view(
@@ -69,7 +98,7 @@ def policy_view(
         if child in needed:
             needed.add(_PARENT[child])
 
-    rows = read_table(spark, folder, "lineitem")
+    rows = spread(read_table(spark, folder, "lineitem"))
     if "orders" in needed:
         # Enrich the orders side first: it is narrower than the line items, so
         # the wide fact table is shuffled once, on its order key.
