@@ -230,11 +230,6 @@ def _t_of(table: DataFrame, first, second, metric: str) -> DataFrame:
     )
     empty = (F.col("rows1") == 0) | (F.col("rows2") == 0)
     few = (F.col("n1") < 2) | (F.col("n2") < 2)
-    guard = (
-        F.when(empty, _error(f"One or both groups have no data: {first}, {second}"))
-        .when(few, _error("Insufficient data for t-test (need at least 2 samples per group)"))
-        .otherwise(F.lit(0.0))
-    )
     gap = F.col("mean_group1") - F.col("mean_group2")
     e1, e2 = F.col("v1") / F.col("n1"), F.col("v2") / F.col("n2")
     dof = F.try_divide(
@@ -243,7 +238,10 @@ def _t_of(table: DataFrame, first, second, metric: str) -> DataFrame:
     )
     pooled = F.sqrt((F.col("v1") + F.col("v2")) / 2)
     return sums.select(
-        (F.try_divide(gap, F.sqrt(e1 + e2)) + guard).alias("statistic"),
+        F.when(empty, _error(f"One or both groups have no data: {first}, {second}"))
+        .when(few, _error("Insufficient data for t-test (need at least 2 samples per group)"))
+        .otherwise(F.try_divide(gap, F.sqrt(e1 + e2)))
+        .alias("statistic"),
         dof.alias("degrees_of_freedom"),
         "mean_group1",
         "mean_group2",

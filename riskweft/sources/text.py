@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -62,7 +63,7 @@ def load_delimited(
             empty = raw.isEmpty()
         else:
             out, empty = _typed(text)
-    except PySparkException as error:
+    except (PySparkException, Py4JJavaError) as error:
         if "MALFORMED" in str(error):
             raise ValueError(
                 f"Error parsing {path} with delimiter {delimiter!r}; try another delimiter"
