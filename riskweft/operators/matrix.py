@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from riskweft.functions.labels import correlation_strength
 from riskweft.operators.ordering import running_total, sorted_blocks, with_position
 from riskweft.roles import pick_numeric
+from riskweft.session import checkpointed
 
 METHODS = ("pearson", "spearman", "kendall")
 
@@ -317,7 +318,8 @@ def kendall_tau(df: DataFrame, x: str, y: str, block_rows: int = BLOCK_ROWS) ->
     rows = df.select(
         F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y")
     ).dropna()
-    pairs = rows.groupBy("__x", "__y").agg(F.count(F.lit(1)).alias("__n"))
+    # Counted once and written: every part below reads the distinct pairs again.
+    pairs = checkpointed(rows.groupBy("__x", "__y").agg(F.count(F.lit(1)).alias("__n")))
 
     def tied(frame: DataFrame, *keys: str) -> Column:
         n = F.col("__t").cast("double")

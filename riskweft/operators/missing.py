@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from riskweft.functions.tables import null_count
-from riskweft.operators.ordering import sorted_blocks
+from riskweft.operators.ordering import expand_copies, sorted_blocks
 from riskweft.operators.quantiles import quantile_values
 from riskweft.roles import categorical_columns, numeric_columns, require_columns, role_of
 from riskweft import roles
@@ -213,7 +213,21 @@ def _windowed_fill(df, columns, order_by, keys, backward):
 
 
 def _blocked_fill(df, columns, order_by, keys, backward):
-    blocks = sorted_blocks(df, [*keys, *order_by])
+    names = df.columns
+    place = [*keys, *order_by]
+    hottest = df.groupBy(*place).count().agg(F.max("count")).first()[0] or 0
+    if hottest <= WINDOW_ROWS:
+        return _fill_blocks(df, columns, place, keys, backward).select(*names)
+    # Very many rows in one place would sort into one block.  Collapse exact copies and
+    # let the other columns order the rest, so that sorting can cut between them.
+    copies = df.groupBy(*names).agg(F.count(F.lit(1)).alias("__copies"))
+    place += [c for c in names if c not in place]
+    filled = _fill_blocks(copies, columns, place, keys, backward)
+    return expand_copies(filled.select(*names, "__copies"), "__copies").select(*names)
+
+
+def _fill_blocks(df, columns, place, keys, backward):
+    blocks = sorted_blocks(df, place)
     pick = F.min if backward else F.max
     edges = blocks.groupBy(*keys, "__block").agg(
         *[
@@ -240,13 +254,12 @@ def _blocked_fill(df, columns, order_by, keys, backward):
         .orderBy(inside)
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    filled = blocks.join(carried, same, "left").withColumns(
+    return blocks.join(carried, same, "left").withColumns(
         {
             c: F.coalesce(F.last(c, ignorenulls=True).over(seen), F.col(f"__carried_{c}"))
             for c in columns
         }
     )
-    return filled.select(*df.columns)
 
 
 def missing_before_after(

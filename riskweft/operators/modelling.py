@@ -6,11 +6,12 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml.base import Model
-from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import StringIndexerModel, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskweft.operators.features import vehicle_age
+from riskweft.operators.ordering import with_position
 from riskweft.operators.profile import value_counts_by_column
 from riskweft.operators.quantiles import quantile_values
 from riskweft.operators.sampling import split
@@ -20,6 +21,8 @@ CATEGORICAL = ("Province", "VehicleType", "Gender")
 NUMERICAL = ("TotalPremium", "SumInsured", "CalculatedPremiumPerTerm")
 # The portfolio ends in this year: fixed value.
 AGE_YEAR = 2015
+# Values of a text feature up to which its labels are a list inside the model.
+MOST_LABELS = 10_000
 # Spark's own limit on tree depth stands in for "unlimited".
 DEEPEST = 30
 
@@ -59,6 +62,8 @@ class FeatureSteps:
     medians: Mapping[str, float | None]
     modes: Mapping[str, str]
     indexer: StringIndexerModel | None
+    # Columns with too many values for a label list: value-to-code tables and sizes.
+    tables: Mapping[str, tuple[DataFrame, int]]
     means: Mapping[str, float]
     deviations: Mapping[str, float]
 
@@ -79,14 +84,20 @@ class FeatureSteps:
         for c in self.categorical:
             out[f"{c}__t"] = F.coalesce(F.col(c).cast("string"), F.lit(self.modes[c]))
         df = df.withColumns(out)
+        coded = [c for c in self.categorical if c not in self.tables]
         if self.indexer is not None:
             df = self.indexer.transform(df)
             # Codes are plain numbers here; without the metadata trees split them as such.
             df = df.withColumns(
-                {f"{c}__x": F.col(f"{c}__i").alias(f"{c}__x", metadata={}) for c in self.categorical}
+                {f"{c}__x": F.col(f"{c}__i").alias(f"{c}__x", metadata={}) for c in coded}
             )
-            df = df.drop(*[f"{c}__i" for c in self.categorical], *[f"{c}__t" for c in self.categorical])
-        return df
+        for c, (table, size) in self.tables.items():
+            codes = table.select(F.col("value").alias(f"{c}__v"), F.col("code").alias(f"{c}__i"))
+            df = df.join(codes, F.col(f"{c}__t") == F.col(f"{c}__v"), "left").drop(f"{c}__v")
+            # as with the label list, an unseen value gets the next code
+            code = F.coalesce(F.col(f"{c}__i"), F.lit(size)).cast("double")
+            df = df.withColumn(f"{c}__x", code)
+        return df.drop(*[f"{c}__{k}" for c in self.categorical for k in "it"])
 
     def transform(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         """Rows with the feature vector and the columns to keep."""
@@ -116,7 +127,7 @@ def fit_features(
     if numerical:
         levels = quantile_values(df, {c: [0.5] for c in numerical})
         medians = {c: levels[c, 0.5] for c in numerical}
-    modes, labels = _categories(df, categorical)
+    modes, labels, tables = _categories(df, categorical)
 
     means, deviations = {}, {}
     if numerical:
@@ -132,58 +143,69 @@ def fit_features(
         for i, c in enumerate(numerical):
             means[c], deviations[c] = row[f"m{i}"] or 0.0, row[f"s{i}"] or 0.0
     indexer = None
-    if categorical:
+    if labels:
         indexer = StringIndexerModel.from_arrays_of_labels(
-            [labels[c] for c in categorical],
-            inputCols=[f"{c}__t" for c in categorical],
-            outputCols=[f"{c}__i" for c in categorical],
+            list(labels.values()),
+            inputCols=[f"{c}__t" for c in labels],
+            outputCols=[f"{c}__i" for c in labels],
             handleInvalid="keep",
         )
     return FeatureSteps(
-        numerical, categorical, with_age, medians, modes, indexer, means, deviations
+        numerical, categorical, with_age, medians, modes, indexer, tables, means, deviations
     )
 
 
-def _categories(
-    df: DataFrame, columns: Sequence[str]
-) -> tuple[dict[str, str], dict[str, list[str]]]:
-    """Most frequent value and sorted labels per column, from one count over all.
+def _categories(df: DataFrame, columns: Sequence[str]):
+    """Most frequent value per column, sorted label lists, and code tables.
 
-    The labels become part of the model, so they do come to the driver.
+    One count serves all columns.  A column with up to ``MOST_LABELS`` values gets a
+    label list inside the model; above that its codes stay a table.
     """
-    modes, labels = dict.fromkeys(columns, "Unknown"), {c: [] for c in columns}
+    modes: dict[str, str] = dict.fromkeys(columns, "Unknown")
+    labels: dict[str, list[str]] = {}
+    tables: dict[str, tuple[DataFrame, int]] = {}
     if not columns:
-        return modes, labels
-    counts = value_counts_by_column(df, columns)
+        return modes, labels, tables
+    counts = value_counts_by_column(df, columns).persist()
     present = F.col("value").isNotNull()
     best = F.min(F.when(present, F.struct((-F.col("n")).alias("n"), F.col("value"))))
     found = counts.groupBy("column").agg(
-        best.getField("value").alias("mode"),
-        F.array_sort(F.collect_set("value")).alias("labels"),
-        F.count_if(~present).alias("missing"),
+        best.getField("value").alias("mode"), F.count("value").alias("size")
     )
-    for row in found.collect():
-        labels[row["column"]] = list(row["labels"])
+    small = []
+    for row in found.collect():  # one row per feature
+        c = row["column"]
         if row["mode"] is not None:
-            modes[row["column"]] = row["mode"]
-        elif row["missing"]:
-            labels[row["column"]] = ["Unknown"]
-    return modes, labels
+            modes[c] = row["mode"]
+        if row["size"] <= MOST_LABELS:
+            small.append(c)
+        else:
+            values = counts.filter((F.col("column") == c) & present).select("value")
+            tables[c] = (_codes(values), row["size"])
+    listed = counts.filter(F.col("column").isin(small) & present).select("column", "value")
+    labels = {c: [] for c in columns if c not in tables}
+    for row in listed.collect():  # at most MOST_LABELS per feature
+        labels[row["column"]].append(row["value"])
+    labels = {c: sorted(v, key=lambda t: t.encode()) or [modes[c]] for c, v in labels.items()}
+    return modes, labels, tables
+
+
+def _codes(values: DataFrame) -> DataFrame:
+    """``(value, code)``: distinct values numbered from 0 in sorted order."""
+    return with_position(values, ["value"], "code")
 
 
 def label_encode(df: DataFrame, column: str, output: str | None = None) -> DataFrame:
-    """Codes 0..k-1 in sorted order of the values."""
+    """Codes 0..k-1 in sorted order of the values; a missing value has no code.
+
+    The codes are a table of the distinct values, joined back: broadcast when it
+    measures small, and at any size never collected.
+    """
     output = output or f"{column}_encoded"
-    text = df.withColumn("__text", F.col(column).cast("string"))
-    indexer = StringIndexer(
-        inputCol="__text",
-        outputCol="__code",
-        stringOrderType="alphabetAsc",
-        handleInvalid="keep",
-    ).fit(text.dropna(subset=["__text"]))
-    coded = indexer.transform(text)
-    code = F.when(F.col("__text").isNotNull(), F.col("__code").cast("long"))
-    return coded.withColumn(output, code).drop("__text", "__code")
+    text = F.col(column).cast("string")
+    values = df.select(text.alias("value")).filter(F.col("value").isNotNull()).distinct()
+    codes = _codes(values).select(F.col("value").alias("__value"), F.col("code").alias(output))
+    return df.drop(output).join(codes, text == F.col("__value"), "left").drop("__value")
 
 
 def scale(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -295,12 +295,11 @@ def quality_report(
 ) -> DataFrame:
     """Everything above as ``(section, column, metric, value)`` in text form.
 
-    The table is cached for the passes it needs (it spills to disk); the cache goes
-    with the session, or call ``df.unpersist()``.
+    Makes one pass per section, over the columns it needs.  Cache the table first if
+    it is the result of expensive joins.
     """
     if df.isEmpty():
         raise ValueError("Data cannot be empty")
-    df = df.persist()
     facts = _facts(df).persist()  # one row, read by four sections
     rows = (F.col("complete_rows") + F.col("rows_with_missing")).alias("rows")
     missing = [c for c in facts.columns if "missing" in c or "complete" in c]

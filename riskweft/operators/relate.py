@@ -12,6 +12,10 @@ from riskweft.operators.quantiles import plan_quantiles
 from riskweft.roles import is_numeric, require_columns, require_numeric
 
 
+# Values the column side of a zero-filled grid may have: they form one array.
+GRID_VALUES = 100_000
+
+
 def bivariate(df: DataFrame, first: str, second: str) -> dict[str, DataFrame]:
     """The analyses that suit the two columns' types, by name.
 
@@ -95,15 +99,18 @@ def _cells(df: DataFrame, first: str, second: str) -> DataFrame:
 def contingency(df: DataFrame, first: str, second: str, zero_fill: bool = True) -> DataFrame:
     """Counts ``(a, b, n)`` of two columns, empty cells included on request.
 
-    The zero-filled result has a row per combination by definition; use
-    ``zero_fill=False`` when both columns have very many values.
+    The zero-filled result has a row per combination by definition.  A second column
+    with more than 100,000 values needs ``zero_fill=False``, which has no such limit.
     """
     require_columns(df, [first, second])
     cells = _cells(df, first, second)
     if not zero_fill:
         return cells
     present = cells.persist()
-    others = present.agg(F.collect_set("b")).scalar()
+    values = present.select("b").distinct()
+    if values.count() > GRID_VALUES:
+        raise ValueError(f"'{second}' has too many values for a full grid; use zero_fill=False")
+    others = values.agg(F.collect_list("b")).scalar()
     grid = present.select("a").distinct().select("a", F.explode(others).alias("b"))
     return grid.join(present, ["a", "b"], "left").fillna(0, ["n"])
 

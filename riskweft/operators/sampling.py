@@ -21,18 +21,21 @@ def preview(df: DataFrame, order_by: Sequence[str], n: int = 5) -> DataFrame:
 def sample_rows(df: DataFrame, n: int = 1000, seed: int = 42) -> DataFrame:
     """A simple random sample of ``min(n, rows)`` rows without replacement.
 
-    Each row, copies included, draws its own number.  A small sample keeps the ``n``
-    lowest per task and merges those; a large one finds the n-th lowest draw and
-    filters, so no task holds the sample.
+    Each row, copies included, draws its own number.  For a small sample only rows
+    with a draw low enough to matter are ordered: about ``n`` of them in total, not
+    ``n`` per task.  A large one finds the n-th lowest draw and filters, so no task
+    holds the sample.
     """
+    rows = df.count()
+    if n >= rows:
+        return df
     drawn = df.withColumn("__draw", F.rand(seed))
     if n <= ONE_TASK_ROWS:
-        return drawn.orderBy("__draw").limit(n).drop("__draw")
+        # Twelve standard deviations above n: too few rows remain with odds of e^-70.
+        enough = (n + 12 * n**0.5 + 50) / rows
+        return drawn.filter(F.col("__draw") < enough).orderBy("__draw").limit(n).drop("__draw")
     # Fix the draws: they must be the same for the cut and for the filter.
     drawn = checkpointed(drawn)
-    rows = drawn.count()
-    if n >= rows:
-        return drawn.drop("__draw")
     share = (n - 0.5) / (rows - 1)  # between the n-th lowest draw and the next
     cut = quantile_values(drawn, {"__draw": [share]})["__draw", share]
     return drawn.filter(F.col("__draw") <= cut).drop("__draw")

@@ -203,7 +203,7 @@ LEFT JOIN (SELECT {period} AS p, {call} AS v FROM days GROUP BY 1) ON p = period
 
 
 _resample("resample_month_sum", "sum", "ME")
-_resample("resample_week_mean", "mean", "W")
+_resample("resample_week_mean", "mean", "W", digits=9)
 _resample("resample_day_count", "count", "D")
 _resample("resample_quarter_median", "median", "Q")
 _resample("resample_year_max", "max", "Y")

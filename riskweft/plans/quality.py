@@ -302,7 +302,7 @@ def quality_recommendations(spark, sf):
     ),
 )
 def quality_report(spark, sf):
-    report = P.quality_report(policy_view(spark, sf, SMALL))
+    report = P.quality_report(policy_view(spark, sf, SMALL).persist())
     part = F.col("section").isin("overview", "quality_score", "duplicates", "missing_by_column")
     part = part | ((F.col("section") == "categorical") & (F.col("metric") == "unique_count"))
     return report.filter(part).withColumn("value", F.col("value").try_cast("double"))
@@ -310,4 +310,4 @@ def quality_report(spark, sf):
 
 @query("quality_report_text")
 def quality_report_text(spark, sf):
-    return P.quality_report(policy_view(spark, sf, SMALL))
+    return P.quality_report(policy_view(spark, sf, SMALL).persist())

@@ -87,7 +87,7 @@ def detected_delimiter(spark, sf):
         """SELECT w AS window_start, w + INTERVAL 7 DAY AS window_end, Gender,
   count(*) AS policy_count, round(sum(TotalPremium), 5) AS total_premium,
   round(sum(TotalClaims), 5) AS total_claims,
-  round(avg(TotalPremium - TotalClaims), 6) AS average_margin,
+  round(avg(TotalPremium - TotalClaims), 9) AS average_margin,
   round(sum(TotalClaims) / sum(TotalPremium), 6) AS loss_ratio,
   CASE WHEN sum(TotalClaims) / sum(TotalPremium) > 1 THEN 'red'
        WHEN sum(TotalClaims) / sum(TotalPremium) >= 0.9 THEN 'yellow' ELSE 'green' END AS light
@@ -98,7 +98,7 @@ FROM (SELECT *, time_bucket(INTERVAL 7 DAY, TransactionMonth, TIMESTAMP '1970-01
 def weekly_monitor(spark, sf):
     rows = policy_view(spark, sf, ["TransactionMonth", "Gender", "TotalPremium", "TotalClaims"])
     out = monitor.windowed_kpis(rows, by=["Gender"])
-    return rounded(out, total_premium=5, total_claims=5, average_margin=6, loss_ratio=6)
+    return rounded(out, total_premium=5, total_claims=5, average_margin=9, loss_ratio=6)
 
 
 @query(

@@ -186,6 +186,18 @@ def test_directional_fill(spark, monkeypatch, backward, keys, parts):
     assert rows_of(got, "i") == want
 
 
+def test_fill_with_a_hot_place_collapses_copies(spark, monkeypatch):
+    monkeypatch.setattr(missing, "WINDOW_ROWS", 10)
+    df = spark.sql(
+        "SELECT IF(id % 3 = 0, 5, CAST(id AS INT)) AS i, "
+        "IF(id % 3 = 0 OR id % 4 = 1, NULL, CAST(id AS DOUBLE)) AS x FROM range(120)"
+    )
+    got = rows_of(missing.directional_fill(df, ["x"], ["i"]), "i")
+    pdf = df.toPandas().sort_values(["i", "x"], na_position="first")
+    want = [(i, None if np.isnan(x) else x) for i, x in zip(pdf.i, pdf.x.ffill())]
+    assert sorted(got, key=str) == sorted(want, key=str) and len(got) == 120
+
+
 def test_fill_needs_an_order(small):
     with pytest.raises(ValueError, match="order_by"):
         missing.directional_fill(small, ["v"], [])

@@ -48,6 +48,18 @@ def test_preparation_matches_pandas(policies):
     assert (got["Province__x"].values == filled.map(codes).values).all()
 
 
+def test_many_labels_stay_a_table(policies, monkeypatch):
+    listed = L.fit_features(policies, "TotalClaims").columns(policies)
+    monkeypatch.setattr(L, "MOST_LABELS", 2)
+    steps = L.fit_features(policies, "TotalClaims")
+    assert set(steps.tables) == {"Province", "VehicleType"}
+    keep = ["LineNo", "Province__x", "VehicleType__x", "Gender__x"]
+    rows = [sorted(map(tuple, d.select(*keep).collect())) for d in (listed, steps.columns(policies))]
+    assert rows[0] == rows[1]
+    unseen = steps.columns(policies.withColumn("VehicleType", F.lit("Tram")))
+    assert unseen.select("VehicleType__x").distinct().collect()[0][0] == 3.0
+
+
 def test_constant_feature_scales_to_zero(spark):
     df = spark.createDataFrame([(3.0,), (3.0,)], "x double")
     assert [r.x for r in L.scale(df, ["x"]).collect()] == [0.0, 0.0]
