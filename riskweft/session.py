@@ -59,15 +59,3 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared checkpoint folder."""
     use_checkpoints(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use the whole cluster for a table that arrives in only a few splits.
-
-    A file with one row group is read by one task, and without a shuffle all work on
-    it stays there.  Tables with enough splits are returned as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() * 2 > cores:
-        return df
-    return df.repartition(cores)
