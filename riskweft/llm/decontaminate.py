@@ -30,7 +30,7 @@ from riskweft.llm.wordarrays import LETTERS_AND_DIGITS, HashTable, mix, slices,
 
 BLOCK_WORDS = 1_000_000
 ANCHOR_EVERY = 3
-WALKS = 2
+WALKS = 3
 SLICE = 512 << 10  # bytes of text walked at once, so that the arrays stay in cache
 
 
