@@ -24,7 +24,7 @@ from riskweft.llm.store import stored
 from riskweft.llm.wordarrays import LETTERS_AND_DIGITS, mix, pair_hash, split_words, text_bytes
 
 ALPHA = 0.4
-BLOCK_BYTES = 8 << 20  # text in a block
+BLOCK_BYTES = 7 << 20  # text in a block
 BUCKET_BYTES = 6 << 20  # text whose n-grams meet in a bucket
 _CODEC = "zstd"
 
@@ -43,6 +43,21 @@ def _unpack(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, n).T).view(kind).ravel()
 
 
+def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed one by one before they cross the network."""
+    codec = pa.Codec(_CODEC, compression_level=1)
+    for batch in batches:
+        texts = [t.as_buffer() for t in batch.column(2).cast(pa.large_binary())]
+        packed = [t.size.to_bytes(8, "little") + codec.compress(t, asbytes=True) for t in texts]
+        yield batch.set_column(2, "text", pa.array(packed, pa.binary()))
+
+
+def _texts(packed: Iterator[bytes]) -> pa.Array:
+    codec = pa.Codec(_CODEC)
+    whole = [codec.decompress(p[8:], int.from_bytes(p[:8], "little"), asbytes=True) for p in packed]
+    return pa.array(whole, pa.large_binary()).cast(pa.large_string())
+
+
 class Grams:
     """Hashes of the words, bigrams and trigrams that end at each word; 0 where a text is too young."""
 
@@ -70,8 +85,7 @@ def _ask(buckets: int):
         held: list[pa.RecordBatch] = []
 
         def send(block: int) -> Iterator[pa.RecordBatch]:
-            texts = pa.concat_arrays([b.column(2) for b in held])
-            keys, count, _ = Grams(texts).distinct()
+            keys, count, _ = Grams(_texts(t for b in held for t in b.column(2).to_pylist())).distinct()
             bucket = _bucket(keys, buckets)
             edges = np.searchsorted(bucket, np.arange(buckets + 1))
             some = np.flatnonzero(np.diff(edges))
@@ -142,8 +156,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _score(texts: pa.Table, counts: pa.Table) -> pa.Table:
     """Per text: words, words scored as single words, and the sum of logarithms without their N."""
-    column = texts.column("text").combine_chunks()
-    grams = Grams(column if isinstance(column, pa.Array) else pa.concat_arrays(column.chunks))
+    grams = Grams(_texts(texts.column("text").to_pylist()))
     keys, _, place = grams.distinct()
     order = np.argsort(counts.column("bucket").to_numpy())
     packed = counts.column("n").to_pylist()
@@ -195,7 +208,8 @@ def lm_scores(docs: DataFrame, id: str = "doc_id", text: str = "text", block_byt
     blocks, buckets = max(1, -(-size // block_bytes)), max(1, -(-size // bucket_bytes))
     block = F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int")
     # One exchange by block, read by the counting and by the scoring.
-    dealt = rows.select(block.alias("block"), "id", "text").repartition(int(blocks), "block")
+    packed = rows.select(block.alias("block"), "id", "text").mapInArrow(_squeeze, "block int, id bigint, text binary")
+    dealt = packed.repartition(int(blocks), "block")
     asked = dealt.sortWithinPartitions("block").mapInArrow(_ask(int(buckets)), "bucket int, block int, grams binary, n binary")
     counted = asked.repartition(int(buckets), "bucket").sortWithinPartitions("bucket", "block")
     counted = counted.mapInArrow(_count, "block int, bucket int, n binary")
