@@ -324,14 +324,15 @@ def top_k(
     ``vectors`` and ``queries`` have an id and an array of whole numbers (see ``quantised``) whose inner
     products stay below 2**53; null ids and vectors take no part.  Ties go to the smaller id, copies of a
     vector are candidates each, fewer candidates than k give fewer rows.  A shorter vector counts as
-    filled with zeros.  Repeated rows (same id, same
-    vector) count once.  Empty tables give an empty table.
+    filled with zeros.  Repeated rows (same id, same vector) count once.  Empty tables give an empty table.
     """
     pick = lambda df: df.select(F.col(id).cast("bigint").alias("id"), F.col(vector).cast("array<bigint>").alias("vector")).filter("id IS NOT NULL AND vector IS NOT NULL")
     points, asked = pick(vectors), pick(queries).distinct()
     drawn = points.orderBy(F.xxhash64("id"), "id").limit(sample).toPandas()  # at most ``sample`` rows
     width = max((len(v) for v in drawn["vector"]), default=0)
-    matrix = np.array([np.pad(np.asarray(v, float), (0, width - len(v))) for v in drawn["vector"]]).reshape(-1, width)
+    matrix = np.zeros((len(drawn), width))
+    for row, v in zip(matrix, drawn["vector"]):
+        row[: len(v)] = v
     heads = _pivots(matrix, pivots)
     if not len(heads):
         heads = np.zeros((1, max(width, 1)))

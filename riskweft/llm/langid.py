@@ -108,7 +108,7 @@ def fit_filters(learn: DataFrame, text: str = "text", lang: str = "lang", rare:
         for key in held:
             names, n = flush(key)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([key] * len(names)), pa.array(names.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"]
+                [pa.array([key] * len(names), pa.string()), pa.array(names.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"]
             )
 
     rows = learn.filter(F.col(text).isNotNull() & F.col(lang).isNotNull())
