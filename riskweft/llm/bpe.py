@@ -21,7 +21,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
+
+from riskweft.llm.wordarrays import slices
 
 END_OF_WORD = "</w>"
 NO_MERGE = np.int64(1 << 40)
@@ -317,24 +319,21 @@ def encode(docs: DataFrame, vocabulary_path: str, text: str = "text", keep_ids:
     stand in a text become their ids.  Null text counts as empty: no ids, empty decoding.  Columns
     of these names are replaced; rows are kept one by one, also repeated ones.
     """
-    from riskweft.llm.wordarrays import slices
-
     content = load_vocabulary(docs.sparkSession, vocabulary_path)
     made = "bpe_n_tokens bigint, bpe_ids_sha256 string, bpe_decoded_sha256 string"
     made += ", bpe_ids array<int>, bpe_decoded string" if keep_ids else ""
     names = [p.split()[0] for p in made.split(", ")]
     docs = docs.drop(*names)
-    work = "bpe_input" + "_" * sum(c.startswith("bpe_input") for c in docs.columns)
-    rows = docs.withColumn(work, F.coalesce(F.col(text).cast("string"), F.lit("")))
     carried = docs.columns
+    at = carried.index(text)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [made])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(Vocabulary(content.value))
         gc.freeze()  # the remembered pieces form no cycles; walking them would cost more than encoding
         for whole in batches:
-            for batch in slices(whole, work, 1 << 20):
-                found = encoder.encode(batch.column(len(carried)).to_pylist())
+            for batch in slices(whole, text, 1 << 20):
+                found = encoder.encode([t or "" for t in batch.column(at).to_pylist()])
                 columns = [
                     pa.array([len(ids) // 4 for ids, _ in found], pa.int64()),
                     pa.array([hashlib.sha256(ids).hexdigest() for ids, _ in found]),
@@ -346,7 +345,7 @@ def encode(docs: DataFrame, vocabulary_path: str, text: str = "text", keep_ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32())))
                     columns.append(pa.array([line for _, line in found]))
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[: len(carried)], *columns], names=[*carried, *names]
+                    [*batch.columns, *columns], names=[*carried, *names]
                 )
 
-    return rows.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)

@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from riskweft.llm.store import stored
@@ -96,7 +97,7 @@ def fit_filters(learn: DataFrame, text: str = "text", lang: str = "lang", rare:
             return held[key][0]
 
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 1 << 20):
                 grams, first = ngrams(*text_bytes(batch.column(0)))
                 tag = batch.column(1).dictionary_encode()
                 owner = np.repeat(tag.indices.to_numpy(zero_copy_only=False), np.diff(first))
@@ -146,8 +147,9 @@ def identify(docs: DataFrame, filters: LanguageFilters, text: str = "text") -> D
         known = LanguageFilters(*model.value)
         names = np.array([*known.languages, UNDETERMINED], object)
         for whole in batches:
-            for batch in slices(whole, work):
-                grams, first = ngrams(*text_bytes(batch.column(len(carried))))
+            for batch in slices(whole, text, 1 << 20):
+                texts = pc.if_else(batch.column(len(carried)), batch.column(at).cast(pa.large_string()), "")
+                grams, first = ngrams(*text_bytes(texts))
                 n = np.diff(first)
                 counts = np.zeros((batch.num_rows, len(known.languages)))
                 masks = known.masks(grams)
@@ -168,7 +170,8 @@ def identify(docs: DataFrame, filters: LanguageFilters, text: str = "text") -> D
                 )
 
     whole_text = F.col(f"`{text}`").cast("string")
-    lettered = F.when(whole_text.rlike("\\p{L}"), whole_text).otherwise("")
+    lettered = F.coalesce(whole_text.rlike("\\p{L}"), F.lit(False))
     rows = docs.select(*[F.col(f"`{c}`") for c in carried], lettered.alias(work))
+    at = carried.index(text)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["lang_pred string, lang_score double"])
     return rows.mapInArrow(run, schema)

@@ -272,15 +272,14 @@ def score_quality(docs: DataFrame, field: LineField, text: str = "text") -> Data
     text of many lines is scored whole.
     """
     carried = [c for c in docs.columns if c != "quality_score"]
-    work = "quality_input" + "_" * sum(c.startswith("quality_input") for c in carried)
-    rows = docs.select(*[F.col(f"`{c}`") for c in carried], F.coalesce(F.col(text).cast("string"), F.lit("")).alias(work))
+    rows, at = docs.select(*[F.col(f"`{c}`") for c in carried]), carried.index(text)
     sent = docs.sparkSession.sparkContext.broadcast(tuple(vars(field).values()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = LineField(*sent.value)
         for whole in batches:
-            for batch in slices(whole, work):
-                lines = line_features(*text_bytes(batch.column(len(carried)), lower=False))
+            for batch in slices(whole, text, 2 << 20):
+                lines = line_features(*text_bytes(batch.column(at), lower=False))
                 score = logistic(aggregates(lines, known), known.aggregate)
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns[: len(carried)], pa.array(score)], names=[*carried, "quality_score"]

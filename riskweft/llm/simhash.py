@@ -80,17 +80,17 @@ def with_fingerprint(docs: DataFrame, text: str = "text", words: int = 3) -> Dat
     """All columns of ``docs`` plus ``fingerprint`` (hexadecimal; a column so named is replaced)."""
     carried = [c for c in docs.columns if c != "fingerprint"]
     kept = {f.name: f.dataType.simpleString() for f in docs.schema}
-    work = "simhash_input" + "_" * sum(c.startswith("simhash_input") for c in carried)
+    at = carried.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(len(carried)).cast(pa.large_binary())
-            found = [f"{fingerprint(t.as_buffer().to_pybytes(), words):016x}" for t in texts]
+            texts = batch.column(at).cast(pa.large_binary())
+            found = [f"{fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b'', words):016x}" for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(carried)], pa.array(found, pa.string())], names=[*carried, "fingerprint"]
+                [*batch.columns, pa.array(found, pa.string())], names=[*carried, "fingerprint"]
             )
 
-    rows = docs.select(*[F.col(f"`{c}`") for c in carried], F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias(work))
+    rows = docs.select(*[F.col(f"`{c}`") for c in carried])
     return rows.mapInArrow(run, "".join(f"`{c}` {kept[c]}, " for c in carried) + "fingerprint string")
 
 
