@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
 def stack_rows(wide: DataFrame, rows: Sequence[Mapping[str, Column]]) -> DataFrame:
@@ -20,3 +20,16 @@ def percent(part: Column, whole: Column) -> Column:
 
 def null_count(column: str) -> Column:
     return F.count_if(F.col(column).isNull())
+
+
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """Make NaN and NULL one concept, before any comparison treats NaN as a number."""
+    floating = (T.DoubleType, T.FloatType)
+    return df.select(
+        *[
+            F.nanvl(F.col(f.name), F.lit(None).cast(f.dataType)).alias(f.name)
+            if isinstance(f.dataType, floating)
+            else F.col(f.name)
+            for f in df.schema.fields
+        ]
+    )

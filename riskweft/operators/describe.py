@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from riskweft.functions.shapiro import shapiro_wilk
-from riskweft.functions.tables import percent
+from riskweft.functions.tables import nan_to_null, percent
 from riskweft.operators.missing import modal_value
 from riskweft.operators.profile import categorical_summary, value_counts_by_column
 from riskweft.operators.quantiles import quantile_values, quantiles
@@ -78,6 +78,7 @@ def describe_numeric(
 
     The table is reduced to one row of sums; only that row reaches the driver.
     """
+    df = nan_to_null(df)
     if columns:
         require_columns(df, columns)
     names = [c for c in numeric_columns(df) if not columns or c in columns]
@@ -105,6 +106,7 @@ def describe_numeric(
 
 def describe_categorical(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """One row per text column: count, distinct values, the top value and its share."""
+    df = nan_to_null(df)
     if columns:
         require_columns(df, columns)
     names = [c for c in categorical_columns(df) if not columns or c in columns]
@@ -134,6 +136,7 @@ def describe_categorical(df: DataFrame, columns: Sequence[str] | None = None) ->
 
 def univariate_numeric(df: DataFrame, column: str, accuracy: int | None = None) -> DataFrame:
     """``describe_numeric`` of one column plus its smallest mode."""
+    df = nan_to_null(df)
     require_numeric(df, [column])
     mode = modal_value(df, column).select(F.col("value").cast("double"))
     return describe_numeric(df, [column], accuracy).withColumn("mode", mode.scalar())
@@ -141,6 +144,7 @@ def univariate_numeric(df: DataFrame, column: str, accuracy: int | None = None)
 
 def percentile_ladder(df: DataFrame, column: str, accuracy: int | None = None) -> DataFrame:
     """``(percentile, value)`` at 1, 5, 10, 25, 50, 75, 90, 95 and 99 percent."""
+    df = nan_to_null(df)
     require_numeric(df, [column])
     out = quantiles(df, column, [p / 100 for p in LADDER], accuracy)
     return out.select(
@@ -150,12 +154,14 @@ def percentile_ladder(df: DataFrame, column: str, accuracy: int | None = None) -
 
 def univariate_categorical(df: DataFrame, column: str) -> DataFrame:
     """Summary of one column taken as categories, whatever its type."""
+    df = nan_to_null(df)
     require_columns(df, [column])
     return describe_categorical(df.select(F.col(column).cast("string")), [column])
 
 
 def value_counts(df: DataFrame, column: str, top_n: int | None = None) -> DataFrame:
     """``(value, count, percentage)`` over non-null rows, most frequent first."""
+    df = nan_to_null(df)
     require_columns(df, [column])
     counts = (
         df.select(F.col(column).alias("value"))
@@ -173,6 +179,7 @@ def value_counts(df: DataFrame, column: str, top_n: int | None = None) -> DataFr
 
 def jarque_bera(df: DataFrame, column: str) -> DataFrame:
     """Normality test over all rows: statistic, closed-form p-value, verdict."""
+    df = nan_to_null(df)
     require_numeric(df, [column])
     x = F.col(column).cast("double")
     constant = F.min(x) == F.max(x)
@@ -199,6 +206,7 @@ def _shapiro(samples: pd.Series) -> pd.DataFrame:
 
 def shapiro_test(df: DataFrame, column: str, seed: int = 42) -> DataFrame:
     """Shapiro-Wilk on all values, or on a sample of 5000 when there are more."""
+    df = nan_to_null(df)
     require_numeric(df, [column])
     values = df.select(F.col(column).cast("double").alias("x")).dropna()
     # Never more than SHAPIRO_ROWS values reach the array.
@@ -216,4 +224,5 @@ def shapiro_test(df: DataFrame, column: str, seed: int = 42) -> DataFrame:
 
 
 def summarise_categories(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    df = nan_to_null(df)
     return categorical_summary(df, columns)

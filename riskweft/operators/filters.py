@@ -12,7 +12,7 @@ from functools import reduce
 from operator import and_
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 log = logging.getLogger(__name__)
 
@@ -38,13 +38,23 @@ def predicate(column: str, operator: str, value: Any = None) -> Column:
 
 
 def filter_rows(df: DataFrame, conditions: Mapping[str, tuple[str, Any]]) -> DataFrame:
-    """Keep rows meeting every condition, as one predicate the scan can push down."""
+    """Keep rows meeting every condition, as one predicate the scan can push down.
+
+    NaN counts as missing, as NULL does.
+    """
     parts = []
     for column, (operator, value) in conditions.items():
         if column not in df.columns:
             log.warning("Column %s not found, skipping filter", column)
             continue
-        parts.append(predicate(column, operator, value))
+        condition = predicate(column, operator, value)
+        if isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType)):
+            nan = F.isnan(F.col(column))
+            if operator in (">", ">=", "not_null"):
+                condition = condition & ~nan
+            elif operator in ("is_null", "not_in"):
+                condition = condition | nan
+        parts.append(condition)
     return df.filter(reduce(and_, parts)) if parts else df
 
 

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from riskweft.functions.tables import nan_to_null
 from riskweft.functions.pvalues import chi2_p, f_p, t_p, tail_p
 from riskweft.operators.metrics import CLAIMS, PREMIUM, largest_groups
 from riskweft.roles import require_columns
@@ -51,6 +52,7 @@ def group_summary(
     Everything any of the tests needs, from one aggregation.  ``top_k`` keeps the
     groups with most rows.
     """
+    df = nan_to_null(df)
     require_columns(df, [group])
     rows = df.withColumn("Group", F.col(group)).filter(F.col("Group").isNotNull())
     if selected is not None:
@@ -79,6 +81,7 @@ def claim_contingency(
     df: DataFrame, group: str, selected: Sequence | None = None, top_k: int | None = None
 ) -> DataFrame:
     """Per group: rows with and without a claim."""
+    df = nan_to_null(df)
     require_columns(df, [group, CLAIMS])
     return group_summary(df, group, {}, selected, top_k).drop("PolicyCount")
 
@@ -153,6 +156,7 @@ def chi_squared_test(
     alpha: float = 0.05,
 ) -> DataFrame:
     """Does claim frequency differ between groups?  One row."""
+    df = nan_to_null(df)
     _check(df, group, alpha)
     return _chi_squared_result(claim_contingency(df, group, selected, top_k), group, alpha)
 
@@ -209,6 +213,7 @@ def t_test(
     alpha: float = 0.05,
 ) -> DataFrame:
     """Welch's t-test between two groups, with Cohen's d.  One row."""
+    df = nan_to_null(df)
     _check(df, group, alpha, metric)
     table = group_summary(df, group, {metric: _metric(metric)}, [first, second])
     return _t_result(table, first, second, metric, alpha)
@@ -280,6 +285,7 @@ def group_means(
     at_least: int = 2,
 ) -> DataFrame:
     """Per group: count, mean and variance of the metric, for large enough groups."""
+    df = nan_to_null(df)
     name = metric if isinstance(metric, str) else "value"
     value = _metric(metric) if isinstance(metric, str) else metric
     return _means(group_summary(df, group, {name: value}, selected, top_k), name, at_least)
@@ -328,6 +334,7 @@ def anova_test(
     alpha: float = 0.05,
 ) -> DataFrame:
     """Does the metric differ between groups?  One row; means in ``group_means``."""
+    df = nan_to_null(df)
     _check(df, group, alpha, metric)
     table = group_summary(df, group, {metric: _metric(metric)}, selected, top_k)
     return _anova_result(table, group, metric, alpha)
@@ -398,6 +405,7 @@ def run_battery(df: DataFrame, specs: Sequence[TestSpec], alpha: float = 0.05) -
     Tests on the same groups share one aggregation of the rows; its result, a row per
     group, is cached because each statistic reads it more than once.
     """
+    df = nan_to_null(df)
     summaries: dict[tuple, DataFrame] = {}
 
     def summary(spec: TestSpec) -> DataFrame:

@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from riskweft.functions.tables import nan_to_null
 from riskweft.functions.labels import correlation_strength
 from riskweft.operators.ordering import running_total, sorted_blocks, with_position
 from riskweft.roles import pick_numeric
@@ -143,6 +144,7 @@ def _long(df: DataFrame, values: dict[tuple[str, str], float | None]) -> DataFra
 
 
 def covariance_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    df = nan_to_null(df)
     pairs = _pair_sums(df, _columns(df, columns))
     return _long(df, {k: p.covariance() for k, p in pairs.items()})
 
@@ -151,6 +153,7 @@ def correlation_matrix(
     df: DataFrame, columns: Sequence[str] | None = None, method: str = "pearson"
 ) -> DataFrame:
     """Pearson, Spearman or Kendall (tau-b) matrix over pairwise complete rows."""
+    df = nan_to_null(df)
     if method not in METHODS:
         raise ValueError(f"Method must be one of {METHODS}")
     names = _columns(df, columns)
@@ -194,6 +197,7 @@ def highly_correlated(
     df: DataFrame, columns: Sequence[str] | None = None, above: float = 0.7
 ) -> DataFrame:
     """Pairs (each once, in column order) with |r| above the limit, and their label."""
+    df = nan_to_null(df)
     names = _columns(df, columns)
     place = F.create_map(*[F.lit(v) for i, c in enumerate(names) for v in (c, i)])
     matrix = correlation_matrix(df, names)
@@ -315,6 +319,7 @@ def _discordant(pairs: DataFrame, block_rows: int) -> DataFrame:
 
 def kendall_tau(df: DataFrame, x: str, y: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row ``tau``: Kendall's tau-b over complete pairs; null for a constant column."""
+    df = nan_to_null(df)
     rows = df.select(
         F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y")
     ).dropna()

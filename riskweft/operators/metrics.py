@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from riskweft.functions.tables import nan_to_null
 from riskweft.operators.quantiles import quantile_values
 from riskweft.roles import require_columns, require_numeric
 
@@ -28,6 +29,7 @@ def has_claim(claims: str = CLAIMS) -> Column:
 
 def present(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows without nulls in the columns, as conditions a scan can push down."""
+    df = nan_to_null(df)
     for c in columns:
         df = df.filter(F.col(c).isNotNull())
     return df
@@ -40,6 +42,7 @@ def _grouped(df: DataFrame, by: Sequence[str]):
 
 def loss_ratio(df: DataFrame, claims: str = CLAIMS, premium: str = PREMIUM) -> DataFrame:
     """One row: total claims, total premium and their ratio."""
+    df = nan_to_null(df)
     require_numeric(df, [claims, premium])
     sums = df.agg(_total(claims).alias("total_claims"), _total(premium).alias("total_premium"))
     return sums.withColumn("loss_ratio", ratio("total_claims", "total_premium"))
@@ -49,6 +52,7 @@ def segment_totals(
     df: DataFrame, by: Sequence[str], claims: str = CLAIMS, premium: str = PREMIUM
 ) -> DataFrame:
     """Per segment: totals, ratio, row count and margin, in no particular order."""
+    df = nan_to_null(df)
     require_numeric(df, [claims, premium])
     return (
         _grouped(df, by)
@@ -66,6 +70,7 @@ def loss_ratio_by(
     df: DataFrame, by: Sequence[str], claims: str = CLAIMS, premium: str = PREMIUM
 ) -> DataFrame:
     """``segment_totals`` with the worst ratio first."""
+    df = nan_to_null(df)
     return segment_totals(df, by, claims, premium).orderBy(
         F.desc_nulls_last("loss_ratio"), *by
     )
@@ -82,6 +87,7 @@ def kpis(
     ``top_k`` keeps the groups with most rows.  It is applied to the aggregated
     groups, so choosing them costs no second look at the rows.
     """
+    df = nan_to_null(df)
     require_columns(df, [group, PREMIUM, CLAIMS])
     rows = present(df.select(F.col(group).alias("Group"), PREMIUM, CLAIMS), ["Group"])
     if selected is not None:
@@ -112,6 +118,7 @@ def kpi_loss_ratio(kpi: DataFrame) -> DataFrame:
 
 def coverage(df: DataFrame, group: str, k: int) -> DataFrame:
     """Rows inside the ``k`` largest groups, and their share of all rows."""
+    df = nan_to_null(df)
     require_columns(df, [group])
     counts = df.groupBy(F.col(group).alias("Group")).agg(F.count(F.lit(1)).alias("PolicyCount"))
     counts = counts.persist()
@@ -144,6 +151,7 @@ def margin_spread(kpi: DataFrame) -> DataFrame:
 
 def compare_two(df: DataFrame, group: str, first, second) -> DataFrame:
     """KPIs of two groups side by side, with first minus second."""
+    df = nan_to_null(df)
     table = kpis(df, group, [first, second])
     sides = []
     for measure in ("PolicyCount", "ClaimFrequency", "ClaimSeverity", "Margin"):
@@ -170,6 +178,7 @@ def monthly_trend(
     df: DataFrame, date: str = "TransactionMonth", claims: str = CLAIMS, premium: str = PREMIUM
 ) -> DataFrame:
     """Totals, row count and loss ratio per calendar month that occurs."""
+    df = nan_to_null(df)
     require_columns(df, [date])
     rows = df.withColumn("month", F.to_date(F.date_trunc("month", F.col(date))))
     return segment_totals(rows, ["month"], claims, premium).select(
@@ -195,6 +204,7 @@ def risk_matrix(
 ) -> DataFrame:
     """Loss ratio per (row, column) cell for the ``top_k`` most frequent columns."""
     # Counts per column value include rows whose other key is missing.
+    df = nan_to_null(df)
     cells = (
         df.dropna(subset=[column])
         .groupBy(row, column)
@@ -226,6 +236,7 @@ def risk_matrix_wide(matrix: DataFrame, row: str = "Province", column: str = "Ve
 
 def target_stats(df: DataFrame, target: str = CLAIMS) -> DataFrame:
     """Mean, median, maximum of the target and the share of positive values."""
+    df = nan_to_null(df)
     require_numeric(df, [target])
     median = quantile_values(df, {target: [0.5]})[target, 0.5]
     x = F.col(target)
@@ -240,6 +251,7 @@ def target_stats(df: DataFrame, target: str = CLAIMS) -> DataFrame:
 
 def row_ratio(df: DataFrame, claims: str = CLAIMS, premium: str = PREMIUM) -> DataFrame:
     """Claims over premium per row, a zero premium counting as one."""
+    df = nan_to_null(df)
     return df.withColumn(
         "LossRatio",
         F.col(claims) / F.when(F.col(premium) == 0, F.lit(1.0)).otherwise(F.col(premium)),

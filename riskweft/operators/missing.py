@@ -8,7 +8,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from riskweft.functions.tables import null_count
+from riskweft.functions.tables import nan_to_null, null_count
 from riskweft.operators.ordering import expand_copies, sorted_blocks
 from riskweft.operators.quantiles import quantile_values
 from riskweft.roles import categorical_columns, numeric_columns, require_columns, role_of
@@ -23,19 +23,6 @@ NUMERIC_STRATEGIES = ("mean", "median", "mode", "zero", "forward_fill", "backwar
 CATEGORICAL_STRATEGIES = ("mode", "constant", "forward_fill", "backward_fill")
 
 
-def nan_to_null(df: DataFrame) -> DataFrame:
-    """Make NaN and NULL one concept, before any comparison treats NaN as a number."""
-    floating = (T.DoubleType, T.FloatType)
-    return df.select(
-        *[
-            F.nanvl(F.col(f.name), F.lit(None).cast(f.dataType)).alias(f.name)
-            if isinstance(f.dataType, floating)
-            else F.col(f.name)
-            for f in df.schema.fields
-        ]
-    )
-
-
 def handle_missing(
     df: DataFrame,
     strategy: str = "auto",
@@ -48,6 +35,7 @@ def handle_missing(
     accuracy: int | None = None,
 ) -> DataFrame:
     """Drop, fill with a constant, or impute by role (``auto``)."""
+    df = nan_to_null(df)
     columns = list(columns) if columns else df.columns
     require_columns(df, columns)
     if strategy == "drop":
@@ -108,6 +96,7 @@ def modal_value(df: DataFrame, column: str) -> DataFrame:
     Counting before ranking keeps the state spread over the cluster, where the
     ``mode`` aggregate would hold every distinct value in one buffer.
     """
+    df = nan_to_null(df)
     counts = df.select(F.col(column).alias("value")).dropna().groupBy("value").agg(
         F.count(F.lit(1)).alias("n")
     )
@@ -124,6 +113,7 @@ def impute(
     partition_by: Sequence[str] = (),
     accuracy: int | None = None,
 ) -> DataFrame:
+    df = nan_to_null(df)
     if numeric_strategy not in NUMERIC_STRATEGIES:
         raise ValueError(f"Invalid numeric_strategy: {numeric_strategy}")
     if categorical_strategy not in CATEGORICAL_STRATEGIES:
@@ -195,6 +185,7 @@ def directional_fill(
     or when a partition is too large for one task, rows are range-sorted into blocks:
     each block's last values travel through a summary of one row per block.
     """
+    df = nan_to_null(df)
     if not order_by:
         raise ValueError("order_by is required: rows have no order of their own")
     require_columns(df, [*columns, *order_by, *partition_by])

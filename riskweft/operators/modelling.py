@@ -242,11 +242,13 @@ class Workbench:
     def train_random_forest(
         self, n_estimators: int = 100, max_depth: int | None = None, seed: int = 42
     ) -> DataFrame:
+        if max_depth is not None and max_depth > DEEPEST:
+            raise ValueError(f"max_depth goes up to {DEEPEST}")
         estimator = RandomForestRegressor(
             featuresCol=FEATURES,
             labelCol=LABEL,
             numTrees=n_estimators,
-            maxDepth=min(max_depth or DEEPEST, DEEPEST),
+            maxDepth=max_depth or DEEPEST,
             featureSubsetStrategy="all",
             seed=seed,
         )

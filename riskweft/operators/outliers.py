@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from riskweft.functions.tables import percent, stack_rows
+from riskweft.functions.tables import nan_to_null, percent, stack_rows
 from riskweft.operators.quantiles import quantile_values
 from riskweft.roles import is_numeric, numeric_columns, pick_numeric
 
@@ -50,6 +50,7 @@ def find_bounds(
     ``threshold`` multiplies the IQR, or counts (modified) standard deviations.
     ``population`` selects the divisor n instead of n - 1 for z-scores.
     """
+    df = nan_to_null(df)
     if method not in METHODS:
         raise ValueError(f"Method must be one of {METHODS}")
     columns = list(columns)
@@ -130,6 +131,7 @@ def treat_outliers(
     ``remove`` works column by column: each next column's limits come from the rows
     still left.  Capped and transformed columns become doubles.
     """
+    df = nan_to_null(df)
     if method not in METHODS:
         raise ValueError(f"Invalid method: {method}")
     if action not in ACTIONS:
@@ -192,6 +194,7 @@ def detect_outliers(
     ``keys`` names columns to carry along, which identify the rows.  Columns without
     outliers do not appear.
     """
+    df = nan_to_null(df)
     if method not in ("iqr", "zscore", "modified_zscore"):
         raise ValueError("Method must be one of ('iqr', 'zscore', 'modified_zscore')")
     names = pick_numeric(df, columns)
@@ -233,6 +236,7 @@ def outlier_report(
     accuracy: int | None = None,
 ) -> DataFrame:
     """Per numeric column: IQR limits, outlier count and share, extreme outliers."""
+    df = nan_to_null(df)
     names = [c for c in (columns or numeric_columns(df)) if is_numeric(df, c)]
     found = [
         b
@@ -274,6 +278,7 @@ def outlier_report(
 
 def compare_methods(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Outlier counts per column for IQR 1.5, z-score 3 and modified z-score 3.5."""
+    df = nan_to_null(df)
     names = pick_numeric(df, columns)
     methods = (("iqr", 1.5), ("zscore", 3.0), ("modified_zscore", 3.5))
     aggregates = []
@@ -290,5 +295,6 @@ def compare_methods(df: DataFrame, columns: Sequence[str] | None = None) -> Data
 
 def beyond_deviations(df: DataFrame, column: str, deviations: float = 3.0) -> DataFrame:
     """Rows whose value lies more than so many sample standard deviations from the mean."""
+    df = nan_to_null(df)
     (bounds,) = find_bounds(df, pick_numeric(df, [column]), "zscore", deviations)
     return df.filter(bounds.outside())

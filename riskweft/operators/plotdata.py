@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from riskweft.functions.tables import nan_to_null
 from riskweft.operators.describe import value_counts
 from riskweft.operators.matrix import correlation_matrix
 from riskweft.operators.metrics import CLAIMS, PREMIUM, kpis, loss_ratio_by, monthly_trend
@@ -25,6 +26,7 @@ FREQUENCIES = ("D", "W", "ME", "Q", "Y")
 
 def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     """``(bin, lower, upper, n)``: equal widths over [min, max], the last bin closed."""
+    df = nan_to_null(df)
     require_numeric(df, [column])
     x = F.col(column).cast("double")
     low, high = df.agg(F.min(x), F.max(x)).first()
@@ -48,6 +50,7 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
 
 def centre_lines(df: DataFrame, column: str, accuracy: int | None = None) -> DataFrame:
     """One row: the mean and the median, the two marks on a histogram."""
+    df = nan_to_null(df)
     require_numeric(df, [column])
     median = quantile_values(df, {column: [0.5]}, accuracy)[column, 0.5]
     return df.agg(
@@ -62,6 +65,7 @@ def density(df: DataFrame, column: str, bins: int = 30, points: int = 200) -> Da
     Bandwidth by Scott's rule.  Each task adds up its own values at all grid points,
     so only ``points`` rows per task are shuffled.
     """
+    df = nan_to_null(df)
     require_numeric(df, [column])
     x = F.col(column).cast("double")
     n, low, high, std = df.agg(F.count(x), F.min(x), F.max(x), F.stddev_samp(x)).first()
@@ -93,6 +97,7 @@ def density(df: DataFrame, column: str, bins: int = 30, points: int = 200) -> Da
 
 def category_bars(df: DataFrame, column: str, top_n: int | None = None) -> DataFrame:
     """``(value, count)``, most frequent first."""
+    df = nan_to_null(df)
     return value_counts(df, column, top_n).select("value", "count")
 
 
@@ -104,10 +109,11 @@ def scatter(
     x: str,
     y: str,
     extra: Sequence[str] = (),
-    sample: int | None = 10_000,
+    sample: int | None = None,
     seed: int = 42,
 ) -> DataFrame:
     """Points of two numeric columns with colour, size or hover columns alongside."""
+    df = nan_to_null(df)
     require_numeric(df, [x, y])
     require_columns(df, extra)
     names = list(dict.fromkeys([x, y, *extra]))
@@ -122,10 +128,11 @@ def interactive_scatter(
     color: str | None = None,
     size: str | None = None,
     hover: Sequence[str] = (),
-    sample: int | None = 10_000,
+    sample: int | None = None,
     seed: int = 42,
 ) -> DataFrame:
     """Like ``scatter``, with x and y of any type."""
+    df = nan_to_null(df)
     names = list(dict.fromkeys([x, y, *[c for c in (color, size) if c], *hover]))
     require_columns(df, names)
     points = df.select(*names)
@@ -134,6 +141,7 @@ def interactive_scatter(
 
 def regression_line(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row: least-squares slope and intercept; null for a constant x."""
+    df = nan_to_null(df)
     require_numeric(df, [x, y])
     a, b = F.col(x).cast("double"), F.col(y).cast("double")
     return df.agg(
@@ -150,6 +158,7 @@ def boxplot(
     df: DataFrame, column: str, by: str | None = None, accuracy: int | None = None
 ) -> DataFrame:
     """Quartiles, whiskers (extreme values within 1.5 IQR) and outlier counts per group."""
+    df = nan_to_null(df)
     require_numeric(df, [column])
     x = F.col(column).cast("double").alias("x")
     if by:
@@ -203,6 +212,7 @@ def resample(
 
     An empty period counts 0 for ``sum`` and ``count`` and is null otherwise.
     """
+    df = nan_to_null(df)
     require_columns(df, [date, value])
     if aggregation not in AGGREGATIONS:
         raise ValueError(f"Aggregation must be one of {list(AGGREGATIONS)}")
@@ -237,6 +247,7 @@ def resample(
 
 def trend_with_status(df: DataFrame, date: str = "TransactionMonth") -> DataFrame:
     """The monthly trend with each month marked profitable or not."""
+    df = nan_to_null(df)
     return monthly_trend(df, date).withColumn("status", _status(F.col("loss_ratio")))
 
 
@@ -255,6 +266,7 @@ def loss_ratio_bars(
     top_n: int | None = None,
 ) -> DataFrame:
     """Worst loss ratios first, flagged where claims exceed premium."""
+    df = nan_to_null(df)
     out = loss_ratio_by(df, [group_by], claims, premium).withColumn(
         "flag", F.when(F.col("loss_ratio") > 1, "loss").otherwise("profit")
     )
@@ -264,6 +276,7 @@ def loss_ratio_bars(
 
 def kpi_bars(df: DataFrame, group: str, selected=None, top_k: int | None = None) -> DataFrame:
     """``(Group, panel, value)`` for frequency, severity and margin."""
+    df = nan_to_null(df)
     table = kpis(df, group, selected, top_k)
     return table.unpivot("Group", ["ClaimFrequency", "ClaimSeverity", "Margin"], "panel", "value")
 
@@ -272,6 +285,7 @@ def dashboard(
     df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], bins: int = 30
 ) -> DataFrame:
     """``(panel, kind, key, value)``: histograms and top-10 counts of a few columns."""
+    df = nan_to_null(df)
     if len(numeric) > 3 or len(categorical) > 3:
         raise ValueError("Maximum 3 numeric and 3 categorical columns allowed")
     require_columns(df, [*numeric, *categorical])
@@ -306,4 +320,5 @@ def correlation_heatmap(
     df: DataFrame, columns: Sequence[str] | None = None, method: str = "pearson"
 ) -> DataFrame:
     """The matrix behind a heatmap, by any of the three methods."""
+    df = nan_to_null(df)
     return correlation_matrix(df, columns, method)

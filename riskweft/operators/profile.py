@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from riskweft import roles
-from riskweft.functions.tables import null_count, percent, stack_rows
+from riskweft.functions.tables import nan_to_null, null_count, percent, stack_rows
 from riskweft.operators.dedupe import duplicate_report
 from riskweft.operators.outliers import outlier_report
 from riskweft.operators.quantiles import quantile_values
@@ -30,6 +30,7 @@ def _missing_counts(df: DataFrame) -> DataFrame:
 
 
 def missing_summary(df: DataFrame) -> DataFrame:
+    df = nan_to_null(df)
     width = len(df.columns)
     nulls = [F.col(f"__null{i}") for i in range(width)]
     total = sum(nulls[1:], nulls[0])
@@ -48,6 +49,7 @@ def missing_summary(df: DataFrame) -> DataFrame:
 
 def missing_by_column(df: DataFrame, threshold: float = 0.0) -> DataFrame:
     """Missing count and percentage of the columns at or above the threshold."""
+    df = nan_to_null(df)
     table = stack_rows(
         _missing_counts(df),
         [
@@ -79,6 +81,7 @@ def _looks_numeric(column: str) -> Column:
 
 def numeric_text_columns(df: DataFrame) -> DataFrame:
     """Text columns whose every value reads as a number."""
+    df = nan_to_null(df)
     names = categorical_columns(df)
     schema = "column string, current_type string, suggested_type string"
     if not names:
@@ -103,6 +106,7 @@ def value_ranges(
     df: DataFrame, columns: Sequence[str] | None = None, accuracy: int | None = None
 ) -> DataFrame:
     """Range, centre, spread, zeros and negatives per numeric column."""
+    df = nan_to_null(df)
     names = [c for c in (columns or numeric_columns(df)) if is_numeric(df, c)]
     if not names:
         raise ValueError("No numeric columns to check")
@@ -146,6 +150,7 @@ def value_counts_by_column(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
     Rows are multiplied by the number of columns, but combined before the shuffle.
     """
+    df = nan_to_null(df)
     cells = F.array(
         *[
             F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
@@ -166,6 +171,7 @@ def _text_columns(df: DataFrame, columns: Sequence[str] | None) -> list[str]:
 
 def categorical_summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Distinct values, most and least common value per column; ties by value."""
+    df = nan_to_null(df)
     counts = value_counts_by_column(df, _text_columns(df, columns))
     present = F.col("value").isNotNull()
     pair = F.struct(F.col("n"), F.col("value"))
@@ -191,6 +197,7 @@ def top_values(
     df: DataFrame, columns: Sequence[str] | None = None, top_n: int = 10
 ) -> DataFrame:
     """The ``top_n`` most frequent values of each column; ties by value."""
+    df = nan_to_null(df)
     counts = value_counts_by_column(df, _text_columns(df, columns)).dropna(subset=["value"])
     # The rank filter keeps top_n values per map task before the shuffle.
     ranked = Window.partitionBy("column").orderBy(F.desc("n"), F.asc("value"))
@@ -203,6 +210,7 @@ def top_values(
 
 def table_info(df: DataFrame) -> DataFrame:
     """Rows, columns, roles, missing cells and duplicate rows of the current table."""
+    df = nan_to_null(df)
     summary = missing_summary(df)
     duplicates = duplicate_report(df)
     return summary.select(
@@ -232,6 +240,7 @@ def _facts(df: DataFrame) -> DataFrame:
 
 def quality_score(df: DataFrame) -> DataFrame:
     """One row: the deductions and the score from 100 down to 0."""
+    df = nan_to_null(df)
     return _scored(_facts(df))
 
 
@@ -283,6 +292,7 @@ def _advice(width: int) -> Column:
 
 def recommendations(df: DataFrame) -> DataFrame:
     """``(position, recommendation)``, empty for a clean table."""
+    df = nan_to_null(df)
     return _recommended(_facts(df), len(df.columns))
 
 
@@ -298,6 +308,7 @@ def quality_report(
     Makes one pass per section, over the columns it needs.  Cache the table first if
     it is the result of expensive joins.
     """
+    df = nan_to_null(df)
     if df.isEmpty():
         raise ValueError("Data cannot be empty")
     facts = _facts(df).persist()  # one row, read by four sections

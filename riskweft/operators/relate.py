@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from riskweft.functions.tables import nan_to_null
 from riskweft.functions.labels import correlation_strength
 from riskweft.functions.pvalues import chi2_p, f_p, t_p
 from riskweft.operators.hypothesis import contingency_statistic, f_statistic, group_means
@@ -21,6 +22,7 @@ def bivariate(df: DataFrame, first: str, second: str) -> dict[str, DataFrame]:
 
     Every column that is not numeric counts as categorical.
     """
+    df = nan_to_null(df)
     require_columns(df, [first, second])
     kinds = is_numeric(df, first), is_numeric(df, second)
     if all(kinds):
@@ -46,6 +48,7 @@ def _correlation_p(r: Column, n: Column) -> Column:
 
 def correlation(df: DataFrame, x: str, y: str, p_values: bool = True) -> DataFrame:
     """Pearson and Spearman over complete pairs, with p-values and a strength label."""
+    df = nan_to_null(df)
     require_numeric(df, [x, y])
     pairs = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
     pairs = pairs.dropna()
@@ -63,6 +66,7 @@ def group_statistics(
     df: DataFrame, number: str, category: str, accuracy: int | None = None
 ) -> DataFrame:
     """Count, mean, median, standard deviation, minimum and maximum per category."""
+    df = nan_to_null(df)
     require_numeric(df, [number])
     rows = df.select(
         F.col(category).alias("category"), F.col(number).cast("double").alias("x")
@@ -80,6 +84,7 @@ def group_statistics(
 
 def anova(df: DataFrame, number: str, category: str, p_value: bool = True) -> DataFrame:
     """One-way F over the categories with at least one value; nulls below two groups."""
+    df = nan_to_null(df)
     require_numeric(df, [number])
     means = group_means(df, category, F.col(number).cast("double"), at_least=1)
     out = f_statistic(means).withColumn(
@@ -102,6 +107,7 @@ def contingency(df: DataFrame, first: str, second: str, zero_fill: bool = True)
     The zero-filled result has a row per combination by definition.  A second column
     with more than 100,000 values needs ``zero_fill=False``, which has no such limit.
     """
+    df = nan_to_null(df)
     require_columns(df, [first, second])
     cells = _cells(df, first, second)
     if not zero_fill:
@@ -117,12 +123,14 @@ def contingency(df: DataFrame, first: str, second: str, zero_fill: bool = True)
 
 def contingency_wide(df: DataFrame, first: str, second: str) -> DataFrame:
     """One row per value of ``first`` and one column per value of ``second``."""
+    df = nan_to_null(df)
     rows = df.select(F.col(first), F.col(second).cast("string").alias("__b")).dropna()
     return rows.groupBy(first).pivot("__b").count().fillna(0)
 
 
 def chi_square(df: DataFrame, first: str, second: str, p_value: bool = True) -> DataFrame:
     """Test of independence, with the continuity correction for a 2 x 2 table."""
+    df = nan_to_null(df)
     require_columns(df, [first, second])
     out = contingency_statistic(_cells(df, first, second), "a", "b", "n")
     if p_value:

@@ -9,9 +9,6 @@ from pyspark.sql import DataFrame, functions as F
 from riskweft.session import checkpointed
 from riskweft.operators.quantiles import quantile_values
 
-# Largest sample one task gathers when it merges the top rows.
-ONE_TASK_ROWS = 100_000
-
 
 def preview(df: DataFrame, order_by: Sequence[str], n: int = 5) -> DataFrame:
     """The first ``n`` rows in the given order."""
@@ -21,24 +18,31 @@ def preview(df: DataFrame, order_by: Sequence[str], n: int = 5) -> DataFrame:
 def sample_rows(df: DataFrame, n: int = 1000, seed: int = 42) -> DataFrame:
     """A simple random sample of ``min(n, rows)`` rows without replacement.
 
-    Each row, copies included, draws its own number.  For a small sample only rows
-    with a draw low enough to matter are ordered: about ``n`` of them in total, not
-    ``n`` per task.  A large one finds the n-th lowest draw and filters, so no task
-    holds the sample.
+    The draw of a row is a hash of its values, the seed and, among equal rows, a copy
+    number: the same rows come back however the table is partitioned.  Only hashes are
+    shuffled to find the n lowest draws; no task holds the sample.
     """
     rows = df.count()
     if n >= rows:
         return df
-    drawn = df.withColumn("__draw", F.rand(seed))
-    if n <= ONE_TASK_ROWS:
-        # Twelve standard deviations above n: too few rows remain with odds of e^-70.
-        enough = (n + 12 * n**0.5 + 50) / rows
-        return drawn.filter(F.col("__draw") < enough).orderBy("__draw").limit(n).drop("__draw")
-    # Fix the draws: they must be the same for the cut and for the filter.
-    drawn = checkpointed(drawn)
-    share = (n - 0.5) / (rows - 1)  # between the n-th lowest draw and the next
-    cut = quantile_values(drawn, {"__draw": [share]})["__draw", share]
-    return drawn.filter(F.col("__draw") <= cut).drop("__draw")
+    if n <= 0:
+        return df.limit(0)
+    names = df.columns
+    keyed = df.withColumn("__key", F.xxhash64(*[F.col(f"`{c}`") for c in names], F.lit(seed)))
+    copies = keyed.groupBy("__key").agg(F.count(F.lit(1)).alias("__n"))
+    numbered = copies.select("__key", F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("__copy"))
+    mixed = F.xxhash64("__key", "__copy", F.lit(seed))
+    draws = numbered.withColumn("__draw", F.pmod(mixed, F.lit(1 << 53)) / float(1 << 53))
+    # Twelve standard deviations above n: too few rows remain with odds of e^-70.
+    draws = checkpointed(draws.filter(F.col("__draw") < (n + 12 * n**0.5 + 50) / rows))
+    left = draws.count()
+    if left > n:
+        share = (n - 0.5) / (left - 1)  # between the n-th lowest draw and the next
+        draws = draws.filter(F.col("__draw") <= quantile_values(draws, {"__draw": [share]})["__draw", share])
+    wanted = draws.groupBy("__key").agg(F.count(F.lit(1)).alias("__times"))
+    row = F.struct(*[F.col(f"`{c}`") for c in names])
+    once = keyed.join(wanted, "__key").groupBy("__key").agg(F.first(row).alias("__row"), F.max("__times").alias("__times"))
+    return once.select("__row", F.explode(F.sequence(F.lit(1), F.col("__times")))).select("__row.*")
 
 
 def split(

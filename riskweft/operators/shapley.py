@@ -21,8 +21,7 @@ from riskweft.operators.sampling import sample_rows
 
 # Feature count up to which all 2^p sets are evaluated.
 ALL_SETS = 10
-# Rows explained at most, and background rows at most: they bound the exploded table.
-MOST_BACKGROUND = 50
+METHODS = ("exact", "permutations")
 
 
 def linear_shapley(
@@ -47,32 +46,37 @@ def shapley_values(
     background: DataFrame,
     names: Sequence[str],
     sample_size: int = 100,
-    background_size: int = MOST_BACKGROUND,
+    background_size: int = 50,
+    method: str = "exact",
     permutations: int = 200,
     seed: int = 42,
 ) -> DataFrame:
     """``(row, feature, phi)`` for a sample of rows, each with a ``features`` vector.
 
-    Exact over all feature sets up to 10 features; above that the average over random
-    permutations (Strumbelj and Kononenko, 2014).  Per row the values add up to its
+    ``exact`` goes over all feature sets and refuses more than 10 features;
+    ``permutations`` averages over random orders (Strumbelj and Kononenko, 2014).  Per row the values add up to its
     prediction minus the average prediction of the background.
     """
     p = len(names)
+    if method not in METHODS:
+        raise ValueError(f"method is one of {METHODS}")
+    if method == "exact" and p > ALL_SETS:
+        raise ValueError(f"{p} features have too many sets; ask for method='permutations'")
     picked = sample_rows(rows.select(FEATURES), sample_size, seed)
     picked = picked.select(vector_to_array(FEATURES).alias("x"))
     picked = picked.select(F.monotonically_increasing_id().alias("row"), "x").persist()
-    others = _background(background, min(background_size, MOST_BACKGROUND), seed)
+    others = _background(background, background_size, seed)
     # Spread the few rows before they grow by background x sets.
     grown = picked.repartition(F.col("row")).select(
         "row", "x", F.explode(others).alias("b")
     )
-    if p <= ALL_SETS:
+    if method == "exact":
         return _over_all_sets(model, grown, names)
     return _over_permutations(model, grown, names, permutations, seed)
 
 
 def _background(background: DataFrame, size: int, seed: int) -> Column:
-    """At most 50 background vectors, as one array literal."""
+    """The sampled background vectors, as one array literal."""
     few = sample_rows(background.select(FEATURES), size, seed).collect()
     return F.array(*[F.array(*[F.lit(float(v)) for v in r[0].toArray()]) for r in few])
 

@@ -112,7 +112,10 @@ def spearman_with_missing(spark, sf):
     return rounded(matrix.filter(one).select("value"), value=6)
 
 
-@query("scatter_points")
+@query(
+    "scatter_points",
+    policy_sql("SELECT TotalPremium, TotalClaims, Gender, Cylinders FROM policy"),
+)
 def scatter_points(spark, sf):
     rows = policy_view(spark, sf, ["TotalPremium", "TotalClaims", "Gender", "Cylinders"])
     return V.scatter(rows, "TotalPremium", "TotalClaims", ["Gender", "Cylinders"])
@@ -127,7 +130,10 @@ def scatter_all_points(spark, sf):
     return V.scatter(rows, "TotalPremium", "TotalClaims", ["Gender"], sample=None)
 
 
-@query("interactive_scatter_points")
+@query(
+    "interactive_scatter_points",
+    policy_sql("SELECT TotalPremium, TotalClaims, Province, Cylinders, Bank FROM policy"),
+)
 def interactive_scatter_points(spark, sf):
     rows = policy_view(spark, sf, ["TotalPremium", "TotalClaims", "Province", "Bank", "Cylinders"])
     return V.interactive_scatter(

@@ -21,7 +21,8 @@ def save(
     """Write a folder of csv, pipe-delimited text or parquet files.
 
     Each task writes its own file, so nothing is gathered.  ``partition_by`` lays out
-    one folder per value, which later reads can prune.
+    one folder per value, which later reads can prune.  Text keeps its outer blanks, and
+    a quote inside a field is doubled.
     """
     if format not in FORMATS:
         raise ValueError(f"Invalid format: {format}. Supported: {', '.join(FORMATS)}")
@@ -32,4 +33,8 @@ def save(
         writer.options(**options).parquet(path)
         return
     separator = sep or ("|" if format == "txt" else ",")
-    writer.option("header", True).option("sep", separator).options(**options).csv(path)
+    plain = {
+        "header": True, "sep": separator, "quote": '"', "escape": '"',
+        "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+    }
+    writer.options(**plain).options(**options).csv(path)

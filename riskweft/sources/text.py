@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from py4j.protocol import Py4JJavaError
-from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 # Field texts that mean "missing": fixed values.
@@ -14,8 +12,8 @@ NA_TOKENS = (
 # Candidates in order of preference on a tie: fixed values.
 DELIMITERS = ("|", "\t", ",", ";", " ")
 
-_WHOLE = r"^\s*[-+]?\d{1,18}\s*$"
-_NUMBER = r"^\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*$"
+_NUMBER = r"^\s*[-+]?(?i:\d+\.?\d*(e[-+]?\d+)?|\.\d+(e[-+]?\d+)?|inf|infinity)\s*$"
+_BROKEN = "__broken_line"
 
 
 def _require_content(spark: SparkSession, path: str) -> None:
@@ -35,7 +33,7 @@ def load_delimited(
     delimiter: str = "|",
     encoding: str = "utf-8",
     schema: T.StructType | str | None = None,
-    mode: str = "FAILFAST",
+    multiline: bool = False,
 ) -> DataFrame:
     """A delimited text file (or folder of them) with a header line.
 
@@ -47,28 +45,32 @@ def load_delimited(
     reader = (
         spark.read.option("header", True)
         .option("sep", delimiter)
+        .option("quote", '"')
+        .option("escape", '"')
+        .option("multiLine", multiline)
         .option("encoding", encoding)
-        .option("mode", mode)
-        .option("enforceSchema", False)
         .option("inferSchema", False)
     )
-    raw = reader.csv(path)
-    text = raw.select(*[_missing_to_null(c) for c in raw.columns])
-    try:
-        if schema is not None:
-            wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-            out = text.select(
-                *[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in wanted.fields]
-            )
-            empty = raw.isEmpty()
-        else:
-            out, empty = _typed(text)
-    except (PySparkException, Py4JJavaError) as error:
-        if "MALFORMED" in str(error):
-            raise ValueError(
-                f"Error parsing {path} with delimiter {delimiter!r}; try another delimiter"
-            ) from error
-        raise
+    names = reader.csv(path).columns
+    fields = [T.StructField(n, T.StringType()) for n in [*names, _BROKEN]]
+    raw = reader.option("columnNameOfCorruptRecord", _BROKEN).schema(T.StructType(fields)).csv(path)
+    unquoted = F.regexp_replace(_BROKEN, r'"(?:[^"]|"")*"', "")
+    separators = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(delimiter), F.lit("")))
+    too_many = F.col(_BROKEN).isNotNull() & (separators >= len(names))
+    message = f"Error parsing {path} with delimiter {delimiter!r}; try another delimiter"
+    text = raw.select(*[_missing_to_null(c) for c in names], too_many.alias(_BROKEN))
+    if schema is not None:
+        # Checked as the rows are read.
+        checked = F.when(F.col(_BROKEN), F.raise_error(F.lit(message)).cast("boolean")).otherwise(True)
+        wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        out = text.filter(checked).select(
+            *[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in wanted.fields]
+        )
+        empty = raw.isEmpty()
+    else:
+        out, empty, broken = _typed(text)
+        if broken:
+            raise ValueError(message)
     if empty:
         raise ValueError(f"No data found in file: {path}")
     return out
@@ -79,33 +81,41 @@ def _missing_to_null(column: str) -> Column:
     return F.when(~x.isin(*NA_TOKENS), x).alias(column)
 
 
-def _typed(text: DataFrame) -> tuple[DataFrame, bool]:
-    def never(column: str, pattern: str) -> Column:
-        x = F.col(f"`{column}`")
-        return F.count_if(x.isNotNull() & ~x.rlike(pattern)) == 0
+def _typed(text: DataFrame) -> tuple[DataFrame, bool, bool]:
+    """The typed columns, whether there is no row, and whether a line has too many fields."""
+
+    def never(column: str, fits: Column) -> Column:
+        return F.count_if(F.col(f"`{column}`").isNotNull() & ~fits) == 0
 
-    names = text.columns
-    checks = [F.count(F.lit(1)).alias("__rows")]
+    names = [c for c in text.columns if c != _BROKEN]
+    checks = [F.count(F.lit(1)).alias("__rows"), F.count_if(_BROKEN).alias("__broken")]
     for i, c in enumerate(names):
+        x = F.col(f"`{c}`")
+        whole = x.rlike(r"^\s*[-+]?\d{1,19}\s*$") & F.trim(x).try_cast("bigint").isNotNull()
         checks += [
-            F.count(F.col(f"`{c}`")).alias(f"n{i}"),
-            never(c, _WHOLE).alias(f"whole{i}"),
-            never(c, _NUMBER).alias(f"number{i}"),
-            never(c, r"^([Tt]rue|TRUE|[Ff]alse|FALSE)$").alias(f"flag{i}"),
+            F.count(x).alias(f"n{i}"),
+            never(c, whole).alias(f"whole{i}"),
+            never(c, x.rlike(r"^\s*[-+]?\d+\s*$")).alias(f"digits{i}"),
+            never(c, x.rlike(_NUMBER)).alias(f"number{i}"),
+            never(c, x.rlike(r"^([Tt]rue|TRUE|[Ff]alse|FALSE)$")).alias(f"flag{i}"),
         ]
     row = text.agg(*checks).first()
     out = []
     for i, c in enumerate(names):
         x = F.col(f"`{c}`")
-        if row[f"n{i}"] == 0 or row[f"number{i}"] and not row[f"whole{i}"]:
-            out.append(F.trim(x).try_cast("double").alias(c))
+        if row[f"n{i}"] == 0:
+            out.append(x.try_cast("double").alias(c))
         elif row[f"whole{i}"]:
             out.append(F.trim(x).try_cast("bigint").alias(c))
+        elif row[f"digits{i}"]:
+            out.append(x)  # whole numbers too long for 64 bits keep all digits, as text
+        elif row[f"number{i}"]:
+            out.append(F.trim(x).try_cast("double").alias(c))
         elif row[f"flag{i}"]:
             out.append(x.try_cast("boolean").alias(c))
         else:
             out.append(x)
-    return text.select(*out), row["__rows"] == 0
+    return text.select(*out), row["__rows"] == 0, row["__broken"] > 0
 
 
 def delimiter_counts(spark: SparkSession, path: str, n_lines: int = 5) -> DataFrame:

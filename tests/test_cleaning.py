@@ -3,7 +3,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from riskweft.operators import dedupe, features, filters, missing, ordering, outliers
+from riskweft.operators import dedupe, describe, features, filters, matrix, missing, ordering, outliers
+from riskweft.operators import plotdata, profile
 from riskweft.operators import quantiles as Q
 
 
@@ -404,3 +405,21 @@ def test_features_skip_overwrite_and_zero_premium(spark):
     assert got[None].ClaimFrequency is None and got[1].ClaimFrequency == 1.0
     with pytest.raises(ValueError, match="Unknown features"):
         features.derive_features(df, ["Nope"])
+
+
+@pytest.mark.parametrize("run", [
+    lambda d: filters.filter_rows(d, {"x": (">", 0.5)}).select("x"),
+    lambda d: filters.filter_rows(d, {"x": ("not_null", None)}).select("x"),
+    lambda d: describe.describe_numeric(d, ["x"]),
+    lambda d: plotdata.histogram(d, "x", 4),
+    lambda d: outliers.treat_outliers(d, "zscore", "cap", ["x"], z_threshold=1.0),
+    lambda d: outliers.detect_outliers(d, columns=["x"]),
+    lambda d: profile.missing_by_column(d),
+    lambda d: missing.impute(d, "mean", "mode"),
+    lambda d: matrix.correlation_matrix(d, ["x", "y"]),
+])
+def test_nan_counts_as_missing(spark, run):
+    values = [(1.0, 2.0), (None, 1.0), (3.0, 5.0), (9.0, None), (4.0, 4.0)]
+    with_null = spark.createDataFrame(values, "x double, y double")
+    with_nan = with_null.fillna(float("nan"))
+    assert sorted(map(str, run(with_nan).collect())) == sorted(map(str, run(with_null).collect()))

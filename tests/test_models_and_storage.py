@@ -2,6 +2,7 @@ import itertools
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
@@ -82,17 +83,23 @@ def test_split_is_stable_and_complete(policies):
         sampling.split(policies, 1.2)
 
 
-def test_sample_sizes(policies, monkeypatch):
+def test_sample_sizes(policies):
     assert sampling.sample_rows(policies, 100).count() == 100
     assert sampling.sample_rows(policies, 5000).count() == 1000
     copies = policies.select(F.lit(1).alias("same"))
-    monkeypatch.setattr(sampling, "ONE_TASK_ROWS", 10)
     assert sampling.sample_rows(copies, 137).count() == 137
     assert sampling.sample_rows(copies, 5000).count() == 1000
     first = sampling.preview(policies, ["LineNo"], 3).collect()
     assert [r.LineNo for r in first] == [0, 1, 2]
 
 
+def test_sample_does_not_depend_on_partitions(policies):
+    rows = policies.unionByName(policies.limit(50))
+    one, many = (sampling.sample_rows(rows.repartition(k), 120, seed=7) for k in (1, 17))
+    assert sorted(map(str, one.collect())) == sorted(map(str, many.collect()))
+    assert sampling.sample_rows(rows, 120, seed=8).exceptAll(one).count() > 50
+
+
 # --- models ------------------------------------------------------------------------------
 
 
@@ -168,14 +175,11 @@ def test_shapley_of_a_linear_model_is_closed_form(bench):
         for r in few.collect()
         for c, x, m in zip(model.coefficients, r.features.toArray(), means)
     )
-    for all_sets in (10, 3):
-        shapley_all = shapley.ALL_SETS
-        try:
-            shapley.ALL_SETS = all_sets  # 3 < 7 features: the sampled way
-            got = shapley.shapley_values(model, few, back, names, 2, 5, permutations=3)
-            assert sorted(round(r.phi, 6) for r in got.collect()) == pytest.approx(want, abs=1e-5)
-        finally:
-            shapley.ALL_SETS = shapley_all
+    for method in shapley.METHODS:
+        got = shapley.shapley_values(model, few, back, names, 2, 5, method=method, permutations=3)
+        assert sorted(round(r.phi, 6) for r in got.collect()) == pytest.approx(want, abs=1e-5)
+    with pytest.raises(ValueError, match="permutations"):
+        shapley.shapley_values(model, few, back, [f"f{i}" for i in range(11)], 2, 5)
 
 
 def test_exact_weights_against_brute_force(spark, bench):
@@ -260,6 +264,35 @@ def test_load_errors(spark, tmp_path):
         text.load_delimited(spark, write(tmp_path, "m.txt", "a|b\n1|2\n3|4|5|6\n"))
 
 
+def test_load_what_pandas_writes(spark, tmp_path):
+    frame = pd.DataFrame({
+        "key": [9000000000000000001, 9000000000000000003, 3],
+        "text": [' lead ', 'say "hi", ok', "a|b"],
+        "number": [float("inf"), 1.5, None],
+        "long": ["123456789012345678901234", "1", "2"],
+    })
+    path = str(tmp_path / "own.csv")
+    frame.to_csv(path, index=False)
+    got = text.load_delimited(spark, path, ",").toPandas().sort_values("key").reset_index(drop=True)
+    want = frame.sort_values("key").reset_index(drop=True)
+    assert got.key.tolist() == want.key.tolist() and got.text.tolist() == want.text.tolist()
+    assert got.long.tolist() == want.long.tolist()
+    assert got.number.isna().tolist() == want.number.isna().tolist() and got.number.max() == float("inf")
+    broken = write(tmp_path, "short.txt", 'a|b|c\n1|2|3\n4|5\n"x ""y"" |z"|6|7\n')
+    rows = text.load_delimited(spark, broken).collect()
+    assert sorted(map(tuple, rows)) == [("1", 2, 3), ("4", 5, None), ('x "y" |z', 6, 7)]
+    lines = write(tmp_path, "lines.csv", 'a,b\n1,"two\nlines"\n')
+    assert text.load_delimited(spark, lines, ",", multiline=True).first()["b"] == "two\nlines"
+
+
+def test_pandas_reads_what_we_save(spark, tmp_path):
+    rows = [(1, " lead "), (2, 'a "quoted", field'), (3, "tab\there")]
+    path = str(tmp_path / "saved")
+    sinks.save(spark.createDataFrame(rows, "k int, t string").coalesce(1), path, "csv")
+    back = pd.read_csv(next((tmp_path / "saved").glob("part-*.csv")))
+    assert list(back.itertuples(index=False, name=None)) == rows
+
+
 @pytest.mark.parametrize("format", ["csv", "txt", "parquet"])
 def test_save_and_load(spark, policies, tmp_path, format):
     path = str(tmp_path / "deep" / "out")
