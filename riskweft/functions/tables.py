@@ -13,6 +13,15 @@ def stack_rows(wide: DataFrame, rows: Sequence[Mapping[str, Column]]) -> DataFra
     return wide.select(F.inline(F.array(*structs)))
 
 
+# Rows up to which a narrow table (a row per group or label) is sent to every task.
+BROADCAST_ROWS = 100_000
+
+
+def sent_if_small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` marked for broadcast when its counted ``rows`` are few; else joined as Spark decides."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def percent(part: Column, whole: Column) -> Column:
     """``100 * part / whole``; null when the whole is zero."""
     return F.try_divide(part * F.lit(100.0), whole)

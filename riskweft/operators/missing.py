@@ -6,10 +6,13 @@ import logging
 from collections.abc import Sequence
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from riskweft.functions.tables import nan_to_null, null_count
 from riskweft.operators.ordering import expand_copies, sorted_blocks
+from riskweft.session import checkpointed
 from riskweft.operators.quantiles import quantile_values
 from riskweft.roles import categorical_columns, numeric_columns, require_columns, role_of
 from riskweft import roles
@@ -18,6 +21,8 @@ log = logging.getLogger(__name__)
 
 # Rows a window partition may hold before a fill switches to range blocks.
 WINDOW_ROWS = 1_000_000
+# A sorted block this many times the average holds a hot place, if it is above WINDOW_ROWS.
+HOT_BLOCK = 4
 
 NUMERIC_STRATEGIES = ("mean", "median", "mode", "zero", "forward_fill", "backward_fill")
 CATEGORICAL_STRATEGIES = ("mode", "constant", "forward_fill", "backward_fill")
@@ -181,9 +186,9 @@ def directional_fill(
 ) -> DataFrame:
     """Carry the last (or next) value present, in the order of ``order_by``.
 
-    Give a total order.  Small partitions use one window.  Without ``partition_by``,
-    or when a partition is too large for one task, rows are range-sorted into blocks:
-    each block's last values travel through a summary of one row per block.
+    Give a total order.  Without ``partition_by`` rows are range-sorted into blocks and filled
+    inside each as they lie; each block's last values travel through a summary of one row per
+    block.  Small partitions use one window, a partition too large for one task the same blocks.
     """
     df = nan_to_null(df)
     if not order_by:
@@ -194,7 +199,70 @@ def directional_fill(
         largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
         if largest <= WINDOW_ROWS:
             return _windowed_fill(df, columns, order_by, keys, backward)
-    return _blocked_fill(df, columns, order_by, keys, backward)
+        return _blocked_fill(df, columns, order_by, keys, backward)
+    return _whole_fill(df, columns, order_by, backward)
+
+
+def _whole_fill(df, columns, order_by, backward):
+    """One range sort of the rows, then a fill that moves no row again."""
+    names = df.columns
+    blocks = _whole_blocks(df, order_by, backward)
+    edges = _whole_edges(blocks, columns)
+    sizes = edges.agg(F.max("__rows"), F.avg("__rows")).first()
+    if (sizes[0] or 0) > max(WINDOW_ROWS, HOT_BLOCK * (sizes[1] or 0)):
+        # Very many rows in one place sort into one block.  Collapse exact copies and let the
+        # other columns order the rest, so that sorting can cut between them.
+        copies = df.groupBy(*names).agg(F.count(F.lit(1)).alias("__copies"))
+        place = [*order_by, *[c for c in names if c not in order_by]]
+        blocks = _whole_blocks(copies, place, backward)
+        filled = _filled_in_place(blocks, _whole_edges(blocks, columns), columns)
+        return expand_copies(filled.select(*names, "__copies"), "__copies").select(*names)
+    return _filled_in_place(blocks, edges, columns).select(*names)
+
+
+def _whole_blocks(df, place, backward):
+    """Rows sorted towards the fill, fixed, with the number of the block they lie in."""
+    order = [F.desc(c) if backward else F.asc(c) for c in place]
+    return checkpointed(df.orderBy(*order)).withColumn("__block", F.spark_partition_id())
+
+
+def _whole_edges(blocks, columns):
+    """Rows and last values of each block; the partial aggregate leaves one row per task."""
+    place = F.monotonically_increasing_id()
+    rows = blocks.select("*", place.alias("__index"))
+    last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("__index"))) for c in columns]
+    return rows.groupBy("__block").agg(
+        F.count(F.lit(1)).alias("__rows"), *[v.alias(f"__edge{i}") for i, v in enumerate(last)]
+    ).persist()
+
+
+def _filled_in_place(blocks, edges, columns):
+    # As many rows as there are partitions, whatever the size of the table.
+    before = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = edges.select(
+        F.col("__block").alias("__of_block"),
+        *[F.last(f"__edge{i}", ignorenulls=True).over(before).alias(f"__carried{i}") for i in range(len(columns))],
+    )
+    names = list(columns)
+
+    def forward(batches):
+        last = {}
+        for batch in batches:
+            for c in names:
+                at = batch.schema.get_field_index(c)
+                values = batch.column(at)
+                if c not in last:
+                    last[c] = pa.nulls(1, values.type)
+                joined = pa.concat_arrays([last[c], values])
+                seen = np.where(joined.is_valid().to_numpy(zero_copy_only=False), np.arange(len(joined)), 0)
+                filled = joined.take(pa.array(np.maximum.accumulate(seen)))
+                last[c] = filled[-1:]
+                batch = batch.set_column(at, batch.schema.field(at), filled[1:])
+            yield batch
+
+    filled = blocks.mapInArrow(forward, blocks.schema)
+    joined = filled.join(F.broadcast(carried), F.col("__block") == F.col("__of_block"), "left")
+    return joined.withColumns({c: F.coalesce(c, f"__carried{i}") for i, c in enumerate(columns)})
 
 
 def _windowed_fill(df, columns, order_by, keys, backward):

@@ -10,6 +10,7 @@ from pyspark.ml.feature import StringIndexerModel, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, functions as F
 
+from riskweft.functions.tables import sent_if_small
 from riskweft.operators.features import vehicle_age
 from riskweft.operators.ordering import with_position
 from riskweft.operators.profile import value_counts_by_column
@@ -198,13 +199,14 @@ def _codes(values: DataFrame) -> DataFrame:
 def label_encode(df: DataFrame, column: str, output: str | None = None) -> DataFrame:
     """Codes 0..k-1 in sorted order of the values; a missing value has no code.
 
-    The codes are a table of the distinct values, joined back: broadcast when it
-    measures small, and at any size never collected.
+    The codes are a table of the distinct values, joined back: broadcast when they
+    are counted few, and at any size never collected.
     """
     output = output or f"{column}_encoded"
     text = F.col(column).cast("string")
     values = df.select(text.alias("value")).filter(F.col("value").isNotNull()).distinct()
     codes = _codes(values).select(F.col("value").alias("__value"), F.col("code").alias(output))
+    codes = sent_if_small(codes.persist(), codes.count())
     return df.drop(output).join(codes, text == F.col("__value"), "left").drop("__value")
 
 

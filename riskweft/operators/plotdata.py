@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from riskweft.functions.tables import nan_to_null
+from riskweft.functions.tables import nan_to_null, sent_if_small
 from riskweft.operators.describe import value_counts
 from riskweft.operators.matrix import correlation_matrix
 from riskweft.operators.metrics import CLAIMS, PREMIUM, kpis, loss_ratio_by, monthly_trend
@@ -161,11 +161,10 @@ def boxplot(
     df = nan_to_null(df)
     require_numeric(df, [column])
     x = F.col(column).cast("double").alias("x")
-    if by:
-        require_columns(df, [by])
-        rows = df.select(F.col(by).alias("group"), x).dropna()
-    else:
-        rows = df.select(F.lit("all").alias("group"), x).dropna()
+    if not by:
+        return _single_box(df.select(x).dropna(), accuracy)
+    require_columns(df, [by])
+    rows = df.select(F.col(by).alias("group"), x).dropna()
     plan = plan_quantiles(rows, {"x": [0.25, 0.5, 0.75]}, by=["group"], accuracy=accuracy)
     boxes = plan.rows.groupBy(F.col("group").alias("__group")).agg(
         F.count("x").alias("n"),
@@ -173,15 +172,31 @@ def boxplot(
         plan["x", 0.5].alias("median"),
         plan["x", 0.75].alias("q3"),
     )
-    iqr = F.col("q3") - F.col("q1")
-    # One row per group; broadcast by AQE when it measures small.
-    marked = rows.join(boxes, F.col("group") == F.col("__group"))
-    inside = F.col("x").between(F.col("q1") - WHISKER * iqr, F.col("q3") + WHISKER * iqr)
-    return marked.groupBy("group", "n", "q1", "median", "q3").agg(
+    boxes = boxes.persist()
+    # One row per group, counted before it is sent to the rows.
+    marked = rows.join(sent_if_small(boxes, boxes.count()), F.col("group") == F.col("__group"))
+    return marked.groupBy("group", "n", "q1", "median", "q3").agg(*_whiskers(F.col("q1"), F.col("q3")))
+
+
+def _single_box(rows: DataFrame, accuracy: int | None) -> DataFrame:
+    """The box of all rows: exact quartiles first, then one aggregate; no row for an empty table."""
+    found = quantile_values(rows, {"x": [0.25, 0.5, 0.75]}, accuracy)
+    q1, median, q3 = [F.lit(found["x", p]).cast("double") for p in (0.25, 0.5, 0.75)]
+    box = rows.agg(F.count("x").alias("n"), *_whiskers(q1, q3)).filter("n > 0")
+    return box.select(
+        F.lit("all").alias("group"), "n", q1.alias("q1"), median.alias("median"), q3.alias("q3"),
+        "whisker_low", "whisker_high", "outliers",
+    )
+
+
+def _whiskers(q1: Column, q3: Column) -> list[Column]:
+    reach = WHISKER * (q3 - q1)
+    inside = F.col("x").between(q1 - reach, q3 + reach)
+    return [
         F.min(F.when(inside, F.col("x"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("x"))).alias("whisker_high"),
         F.count_if(~inside).alias("outliers"),
-    )
+    ]
 
 
 # --- time ------------------------------------------------------------------------------

@@ -65,13 +65,28 @@ def missing_by_column(df: DataFrame, threshold: float = 0.0) -> DataFrame:
 
 
 def column_types(df: DataFrame) -> DataFrame:
-    """``(column, dtype, role)`` from the schema."""
-    rows = [(f.name, f.dataType.simpleString(), role_of(f.dataType)) for f in df.schema.fields]
-    return df.sparkSession.createDataFrame(rows, "column string, dtype string, role string")
+    """``(column, dtype, role, present)``: the schema, with the values present in each column."""
+    df = nan_to_null(df)
+    counts = df.agg(*[F.count(F.col(c)).alias(f"__n{i}") for i, c in enumerate(df.columns)])
+    return stack_rows(
+        counts,
+        [
+            {
+                "column": F.lit(f.name),
+                "dtype": F.lit(f.dataType.simpleString()),
+                "role": F.lit(role_of(f.dataType)),
+                "present": F.col(f"__n{i}"),
+            }
+            for i, f in enumerate(df.schema.fields)
+        ],
+    )
 
 
 def type_distribution(df: DataFrame) -> DataFrame:
-    return column_types(df).groupBy("dtype").agg(F.count(F.lit(1)).alias("columns"))
+    """``(dtype, columns, present)``: columns of each type and the values present in them."""
+    return column_types(df).groupBy("dtype").agg(
+        F.count(F.lit(1)).alias("columns"), F.sum("present").alias("present")
+    )
 
 
 def _looks_numeric(column: str) -> Column:
@@ -324,7 +339,7 @@ def quality_report(
                 "duplicate_count", "duplicate_percentage", "unique_count", "unique_percentage"
             ),
         ),
-        _melt("data_types", column_types(df), "column"),
+        _melt("data_types", column_types(df).drop("present"), "column"),
         _melt("type_issues", numeric_text_columns(df), "column"),
         _melt("quality_score", _scored(facts).select("quality_score")),
         _recommendation_part(_recommended(facts, len(df.columns))),

@@ -16,6 +16,8 @@ from math import floor
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from riskweft.functions.tables import sent_if_small
+
 SKETCH_K = 8_000
 # Four times the rank error of a sketch of that size (2.296 / k^0.9021).
 SKETCH_MARGIN = 4 * 2.296 / SKETCH_K**0.9021
@@ -249,9 +251,10 @@ def plan_quantiles(
         )
     keys = [F.col(c).alias(f"__key{k}") for k, c in enumerate(by)]
     bounds = df.groupBy(*keys).agg(*_group_sketches(wanted)).persist()
-    largest = bounds.agg(
-        F.max(F.greatest(F.lit(0), *[F.col(f"__n{i}") for i in range(len(wanted))]))
-    ).first()[0]
+    largest, groups = bounds.agg(
+        F.max(F.greatest(F.lit(0), *[F.col(f"__n{i}") for i in range(len(wanted))])),
+        F.count(F.lit(1)),
+    ).first()
     margin = SKETCH_MARGIN
     finer = int((largest or 0) * 2 * SKETCH_MARGIN) > BUFFER_VALUES
     if finer:
@@ -282,9 +285,9 @@ def plan_quantiles(
     for k, c in enumerate(by):
         part = F.col(c).eqNullSafe(F.col(f"__key{k}"))
         condition = part if condition is None else condition & part
-    # One row per group: AQE broadcasts it when it measures small, and splits a hot
-    # group's partition when it has to shuffle.
-    rows = df.join(bounds, condition, "left")
+    # One row per group: few groups are sent to the rows; with many, AQE splits a hot
+    # group's partition.
+    rows = df.join(sent_if_small(bounds, groups), condition, "left")
     aggregates = {}
     for i, (c, ps) in enumerate(wanted.items()):
         x = F.col(c).cast("double")

@@ -75,7 +75,8 @@ def missing_above(spark, sf):
     policy_sql(
         """SELECT missing = 0 AS is_valid, missing::BIGINT AS missing_columns,
   extra::BIGINT AS extra_columns, total::BIGINT AS total_columns, 52::BIGINT AS expected_columns,
-  round(100.0 * (52 - missing) / 52, 6) AS match_percentage
+  round(100.0 * (52 - missing) / 52, 6) AS match_percentage,
+  (SELECT count(*) FROM policy) AS "rows"
 FROM (SELECT 52 - len(list_intersect(e, a)) AS missing, len(a) - len(list_intersect(e, a)) AS extra,
              len(a) AS total
       FROM (SELECT ["""
@@ -92,6 +93,7 @@ def schema_validation(spark, sf):
         "total_columns",
         "expected_columns",
         F.round("match_percentage", 6).alias("match_percentage"),
+        "rows",
     )
 
 
@@ -157,11 +159,42 @@ def random_sample_size(spark, sf):
     return picked.withColumn("total", rows.agg(F.count(F.lit(1))).scalar())
 
 
-@query("column_types")
+# Names of the same types on the two sides: fixed values.
+_TYPE_NAMES = {
+    "BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string",
+    "TIMESTAMP": "timestamp_ntz", "TIMESTAMP_NS": "timestamp_ntz", "DATE": "date",
+}
+_TYPES_SQL = (
+    "SELECT column_name AS \"column\", CASE column_type "
+    + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in _TYPE_NAMES.items())
+    + """ END AS dtype,
+  CASE WHEN column_type = 'VARCHAR' THEN 'categorical' WHEN column_type LIKE 'TIMESTAMP%' OR column_type = 'DATE'
+    THEN 'datetime' ELSE 'numerical' END AS role, present
+FROM (DESCRIBE policy) JOIN (
+"""
+    + "\nUNION ALL ".join(
+        f"SELECT '{c}' AS name, count({c}) AS present FROM policy" for c in POLICY_COLUMNS
+    )
+    + ") ON name = column_name"
+)
+
+
+@query("column_types", policy_sql(_TYPES_SQL))
 def column_types(spark, sf):
     return P.column_types(policy_view(spark, sf))
 
 
+@query(
+    "type_distribution",
+    policy_sql(
+        f"""SELECT dtype, count(*) AS columns, sum(present)::BIGINT AS present
+FROM ({_TYPES_SQL}) GROUP BY dtype"""
+    ),
+)
+def type_distribution(spark, sf):
+    return P.type_distribution(policy_view(spark, sf))
+
+
 @query(
     "numeric_text_columns",
     policy_sql(
