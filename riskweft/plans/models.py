@@ -18,6 +18,8 @@ INPUT = [
     "Province", "VehicleType", "Gender", "RegistrationYear", "TotalPremium", "SumInsured",
     "CalculatedPremiumPerTerm", "TotalClaims",
 ]
+# Depth the analysis asks of its forest; trees, rounds and explained rows are the defaults.
+FOREST_DEPTH = 15
 
 
 @query(
@@ -185,8 +187,8 @@ def _bench(spark, sf):
 def _trained(spark, sf):
     bench = _bench(spark, sf)
     bench.train_linear_regression()
-    bench.train_random_forest(n_estimators=10, max_depth=5)
-    bench.train_boosted_trees(n_estimators=5, max_depth=4)
+    bench.train_random_forest(max_depth=FOREST_DEPTH)
+    bench.train_boosted_trees()
     return bench
 
 
@@ -213,14 +215,14 @@ def best_model(spark, sf):
 @query("random_forest_importance")
 def random_forest_importance(spark, sf):
     bench = _bench(spark, sf)
-    bench.train_random_forest(n_estimators=10, max_depth=5)
+    bench.train_random_forest(max_depth=FOREST_DEPTH)
     return bench.feature_importance("Random Forest")
 
 
 @query("boosted_trees_importance")
 def boosted_trees_importance(spark, sf):
     bench = _bench(spark, sf)
-    bench.train_boosted_trees(n_estimators=5, max_depth=4)
+    bench.train_boosted_trees()
     return bench.feature_importance("Boosted Trees")
 
 
@@ -235,19 +237,17 @@ def predicted_risk_bands(spark, sf):
 @query("shapley_random_forest")
 def shapley_random_forest(spark, sf):
     bench = _bench(spark, sf)
-    bench.train_random_forest(n_estimators=5, max_depth=4)
+    bench.train_random_forest(max_depth=FOREST_DEPTH)
     return shapley.shapley_values(
-        bench.models["Random Forest"], bench.test, bench.train, bench.steps.names,
-        sample_size=50, background_size=20,
+        bench.models["Random Forest"], bench.test, bench.train, bench.steps.names
     )
 
 
 @query("shapley_ranking_boosted_trees")
 def shapley_ranking(spark, sf):
     bench = _bench(spark, sf)
-    bench.train_boosted_trees(n_estimators=5, max_depth=4)
+    bench.train_boosted_trees()
     values = shapley.shapley_values(
-        bench.models["Boosted Trees"], bench.test, bench.train, bench.steps.names,
-        sample_size=50, background_size=20,
+        bench.models["Boosted Trees"], bench.test, bench.train, bench.steps.names
     )
     return shapley.mean_absolute(values)
