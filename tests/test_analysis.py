@@ -495,6 +495,12 @@ def test_resample_matches_pandas(spark, freq, rule, how):
         assert got[t.date()] == (None if pd.isna(v) else pytest.approx(v))
 
 
+def test_single_boxplot_of_an_empty_table_has_no_row(spark):
+    assert V.boxplot(spark.createDataFrame([], "x double"), "x").count() == 0
+    r = V.boxplot(spark.createDataFrame([(float(v),) for v in (1, 2, 3, 4, 100)], "x double"), "x").first()
+    assert (r.group, r.n, r.q1, r.median, r.q3, r.whisker_high, r.outliers) == ("all", 5, 2.0, 3.0, 4.0, 4.0, 1)
+
+
 def test_boxplot_by_hand(spark):
     df = spark.createDataFrame([("g", float(v)) for v in (1, 2, 3, 4, 100)], "k string, x double")
     r = V.boxplot(df, "x", "k").first()

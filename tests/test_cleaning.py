@@ -187,6 +187,21 @@ def test_directional_fill(spark, monkeypatch, backward, keys, parts):
     assert rows_of(got, "i") == want
 
 
+def test_fill_keeps_types_and_leading_gaps(spark):
+    df = spark.sql(
+        """SELECT CAST(id AS INT) AS i, IF(id = 7, 'a', NULL) AS k,
+                  IF(id IN (3, 12), CAST(id AS DECIMAL(20, 2)), NULL) AS d,
+                  IF(id = 4, DATE'2020-01-02', NULL) AS t FROM range(20)"""
+    ).repartition(5)
+    got = missing.directional_fill(df, ["k", "d", "t"], ["i"])
+    assert got.schema.simpleString() == df.schema.simpleString()
+    out = {r.i: r for r in got.collect()}
+    assert [out[i].k for i in (0, 6, 7, 19)] == [None, None, "a", "a"]
+    assert [None if out[i].d is None else int(out[i].d) for i in (2, 3, 11, 12, 19)] == [None, 3, 3, 12, 12]
+    assert out[3].t is None and str(out[19].t) == "2020-01-02"
+    assert missing.directional_fill(df.limit(0), ["k"], ["i"]).count() == 0
+
+
 def test_fill_with_a_hot_place_collapses_copies(spark, monkeypatch):
     monkeypatch.setattr(missing, "WINDOW_ROWS", 10)
     df = spark.sql(
