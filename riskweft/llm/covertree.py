@@ -328,7 +328,8 @@ def top_k(
     """
     pick = lambda df: df.select(F.col(id).cast("bigint").alias("id"), F.col(vector).cast("array<bigint>").alias("vector")).filter("id IS NOT NULL AND vector IS NOT NULL")
     points, asked = pick(vectors), pick(queries).distinct()
-    drawn = points.orderBy(F.xxhash64("id"), "id").limit(sample).toPandas()  # at most ``sample`` rows
+    # At most ``sample`` rows, each candidate once: a repeated row must not lift a floor by itself.
+    drawn = points.distinct().orderBy(F.xxhash64("id"), "id", "vector").limit(sample).toPandas()
     width = max((len(v) for v in drawn["vector"]), default=0)
     matrix = np.zeros((len(drawn), width))
     for row, v in zip(matrix, drawn["vector"]):

@@ -33,6 +33,19 @@ def test_top_k_equals_brute_force(spark, copies):
     assert sorted(map(tuple, found.collect())) == brute_top_k(rows)
 
 
+@pytest.mark.parametrize("sample", [500, 20])
+def test_top_k_of_repeated_rows(spark, sample):
+    """Rows repeated in any number count once, in the first bounds too."""
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.integers(-200, 200, 8).tolist()) for i in range(300)]
+    near = {b[2] for b in brute_top_k(rows) if b[1] == 1}
+    every = rows + [r for r in rows if r[0] in near for _ in range(6)]
+    every += [(301, [v for v in rows[0][1]]), (301, [-v for v in rows[0][1]])]  # one id, two vectors
+    table = spark.createDataFrame(every, "vec_id long, vector array<long>")
+    found = covertree.top_k(table, table.filter("vec_id % 5 = 0"), sample=sample, pivots=6, block_rows=60)
+    assert sorted(map(tuple, found.collect())) == brute_top_k(every)
+
+
 def test_top_k_of_few_and_no_vectors(spark):
     schema = "vec_id long, vector array<long>"
     few = spark.createDataFrame([(0, [1, 2]), (1, [3, 4]), (2, [0, 0])], schema)
