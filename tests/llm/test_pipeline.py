@@ -5,6 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
+from riskweft.llm import neardup
 from riskweft.llm.queries import ORACLES, QUERIES
 
 SCHEMAS = {
@@ -72,6 +73,42 @@ def test_run_gives_the_same_rows(spark, planted):
     assert out.count() == 120 - 30 + 2 and out.filter("n_tokens > 0").count() == out.count()
 
 
+def brute_groups(texts):
+    """The least place reachable over pairs with a Jaccard similarity of 0.8 of their five-word shingles."""
+    cut = [t.lower().split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in cut]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if label[i] != label[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9:
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    return label
+
+
+def test_near_dedup_drops_texts_with_a_few_edited_words(spark, tmp_path):
+    rng, texts = random.Random(8), []
+    for i in range(25):
+        base = words(900 + i, rng.choice([4, 60, 120, 300])).split()
+        texts.append(" ".join(base))
+        for edits in (1, 1, 2, 4, 8):
+            copy = list(base)
+            for at in rng.sample(range(len(copy)), min(edits, len(copy))):
+                copy[at] = f"edit{rng.random()}"
+            texts.append(" ".join(copy))
+        for _ in range(6):  # a chain: each text is near the last one
+            copy[rng.randrange(len(copy))] = f"edit{rng.random()}"
+            texts.append(" ".join(copy))
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMAS["documents"])
+    kept = corpus_pipeline.remove_near_duplicates(spark, docs, str(tmp_path)).collect()
+    want = brute_groups(texts)
+    for chunk in (1_000, 3):
+        rows = neardup.near_duplicates(docs, chunk=chunk).collect()
+        groups = {c: min(r["doc_id"] for r in rows if r["component"] == c) for c in {r["component"] for r in rows}}
+        assert [groups[r["component"]] for r in sorted(rows, key=lambda r: r["doc_id"])] == want
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(want)) and len(kept) < len(texts) / 2
+
+
 def test_pipeline_on_empty_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, write(spark, tmp_path, {})).count() == 0
 
