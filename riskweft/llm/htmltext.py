@@ -2,7 +2,7 @@
 
 A page is cut into tags, text and comments; a small tree builder supplies the tags that HTML leaves out
 (a paragraph ends where a block begins, list items and table cells end each other, table rows imply a
-body) and closes what stays open.  Rendering walks the tree with the display and visibility rules of the
+body, the head ends before anything that cannot stand in it) and closes what stays open.  Rendering walks the tree with the display and visibility rules of the
 element names and of ``hidden``, ``style`` and ``aria-hidden`` attributes: every visible text is emitted
 once.  Blocks stand apart by one line break, paragraphs and headings by a blank line; list items carry a
 bullet or number and an indent; the cells of a table are padded to the width of their column.
@@ -50,6 +50,8 @@ IMPLIED_END = {
     "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
     "body": ({"head"}, {"html"}),
 }
+#: What may stand in a head; anything else, and text, ends it.
+IN_HEAD = frozenset("base link meta title style script noscript noframes template head html".split())
 #: Elements that an end tag inside does not close.
 SCOPE = frozenset("table td th caption button template html".split())
 
@@ -103,7 +105,13 @@ def build_tree(page: str) -> Element:
                 close_to(names, borders)
                 return
 
+    def end_head() -> None:
+        if open_[-1].name == "head":
+            cut(len(open_) - 1)
+
     def text(value: str) -> None:
+        if value.strip(" \t\n\r\f"):
+            end_head()
         if value:
             open_[-1].children.append(value)
 
@@ -127,6 +135,7 @@ def build_tree(page: str) -> Element:
         name = name.lower()
         if closing:
             if name == "br":
+                end_head()
                 open_[-1].children.append(Element("br"))
             elif name == "p" and not tally.get("p"):
                 open_[-1].children.append(Element("p"))
@@ -138,6 +147,10 @@ def build_tree(page: str) -> Element:
                     if open_[k].name in SCOPE and name not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
                         break
             continue
+        if name not in IN_HEAD:
+            end_head()
+        if name == "head" and open_[-1].name not in ("#root", "html"):
+            continue
         if name in ENDS_PARAGRAPH:
             close_to({"p"}, SCOPE)
         if name in IMPLIED_END:

@@ -286,6 +286,9 @@ PAGES = [
     ("1 < 2 <3", "1 < 2 <3"),
     ("<title>no</title><h1>H</h1>x<hr>y<img alt=pic>", "H\n\nx\n\nypic"),
     ("<table><caption>cap</caption><tr><td colspan=2>wide one<tr><td>a<td>b</table>", "cap\nwide one\na  b"),
+    ("<html><head><title>T</title><p>Hello", "Hello"), ("<head><meta charset=x>\n <script>a</script> text <b>b</b>", "text b"),
+    ("<head><link rel=a><style>x</style><template>t</template><div>d</div></head><p>e", "d\n\ne"),
+    ("<head><title>T</title>\n<body>x<head>y</head>z", "xyz"), ("<p>a<head>b", "ab"), ("<head> <title>T</title> </head>", ""),
     ("", ""), (None, ""), ("<<<>>>", "<<<>>>"), ("<div>" * 5000 + "deep", "deep"), ("<ul><li>" * 200 + "in", None),
 ]
 
