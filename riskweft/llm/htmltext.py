@@ -3,8 +3,8 @@
 A page is cut into tags, text and comments; a small tree builder supplies the tags that HTML leaves out
 (a paragraph ends where a block begins, list items and table cells end each other, table rows imply a
 body, the head ends before anything that cannot stand in it) and closes what stays open.  Rendering walks the tree with the display and visibility rules of the
-element names and of ``hidden``, ``style`` and ``aria-hidden`` attributes: every visible text is emitted
-once.  Blocks stand apart by one line break, paragraphs and headings by a blank line; list items carry a
+element names and of ``hidden`` and ``style`` attributes: every visible text is emitted once, that of open
+dialogs, formulas, drawings and choices too (``aria-hidden`` hides from screen readers only).  Blocks stand apart by one line break, paragraphs and headings by a blank line; list items carry a
 bullet or number and an indent; the cells of a table are padded to the width of their column.
 """
 
@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
 UNSEEN = frozenset(
-    "head script style template noscript iframe noembed noframes object audio video canvas svg math "
-    "select datalist dialog area meta link title base param source track".split()
+    "head script style template noscript iframe noembed noframes object audio video canvas "
+    "datalist area meta link title base param source track".split()
 )
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dir div dl dt fieldset figcaption figure "
@@ -50,6 +50,16 @@ IMPLIED_END = {
     "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
     "body": ({"head"}, {"html"}),
 }
+#: Parts of a drawing or a formula that are not shown.
+UNSEEN_FOREIGN = frozenset(
+    "annotation annotation-xml clippath defs desc filter lineargradient marker mask metadata pattern radialgradient symbol".split()
+)
+#: Elements of HTML that end an open drawing or formula, and the elements inside it that may hold them.
+ENDS_FOREIGN = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu "
+    "meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+HOLDS_HTML = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
 #: What may stand in a head; anything else, and text, ends it.
 IN_HEAD = frozenset("base link meta title style script noscript noframes template head html".split())
 #: Elements that an end tag inside does not close.
@@ -109,6 +119,14 @@ def build_tree(page: str) -> Element:
         if open_[-1].name == "head":
             cut(len(open_) - 1)
 
+    def end_foreign() -> None:
+        """Close the drawings and formulas that the next element cannot stand in."""
+        for k in range(len(open_) - 1, 0, -1):
+            if open_[k].name in HOLDS_HTML:
+                return
+            if open_[k].name in ("svg", "math"):
+                cut(k)
+
     def text(value: str) -> None:
         if value.strip(" \t\n\r\f"):
             end_head()
@@ -149,6 +167,8 @@ def build_tree(page: str) -> Element:
             continue
         if name not in IN_HEAD:
             end_head()
+        if name in ENDS_FOREIGN and (tally.get("svg") or tally.get("math")):
+            end_foreign()
         if name == "head" and open_[-1].name not in ("#root", "html"):
             continue
         if name in ENDS_PARAGRAPH:
@@ -176,17 +196,40 @@ def build_tree(page: str) -> Element:
 def _unseen(element: Element) -> bool:
     if element.name in UNSEEN:
         return True
+    if element.name == "dialog" and element.get("open") is None:
+        return True
     if not element.attributes:
         return False
     low = element.attributes.lower()
     if "hidden" not in low and "none" not in low and "collapse" not in low:
         return False
-    style, aria = element.get("style"), element.get("aria-hidden")
-    return (
-        element.get("hidden") is not None
-        or bool(style and _HIDING.search(style))
-        or (aria or "").strip().lower() == "true"
-    )
+    style = element.get("style")
+    return element.get("hidden") is not None or bool(style and _HIDING.search(style))
+
+
+def _foreign(element: Element) -> list:
+    """What a drawing or a formula shows, in order; each text of a drawing between line breaks."""
+    out: list = []
+    work: list = [(c, element.name == "math") for c in reversed(element.children)]
+    while work:
+        node, shown = work.pop()
+        if isinstance(node, str):
+            if shown:
+                out.append(node)
+        elif node.name in ("#line", "foreignobject"):
+            out.append(node)
+        elif node.name in UNSEEN_FOREIGN or _unseen(node) or node.attributes and (
+            node.get("display") == "none" or node.get("visibility") in ("hidden", "collapse")
+        ):
+            continue
+        elif node.name in ("svg", "text") and not shown:
+            line = Element("#line")
+            work += [(line, True), *[(c, node.name == "text") for c in reversed(node.children)], (line, True)]
+        elif node.name in ENDS_FOREIGN or node.name in BLOCK:
+            out.append(node)  # HTML inside a token of a formula
+        else:
+            work.extend((c, shown) for c in reversed(node.children))
+    return out
 
 
 def _wide(text: str) -> int:
@@ -336,6 +379,10 @@ def _render(children: list, pre: bool, counts: _Counts) -> list[str]:
         name = node.name
         if name == "br":
             lines.end(keep=True)
+        elif name == "#line":
+            lines.end()
+        elif name in ("svg", "math"):
+            work.extend(("visit", c, False) for c in reversed(_foreign(node)))
         elif name == "hr":
             lines.apart()
         elif name == "img":
@@ -358,6 +405,12 @@ def _render(children: list, pre: bool, counts: _Counts) -> list[str]:
             counts.blocks += 1
             (lines.apart if name in APART else lines.end)()
             work.append(("after", node, keep))
+            label = node.get("label") if name in ("option", "optgroup") else None
+            if label:
+                lines.flow(label, False)
+                if name == "option":  # shown instead of its text
+                    continue
+                lines.end()
             work.extend(("visit", c, keep or name == "pre") for c in reversed(node.children))
         else:
             work.extend(("visit", c, keep) for c in reversed(node.children))

@@ -286,6 +286,13 @@ PAGES = [
     ("1 < 2 <3", "1 < 2 <3"),
     ("<title>no</title><h1>H</h1>x<hr>y<img alt=pic>", "H\n\nx\n\nypic"),
     ("<table><caption>cap</caption><tr><td colspan=2>wide one<tr><td>a<td>b</table>", "cap\nwide one\na  b"),
+    ("<i aria-hidden=true>icon</i> label <span aria-hidden='true' hidden>no</span>", "icon label"),
+    ("<dialog>no</dialog><dialog open>shown<p>in</dialog>", "shown\n\nin"),
+    ("<math><mi>a</mi><mo>+</mo><mi>b</mi><annotation>tex</annotation></math> is", "a+b is"),
+    ("x<svg><title>t</title><desc>d</desc>no<defs><text>no</text></defs><g><text x=1>one <tspan>two</tspan></text>"
+     "<text>three</text><text display=none>no</text></g><path d=a /></svg>y", "x\none two\nthree\ny"),
+    ("<svg><foreignObject><p>html</p></foreignObject></svg><svg><path d=z><p>after", "html\n\nafter"),
+    ("Pick <select><optgroup label=G><option>A<option selected>B</optgroup><option label=C>c</select>", "Pick\nG\nA\nB\nC"),
     ("<html><head><title>T</title><p>Hello", "Hello"), ("<head><meta charset=x>\n <script>a</script> text <b>b</b>", "text b"),
     ("<head><link rel=a><style>x</style><template>t</template><div>d</div></head><p>e", "d\n\ne"),
     ("<head><title>T</title>\n<body>x<head>y</head>z", "xyz"), ("<p>a<head>b", "ab"), ("<head> <title>T</title> </head>", ""),
