@@ -154,6 +154,17 @@ def test_labelled_sample_is_bounded_and_takes_the_largest_label(spark):
     assert toxicity.labelled_sample(docs, labels, "toxic", 100).filter("label = 1").count() == 6
 
 
+def test_labelled_sample_takes_one_row_of_an_id(spark):
+    rows = [(i, f"t{i}") for i in range(20)] + [(3, f"more{k}") for k in range(200)] + [(4, None), (5, "t5")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string").repartition(5)
+        got = sorted(map(tuple, toxicity.labelled_sample(docs, labels, "toxic", 20).collect()), key=str)
+        assert len(got) == 20 and sum(label for _, label in got) == 10 and ("t4", 0) in got
+        assert order is rows or got == last
+        last = got
+
+
 def brute_scores(texts):
     words = [re.findall(r"[a-z0-9\x80-\U0010ffff]+", (t or "").lower()) for t in texts]
     grams = [Counter(tuple(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1)) for w in words]
