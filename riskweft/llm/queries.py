@@ -7,9 +7,9 @@ import os
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskweft.llm import (
-    bpe, covertree, decontaminate, htmltext, langid, lmscore, quality, simhash, toxicity, urls,
+    bpe, covertree, decontaminate, htmltext, langid, lmscore, quality, simhash, toxicity, trie, urls,
 )
-from riskweft.llm.store import crc_of_id, read
+from riskweft.llm.store import crc_of_id, read, stored
 
 TOXIC_FROM = 0.7
 GOOD_FROM = 0.3
@@ -96,6 +96,11 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return htmltext.render_pages(read(spark, folder, "pages").select("page_id", "url", "html"))
 
 
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    turns = trie.ordered_turns(read(spark, folder, "conversations"))
+    return trie.prefix_trie(trie.with_openings(stored(turns, "turns")))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -113,6 +118,7 @@ QUERIES = {
     "op8_bpe": op8,
     "op9_toxicity": op9,
     "op10_html_text": op10,
+    "op12_prefix_trie": op12,
     "pipeline": pipeline,
 }
 
@@ -200,4 +206,5 @@ ORACLES = {
     "op1_cover_tree_topk": _TOP_K_SQL,
     "op6_stupid_backoff": lmscore.LM_SCORE_SQL,
     "op7_url_filter": _URL_SQL,
+    "op12_prefix_trie": trie.TRIE_SQL,
 }
