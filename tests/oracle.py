@@ -33,7 +33,7 @@ def canonical(frame: pd.DataFrame) -> list[tuple]:
     names = sorted(frame.columns)
 
     def cell(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and math.isnan(v)):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
             return (0, "")
         if isinstance(v, bool) or type(v).__name__ == "bool_":
             return (1, str(bool(v)))
