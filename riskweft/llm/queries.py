@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskweft.llm import (
-    bpe, covertree, decontaminate, htmltext, langid, lmscore, quality, simhash, toxicity, trie, urls,
+    bpe, covertree, decontaminate, hardneg, htmltext, langid, lmscore, ngramjoin, quality, simhash, toxicity, trie, urls,
 )
 from riskweft.llm.store import crc_of_id, read, stored
 
@@ -96,11 +96,23 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return htmltext.render_pages(read(spark, folder, "pages").select("page_id", "url", "html"))
 
 
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return ngramjoin.ngram_jaccard(read(spark, folder, "documents"))
+
+
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     turns = trie.ordered_turns(read(spark, folder, "conversations"))
     return trie.prefix_trie(trie.with_openings(stored(turns, "turns")))
 
 
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = read(spark, folder, "embeddings").select(
+        F.col("vec_id").alias("id"), shifted.alias("label"), covertree.quantised(F.col("embedding")).alias("vector")
+    )
+    return hardneg.hard_negatives(vectors, vectors.filter("id % 50 = 0").select("id"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -118,7 +130,9 @@ QUERIES = {
     "op8_bpe": op8,
     "op9_toxicity": op9,
     "op10_html_text": op10,
+    "op11_ngram_jaccard": op11,
     "op12_prefix_trie": op12,
+    "op13_hard_negatives": op13,
     "pipeline": pipeline,
 }
 
@@ -206,5 +220,7 @@ ORACLES = {
     "op1_cover_tree_topk": _TOP_K_SQL,
     "op6_stupid_backoff": lmscore.LM_SCORE_SQL,
     "op7_url_filter": _URL_SQL,
+    "op11_ngram_jaccard": ngramjoin.NGRAM_JACCARD_SQL,
     "op12_prefix_trie": trie.TRIE_SQL,
+    "op13_hard_negatives": hardneg.HARD_NEGATIVE_SQL,
 }
