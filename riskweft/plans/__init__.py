@@ -9,6 +9,7 @@ from riskweft.plans import (  # noqa: F401
     portfolio,
     quality,
     storage,
+    temporal,
 )
 
 __all__ = ["REGISTRY"]
