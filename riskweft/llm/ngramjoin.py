@@ -1,16 +1,17 @@
 """Jaccard join of word n-gram sets by a grouped prefix join.
 
-A set's n-grams stand in one order for all: by hash, the most frequent ones last.  Sets with a Jaccard similarity of
+A set's n-grams stand in one order for all: by hash, the frequent ones last.  Sets with a Jaccard similarity of
 ``percent`` hundredths share an n-gram among their first n - ceil(t * n) + 1, their prefixes.  Sets of one size and one
 prefix act alike in this search and form a group; groups that meet at an n-gram are paired under the bounds of their
 sizes and of its places in both, and only then are their members compared, by their whole sets.
 
-Frequent n-grams are found by counting: every set shows a window of half as many again as its prefix, and n-grams in
+Frequent n-grams are found by counting: every text shows a window of half as many again as its prefix, and n-grams in
 more than ``OFTEN`` windows move to the end.  A set that has too few others left in its window shows all it has.
 The order only decides how much is compared, never what is found.
 
-Links are wanted up to their components.  Each group is first compared with the smallest one that it meets, twice;
-then whatever still lies in different components is paired in full, chunk by chunk where one n-gram holds many groups.
+Links are wanted up to their components.  Where an n-gram holds many groups even so, each is first compared with the
+smallest one, as long as that finds links; then whatever meets and still lies in different components is paired in
+full, chunk by chunk.
 """
 
 from __future__ import annotations
@@ -27,7 +28,9 @@ from riskweft.llm.store import stored
 from riskweft.llm.wordarrays import NOT_BLANK, mix, pair_hash, slices, split_words, text_bytes
 
 WORDS, PERCENT = 4, 85
-OFTEN = 64  # sets that may share an n-gram before it moves to the end of the order
+OFTEN = 8  # windows that may share an n-gram before it moves to the end of the order
+MANY = 64  # groups at one n-gram that are compared with the smallest one first
+ROUNDS = 4  # times that this is done
 MOST_OFTEN = 1 << 21  # n-grams that may move, the most frequent first: 16 MB in a task
 FILTER_BITS = 27  # most bits of a name filter, as a power of two: 16 MB
 CHUNK = 2_048  # groups of one n-gram that a task pairs at once
@@ -51,7 +54,10 @@ def ngram_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
         code = np.where(k < width, pair_hash(code, found.hash[np.minimum(place + k, n - 1)]), code)
     whole = place + width <= last
     text, code = text[whole], code[whole]
-    order = np.lexsort((code, text))
+    order = np.argsort(code)
+    # Fewer than 65,536 texts a slice are sorted by counting.
+    of = text[order] if len(size) > 1 << 16 else text[order].astype(np.uint16)
+    order = order[np.argsort(of, kind="stable")]
     text, code = text[order], code[order]
     fresh = np.ones(len(code), bool)
     fresh[1:] = (code[1:] != code[:-1]) | (text[1:] != text[:-1])
@@ -74,54 +80,51 @@ def _texts(docs: DataFrame, id: str, text: str) -> DataFrame:
     return docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
 
 
-def _names(docs: DataFrame, words: int) -> DataFrame:
+def _windows(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(id, set, n, list) of every row: the set's name and size, and its window."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
                 code, bounds = ngram_sets(batch.column(1), words)
+                n = np.diff(bounds).astype(np.int64)
+                shown = np.where(n > 0, np.minimum(n, _window(n, percent)), 0)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(set_names(code, bounds)), pa.array(np.diff(bounds).astype(np.int64))],
-                    names=["id", "set", "n"],
+                    [batch.column(0), pa.array(set_names(code, bounds)), pa.array(n), _blobs(code, bounds[:-1], bounds[:-1] + shown)],
+                    names=["id", "set", "n", "list"],
                 )
 
-    return docs.mapInArrow(run, "id bigint, set bigint, n bigint")
+    return docs.mapInArrow(run, "id bigint, set bigint, n bigint, list binary")
 
 
 def _blobs(code: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.Array:
     return pa.array([code[a:b].tobytes() for a, b in zip(first.tolist(), last.tolist())], pa.binary())
 
 
-def _lists(docs: DataFrame, words: int, cut, wanted: np.ndarray | None = None) -> DataFrame:
-    """(set, n, list): leading n-grams of each set as 8-byte numbers; ``cut`` gives how many of n.
-
-    With a name filter, only sets that it may know.  A task sends a set once.
-    """
-    sent = docs.sparkSession.sparkContext.broadcast(wanted) if wanted is not None else None
+def _lists(docs: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
+    """(set, n, list): all n-grams, ascending, of the ``wanted`` sets (set), read from the texts again."""
+    sent = docs.sparkSession.sparkContext.broadcast(_name_filter(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value if sent is not None else None
-        gone = set()
+        known, gone = sent.value, set()
         for whole in batches:
             for batch in slices(whole, "text"):
                 code, bounds = ngram_sets(batch.column(1), words)
                 names, size = set_names(code, bounds), np.diff(bounds)
-                take = size > 0
-                if known is not None:
-                    take &= _may_hold(known, names)
                 rows = []
-                for row in np.flatnonzero(take).tolist():
-                    if names[row] not in gone:
+                for row in np.flatnonzero((size > 0) & _may_hold(known, names)).tolist():
+                    if names[row] not in gone:  # a task sends a set once
                         gone.add(names[row])
                         rows.append(row)
                 rows = np.array(rows, np.int64)
-                n = size[rows].astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(names[rows]), pa.array(n), _blobs(code, bounds[rows], bounds[rows] + np.minimum(n, cut(n)))],
+                    [pa.array(names[rows]), pa.array(size[rows].astype(np.int64)), _blobs(code, bounds[rows], bounds[rows + 1])],
                     names=["set", "n", "list"],
                 )
 
     # Equal sets have equal lists.
-    return docs.mapInArrow(run, "set bigint, n bigint, list binary").dropDuplicates(["set"])
+    found = docs.mapInArrow(run, "set bigint, n bigint, list binary").join(wanted, "set", "left_semi")
+    return stored(found.dropDuplicates(["set"]), "lists")
 
 
 def _cells(names: np.ndarray, bits: int) -> np.ndarray:
@@ -167,16 +170,20 @@ def _frequent(lists: DataFrame, percent: int, beyond: bool) -> DataFrame:
     """(code, n) of n-grams that stand in several lists; with ``beyond``, only past the window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gone = set()
         for batch in batches:
-            code, bounds = _flat(batch.column(1))
+            names = batch.column(0).to_pylist()
+            fresh = [x not in gone and not gone.add(x) for x in names]  # copies in a task count once
+            batch = batch.filter(pa.array(fresh, pa.bool_()))
+            code, bounds = _flat(batch.column(2))
             if beyond:
                 place = np.arange(len(code)) - np.repeat(bounds[:-1], np.diff(bounds))
-                shown = _window(batch.column(0).to_numpy(), percent)
+                shown = _window(batch.column(1).to_numpy(), percent)
                 code = code[place >= np.repeat(shown, np.diff(bounds))]
             code, n = np.unique(code, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(n.astype(np.int64))], names=["code", "n"])
 
-    found = lists.select("n", "list").mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
+    found = lists.select("set", "n", "list").mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
     return found.filter("n > 1")
 
 
@@ -184,13 +191,17 @@ def _window(n, percent: int):
     return prefix_length(n, percent) * 3 // 2
 
 
-def _sorted_codes(frame) -> np.ndarray:
-    return np.sort(frame["code"].to_numpy(np.int64).view(np.uint64))
-
-
 def _most_frequent(counts: DataFrame) -> np.ndarray:
-    often = counts.filter(F.col("n") > OFTEN).orderBy(F.desc("n"), "code").limit(MOST_OFTEN)
-    return _sorted_codes(often.toPandas())
+    """N-grams with a count above ``OFTEN``, or above the least count that leaves at most ``MOST_OFTEN`` of them."""
+    sizes = counts.filter(F.col("n") > OFTEN).groupBy("n").agg(F.count(F.lit(1)).alias("m")).orderBy(F.desc("n")).collect()
+    above, held = OFTEN, 0
+    for row in sizes:
+        held += row["m"]
+        if held > MOST_OFTEN:
+            above = row["n"]
+            break
+    often = counts.filter(F.col("n") > above).select("code").toPandas()
+    return np.sort(often["code"].to_numpy(np.int64).view(np.uint64))
 
 
 def _among(code: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -260,10 +271,14 @@ def _fits(n, place, other_n, other_place, percent: int):
 
 
 def _stars(places: DataFrame, percent: int) -> DataFrame:
-    """(rep, head): each group with the smallest one that it meets in another component."""
+    """(rep, head): each group with the smallest one of another component that it meets at an n-gram of many groups."""
     seen = F.struct("rep", "low", "n", "place")
-    first = places.groupBy("code").agg(F.min(seen).alias("head"), F.min("low").alias("least"), F.max("high").alias("most"))
-    first = stored(first.filter("least < most").select("code", "head"), "heads")
+    first = places.groupBy("code").agg(
+        F.min(seen).alias("head"), F.min("low").alias("least"), F.max("high").alias("most"), F.count(F.lit(1)).alias("m")
+    )
+    first = stored(first.filter((F.col("least") < F.col("most")) & (F.col("m") > MANY)).select("code", "head"), "heads")
+    if first.isEmpty():
+        return first.select(F.col("code").alias("rep"), F.col("code").alias("head")).limit(0)
     met = stored(join_spread(places, first, ["code"]), "met")
     apart = (F.col("low") != F.col("high")) | (F.col("low") != F.col("head.low"))
     second = met.filter(apart).groupBy("code").agg(F.min(seen).alias("next"))
@@ -289,51 +304,56 @@ def _rest(places: DataFrame, percent: int, chunk: int) -> DataFrame:
     dealt = dealt.repartition("code", "a", "b").sortWithinPartitions("code", "a", "b", "n", "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
-
-        def pairs() -> Iterator[pa.RecordBatch]:
-            if sum(len(h[0]) for h in held) < 2:
-                return
-            own, rep, n, place, low, high = (np.concatenate(x) for x in zip(*held))
-            crossing = key[1] != key[2]
-            end = np.searchsorted(n, n * 100 // percent, side="right")
-            us, vs = [], []
-            for i in range(len(n) - 1):
-                other = slice(i + 1, int(end[i]))
-                ok = _fits(n[i], place[i], n[other], place[other], percent)
-                ok &= (low[i] != high[i]) | (low[other] != high[other]) | (low[i] != low[other])
-                if crossing:
-                    ok &= own[i] != own[other]
-                hit = np.flatnonzero(ok) + i + 1
-                if len(hit):
-                    us.append(np.full(len(hit), rep[i]))
-                    vs.append(rep[hit])
-                if sum(map(len, us)) > 100_000 or i == len(n) - 2:
-                    u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs))
-                    us, vs = [], []
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["rep", "head"])
+        held = None
+
+        def pairs(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            code, a, b, own, rep, n, place, low, high = columns
+            change = (code[1:] != code[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            last = np.concatenate((np.flatnonzero(change) + 1, [len(code)]))
+            end = last[np.searchsorted(last, np.arange(len(code)), side="right")]
+            first, us, vs, size = np.arange(len(code)), [], [], 0
+            # Every row with the one ``step`` later, while they stand at the same n-gram and the sizes still fit.
+            for step in range(1, len(code)):
+                first = first[first + step < end[first]]
+                first = first[100 * n[first] >= percent * n[first + step]]
+                if not len(first):
+                    break
+                second = first + step
+                ok = _fits(n[first], place[first], n[second], place[second], percent)
+                ok &= (low[first] != high[first]) | (low[second] != high[second]) | (low[first] != low[second])
+                ok &= (a[first] == b[first]) | (own[first] != own[second])
+                us.append(rep[first[ok]])
+                vs.append(rep[second[ok]])
+                size += len(us[-1])
+                if size > 500_000:
+                    yield found(us, vs)
+                    us, vs, size = [], [], 0
+            yield found(us, vs)
+
+        def found(us: list, vs: list) -> pa.RecordBatch:
+            u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs))
+            both = np.unique(np.column_stack([np.minimum(u, v), np.maximum(u, v)]), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, k].copy()) for k in (0, 1)], names=["rep", "head"])
 
         for batch in batches:
             columns = [c.to_numpy() for c in batch.columns]
-            code, a, b = columns[:3]
-            change = np.flatnonzero((code[1:] != code[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1
-            edges = [0, *change.tolist(), batch.num_rows]
-            for x, y in zip(edges, edges[1:]):
-                if y > x and (code[x], a[x], b[x]) != key:
-                    yield from pairs()
-                    key, held = (code[x], a[x], b[x]), []
-                held.append(tuple(c[x:y] for c in columns[3:]))
-        yield from pairs()
+            if held is not None:
+                columns = [np.concatenate(x) for x in zip(held, columns)]
+            # What stands at the last n-gram may go on; it is at most a pair of chunks.
+            same = (columns[0] == columns[0][-1:]) & (columns[1] == columns[1][-1:]) & (columns[2] == columns[2][-1:])
+            cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+            if cut:
+                yield from pairs([c[:cut] for c in columns])
+            held = [c[cut:] for c in columns]
+        if held is not None and len(held[0]):
+            yield from pairs(held)
 
     return dealt.mapInArrow(run, "rep bigint, head bigint").distinct()
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs of sets (u, v) that are linked, by their whole sets."""
-    pairs = stored(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u < v").distinct(), "pairs")
-    wanted = pairs.select("u").union(pairs.select("v")).distinct()
-    lists = _lists(docs, words, lambda n: n, _name_filter(wanted.select(F.col("u").alias("name"))))
-    lists = stored(lists.join(wanted.withColumnRenamed("u", "set"), "set", "left_semi"), "lists")
+def _linked(pairs: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
+    """The pairs of sets (u, v) that are linked, by their whole sets (set, list)."""
+    pairs = stored(pairs, "pairs")
     size = stored(pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / F.lit(VERIFY)).cast("bigint").alias("parts")), "sizes")
     salted = join_spread(pairs, size, ["u"]).withColumn("salt", F.pmod(F.xxhash64("v"), F.col("parts")))
     one = lists.select(F.col("set").alias("u"), "list").join(size, "u")
@@ -358,7 +378,11 @@ def _linked(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
                         found[1].append(batch.column(2)[row].as_py())
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["u", "v"])
 
-    return rows.mapInArrow(run, "u bigint, v bigint")
+    return stored(rows.mapInArrow(run, "u bigint, v bigint"), "links")
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u < v").distinct()
 
 
 def similar_sets(
@@ -366,26 +390,25 @@ def similar_sets(
 ) -> tuple[DataFrame, DataFrame]:
     """(rows, groups): (id, set, n) of every row of ``docs``, and (set, component) of sets with a link to another."""
     docs = _texts(docs, id, text)
-    rows = stored(_names(docs, words), "names")
-    lists = stored(_lists(docs, words, lambda n: _window(n, percent)), "windows")
+    rows = stored(_windows(docs, words, percent), "windows")
+    lists = rows.filter("n > 0").select("set", "n", "list")
     counts = stored(_frequent(lists, percent, beyond=False), "counts")
     often = _most_frequent(counts)
     whole = None
-    for _ in range(2 if len(often) else 0):
+    for last in (False, True):
         more = _lacking(lists if whole is None else lists.join(whole.select("set"), "set", "left_anti"), often, percent)
-        more = stored(more, "lacking")
+        more = stored(more.distinct(), "lacking")
         if more.isEmpty():
             break
-        known = _name_filter(more)
-        full = _lists(docs, words, lambda n: n, known).join(more, "set", "left_semi")
-        full = stored(full, "full")
-        often = np.union1d(often, _most_frequent(_frequent(full, percent, beyond=True)))[: 2 * MOST_OFTEN]
+        full = _lists(docs, words, more)
+        if not last:  # the order is settled before the last look at who lacks what
+            often = np.union1d(often, _most_frequent(_frequent(full, percent, beyond=True)))
         whole = full if whole is None else whole.unionByName(full)
     met = counts.select("code")
     if whole is not None:
         lists = lists.join(whole.select("set"), "set", "left_anti").unionByName(whole)
         met = met.union(_prefix_codes(whole, often, percent))
-    shown = stored(_prefixes(lists, often, _name_filter(met), percent), "prefixes")
+    shown = stored(_prefixes(lists, often, _name_filter(met), percent).dropDuplicates(["set"]), "prefixes")
 
     heads = shown.groupBy("prefix").agg(F.min("set").alias("rep"))
     members = stored(join_spread(shown.select("prefix", "set"), stored(heads, "heads"), ["prefix"]).select("rep", "set"), "members")
@@ -393,33 +416,53 @@ def similar_sets(
         F.col("set").alias("rep"), F.col("n").cast("bigint").alias("n"), F.explode(F.arrays_zip("code", "place")).alias("at")
     ).select("rep", "n", "at.code", F.col("at.place").cast("bigint").alias("place"))
     spots = stored(spots, "spots")
-    shared = spots.groupBy("code").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("code")
-    spots = stored(join_spread(spots, stored(shared, "shared"), ["code"]), "spots")
-
-    links = [stored(_linked(members.select(F.col("rep").alias("u"), F.col("set").alias("v")), docs, words, percent), "links")]
-    groups = None
-    for step in (_stars, _stars, _rest):
-        groups = _components(links)
-        labelled = members.join(groups, "set", "left").withColumn("component", F.coalesce("component", "set"))
-        labelled = stored(labelled, "labelled")
-        spans = labelled.groupBy("rep").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        places = stored(spots.join(spans, "rep"), "places")
-        apart = (F.col("component") != F.col("other"))
-        side = lambda a, b, c: labelled.select(F.col("rep").alias(a), F.col("set").alias(b), F.col("component").alias(c))
-        if step is _rest:
-            pairs = _rest(places, percent, chunk)
-            # Members of one group that are still apart.
-            pairs = pairs.unionByName(spans.filter("low < high").select("rep", F.col("rep").alias("head")))
-            met_pairs = pairs.join(side("rep", "u", "component"), "rep").join(side("head", "v", "other"), "head")
-        else:
-            pairs = _stars(places, percent)
-            to = side("head", "v", "other").filter("head = v")
-            met_pairs = pairs.join(side("rep", "u", "component"), "rep").join(to, "head")
-        met_pairs = stored(met_pairs.filter(apart).select("u", "v"), "candidates")
-        if met_pairs.isEmpty():
-            break
-        links.append(stored(_linked(met_pairs, docs, words, percent), "links"))
-    return rows, _components(links)
+    shared = spots.groupBy("code").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    shared = stored(shared, "shared")
+    spots = stored(join_spread(spots, shared, ["code"]), "spots")
+
+    # Members of one group with its first, and groups at n-grams of many groups with the smallest there.
+    crowded = spots.filter(F.col("m") > MANY).select("rep").distinct()
+    inside = members.filter("rep <> set")
+    wanted = members.join(crowded.union(inside.select("rep").distinct()).distinct(), "rep", "left_semi").select("set")
+    wanted = stored(wanted, "wanted")
+    links: list[DataFrame] = []
+    if not wanted.isEmpty():
+        close = _lists(docs, words, wanted)
+        links = [_linked(_ordered(inside.select(F.col("rep").alias("u"), F.col("set").alias("v"))), close, percent)]
+        crowds = stored(spots.filter(F.col("m") > MANY), "crowds")
+        for _ in range(0 if crowds.isEmpty() else ROUNDS):
+            labelled, spans, places = _labelled(members, crowds, links)
+            pairs = _ordered(_apart(_stars(places, percent), labelled, whole_head=False))
+            found = _linked(pairs, close, percent)
+            if found.isEmpty():
+                break
+            links.append(found)
+    labelled, spans, places = _labelled(members, spots, links)
+    pairs = _rest(places, percent, chunk)
+    # Members of one group that are still apart.
+    torn = spans.filter("low < high").select("rep", F.col("rep").alias("head"))
+    pairs = stored(_ordered(_apart(pairs.unionByName(torn), labelled, whole_head=True)), "candidates")
+    if not pairs.isEmpty():
+        links.append(_linked(pairs, _lists(docs, words, pairs.select(F.col("u").alias("set")).union(pairs.select("v")).distinct()), percent))
+    return rows, _components(links, docs.sparkSession)
+
+
+def _labelled(members: DataFrame, spots: DataFrame, links: list[DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members with their components, the least and greatest component of each group, and these at its places."""
+    groups = _components(links, members.sparkSession)
+    labelled = members.join(groups, "set", "left").withColumn("component", F.coalesce("component", "set"))
+    labelled = stored(labelled, "labelled")
+    spans = labelled.groupBy("rep").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    return labelled, spans, stored(spots.select("rep", "n", "code", "place").join(spans, "rep"), "places")
+
+
+def _apart(pairs: DataFrame, labelled: DataFrame, whole_head: bool) -> DataFrame:
+    """(u, v): members of paired groups (rep, head) in different components; of the head, its first alone or all."""
+    side = lambda a, b, c: labelled.select(F.col("rep").alias(a), F.col("set").alias(b), F.col("component").alias(c))
+    to = side("head", "v", "other")
+    to = to if whole_head else to.filter("head = v")
+    both = pairs.join(side("rep", "u", "component"), "rep").join(to, "head")
+    return both.filter(F.col("component") != F.col("other")).select("u", "v")
 
 
 def _prefix_codes(lists: DataFrame, often: np.ndarray, percent: int) -> DataFrame:
@@ -428,7 +471,10 @@ def _prefix_codes(lists: DataFrame, often: np.ndarray, percent: int) -> DataFram
     return _prefixes(lists, often, np.repeat(every, 64), percent).select(F.explode("code").alias("code")).distinct()
 
 
-def _components(links: list[DataFrame]) -> DataFrame:
+def _components(links: list[DataFrame], spark) -> DataFrame:
+    """(set, component) of sets with a link."""
+    if not links:
+        return spark.createDataFrame([], "set bigint, component bigint")
     edges = links[0]
     for more in links[1:]:
         edges = edges.unionByName(more)
@@ -451,7 +497,7 @@ def ngram_jaccard(
     first = stored(first, "first")
     least = first.groupBy("component").agg(F.min("first").alias("component_id"))
     named = join_spread(first, stored(least, "least"), ["component"]).select("set", "component_id")
-    out = join_spread(rows, stored(named, "named"), ["set"], "left")
+    out = join_spread(rows.select("id", "set", "n"), stored(named, "named"), ["set"], "left")
     own = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id"))
 

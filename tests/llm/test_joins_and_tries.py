@@ -98,6 +98,21 @@ def test_ngram_join_of_a_family_that_one_text_does_not_reach(spark):
     assert len({c for i, _, c in got if i < 100}) == 1 and len({c for i, _, c in got if i >= 100}) == 40
 
 
+def test_ngram_join_inside_groups(spark):
+    """Families of three whose ends are linked only through the middle; some share size and prefix, so form a group."""
+    rng, rows = random.Random(2), []
+    for family in range(120):
+        words = [f"f{family}w{rng.randrange(5000)}" for _ in range(82)]
+        near, far = list(words), None
+        near[80] = "x"
+        far = list(near)
+        far[30] = "y"
+        rows += [(1000 - 3 * family - k, " ".join(w)) for k, w in enumerate((words, near, far))]
+    got = joined(spark, rows)
+    assert got == brute_components(rows)
+    assert len({c for _, _, c in got}) == 120
+
+
 def test_ngram_join_of_nothing(spark):
     assert joined(spark, []) == []
     assert joined(spark, [(4, None)]) == [(4, 0, 4)]
