@@ -10,7 +10,7 @@ more than ``OFTEN`` windows move to the end.  A set that has too few others left
 The order only decides how much is compared, never what is found.
 
 Links are wanted up to their components.  Where an n-gram holds many groups even so, each is first compared with the
-smallest one, as long as that finds links; then whatever meets and still lies in different components is paired in
+smallest one, as long as that links one in four; then whatever meets and still lies in different components is paired in
 full, chunk by chunk.
 """
 
@@ -137,11 +137,11 @@ def _may_hold(known: np.ndarray, names: np.ndarray) -> np.ndarray:
 
 
 def _name_filter(names: DataFrame) -> np.ndarray:
-    """A bit table of all ``names`` (one bigint column): sixteen bits a name, at most 2 ** FILTER_BITS.
+    """A bit table of all ``names`` (one bigint column): eight bits a name, at most 2 ** FILTER_BITS.
 
     Beyond that size it lets more strangers pass; it never stops a name that it was made from.
     """
-    bits = min(FILTER_BITS, max(12, int(16 * max(1, names.count()) - 1).bit_length()))
+    bits = min(FILTER_BITS, max(12, int(8 * max(1, names.count()) - 1).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << (bits - 6), np.uint64)
@@ -153,9 +153,9 @@ def _name_filter(names: DataFrame) -> np.ndarray:
             part = place[a : a + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(table[part].view(np.int64))], names=["word", "bits"])
 
-    rows = names.mapInArrow(run, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    rows = names.mapInArrow(run, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     table = np.zeros(1 << (bits - 6), np.uint64)
-    table[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+    table[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
     return table
 
 
@@ -200,8 +200,8 @@ def _most_frequent(counts: DataFrame) -> np.ndarray:
         if held > MOST_OFTEN:
             above = row["n"]
             break
-    often = counts.filter(F.col("n") > above).select("code").toPandas()
-    return np.sort(often["code"].to_numpy(np.int64).view(np.uint64))
+    often = counts.filter(F.col("n") > above).select("code").toArrow()
+    return np.sort(often["code"].to_numpy().view(np.uint64))
 
 
 def _among(code: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -352,8 +352,7 @@ def _rest(places: DataFrame, percent: int, chunk: int) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
-    """The pairs of sets (u, v) that are linked, by their whole sets (set, list)."""
-    pairs = stored(pairs, "pairs")
+    """The pairs of sets (u, v; a stored table) that are linked, by their whole sets (set, list)."""
     size = stored(pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / F.lit(VERIFY)).cast("bigint").alias("parts")), "sizes")
     salted = join_spread(pairs, size, ["u"]).withColumn("salt", F.pmod(F.xxhash64("v"), F.col("parts")))
     one = lists.select(F.col("set").alias("u"), "list").join(size, "u")
@@ -428,15 +427,16 @@ def similar_sets(
     links: list[DataFrame] = []
     if not wanted.isEmpty():
         close = _lists(docs, words, wanted)
-        links = [_linked(_ordered(inside.select(F.col("rep").alias("u"), F.col("set").alias("v"))), close, percent)]
         crowds = stored(spots.filter(F.col("m") > MANY), "crowds")
-        for _ in range(0 if crowds.isEmpty() else ROUNDS):
-            labelled, spans, places = _labelled(members, crowds, links)
-            pairs = _ordered(_apart(_stars(places, percent), labelled, whole_head=False))
+        pairs = inside.select(F.col("rep").alias("u"), F.col("set").alias("v"))
+        for _ in range(ROUNDS):
+            labelled, _, places = _labelled(members, crowds, links)
+            pairs = stored(_ordered(pairs.unionByName(_apart(_stars(places, percent), labelled, whole_head=False))), "pairs")
             found = _linked(pairs, close, percent)
-            if found.isEmpty():
-                break
             links.append(found)
+            if 4 * found.count() <= pairs.count():
+                break
+            pairs = pairs.limit(0)
     labelled, spans, places = _labelled(members, spots, links)
     pairs = _rest(places, percent, chunk)
     # Members of one group that are still apart.
