@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import collections
 import random
 import re
 from collections import Counter
@@ -140,6 +141,80 @@ def test_toxicity_separates_held_out_texts(spark):
     assert all(r["toxicity"] < 0.7 for r in rows[60:])
 
 
+def brute_ratio(learn, word):
+    """Log-likelihood ratio of a word by plain Kneser-Ney over dictionaries; learn: (words of a text, label)."""
+
+    def grams(w):
+        marks = ["<", *w, ">"]
+        return [(tuple(marks[max(0, i - 5) : i]), marks[i]) for i in range(1, len(marks))]
+
+    def level(counts):
+        n = [sum(v == k for v in counts.values()) for k in (1, 2, 3, 4)]
+        share = n[0] / max(1, n[0] + 2 * n[1])
+        off = [k - (k + 1) * share * n[k] / max(1, n[k - 1]) for k in (1, 2, 3)]
+        off = [min(max(o, lo), hi) for o, lo, hi in zip(off, (0.1, 0.2, 0.3), (0.95, 1.9, 2.85))]
+
+        def chance(context, char, shorter):
+            here = {g: v for g, v in counts.items() if g[0] == context}
+            if not here:
+                return shorter
+            left = sum(off[min(v, 3) - 1] for v in here.values())
+            v = counts.get((context, char), 0)
+            return ((v - off[min(v, 3) - 1] if v else 0) + left * shorter) / sum(here.values())
+
+        return chance
+
+    every = collections.Counter()
+    classes = []
+    for label in (1, 0):
+        counts = collections.Counter(g for words, y in learn if y == label for w in set(words) for g in grams(w))
+        classes.append(level(counts))
+        every.update(counts)
+    distinct, shared = set(every), {}
+    for order in range(5, 0, -1):
+        follow = collections.Counter((c[-(order - 1):] if order > 1 else (), x) for c, x in distinct)
+        distinct = set(follow)
+        shared[order] = level(follow)
+    symbols = 1 + len({x for _, x in every})
+    total = 0.0
+    for context, char in grams(word):
+        p = 1 / symbols
+        for order in range(1, 6):
+            p = shared[order](context[-(order - 1):] if order > 1 else (), char, p)
+        a, b = (c(context, char, p) for c in classes)
+        total += np.log(max(a, 1e-12)) - np.log(max(b, 1e-12))
+    return total
+
+
+def test_toxicity_equals_plain_kneser_ney(spark):
+    rng = random.Random(5)
+    syllables = "an be cé do ru ti ma vo".split()
+    learn = []
+    for i in range(60):
+        words = ["".join(rng.choices(syllables, k=rng.randrange(1, 5))) for _ in range(12)]
+        learn.append((words + ["vilo" + rng.choice(syllables)] * (i % 3 == 0), int(i % 3 == 0)))
+    rows = [(" ".join(w), y) for w, y in learn]
+    model = toxicity.fit_toxicity(spark.createDataFrame(rows, "text string, label int")).models()
+    asked = ["anbecé", "vilo", "viloan", "ru", "zzz", "q", "domavo", "Vilor", "tivilo"]
+    got = model.ratios(toxicity._grams(pa.array([" ".join(asked)])))
+    assert np.allclose(got, [brute_ratio(learn, w.lower()) for w in asked], atol=1e-9)
+    known = toxicity._Ratios(model)
+    for _ in range(2):
+        assert np.allclose(known.of(toxicity._grams(pa.array([" ".join(asked * 3), None, ""]))), np.tile(got, 3))
+
+
+@pytest.mark.parametrize("texts", [60, 600])
+def test_toxic_stem_counts_alike_in_small_and_large_samples(spark, texts):
+    """Five texts with different words of one stem are enough, however many others there are."""
+    learn = [(made("aa", 30, i), int(i % 2 == 0)) for i in range(2 * texts)]
+    learn = [(t + (f" zorgh{'aeiou'[i // 2]}l" if y and i < 10 else " vile" if y else ""), y) for i, (t, y) in enumerate(learn)]
+    model = toxicity.fit_toxicity(spark.createDataFrame(learn, "text string, label int"))
+    ask = [made("aa", 30, 9000 + i) + (" zorghyl" if i % 2 else "") for i in range(20)]
+    rows = toxicity.score_toxicity(table(spark, ask), model).orderBy("doc_id").collect()
+    scores = [r["toxicity"] for r in rows]
+    assert min(scores[1::2]) > max(scores[0::2])
+
+
 def test_toxicity_with_one_class_or_no_rows(spark):
     for learn in ([], [("a b", 0), (None, 0)]):
         model = toxicity.fit_toxicity(spark.createDataFrame(learn, "text string, label int"))
