@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from riskweft.llm import neardup
@@ -68,6 +69,19 @@ def test_stages_keep_clean_rows_and_columns(spark, planted):
     assert last.count() == docs.count() and last.filter("n_tokens <> size(ids)").count() == 0
 
 
+def test_stages_give_clashing_columns_back(spark, planted):
+    docs = spark.read.parquet(f"{planted}/documents.parquet")
+    names = "shingle_set toxicity lang_pred Lang_Score benchmark_items ratios component __id c0 hi given_1 carried_1".split()
+    clash = docs.withColumns({n: F.lit(9.5 + i) for i, n in enumerate(names)})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, clash, planted)
+        assert after.columns == clash.columns, name
+        rows = after.select(*names).distinct().collect()
+        assert [tuple(r) for r in rows] == [tuple(9.5 + i for i in range(len(names)))], name
+    plain = corpus_pipeline.STAGES[-1][1](spark, clash, planted)
+    assert plain.count() == clash.count()
+
+
 def test_run_gives_the_same_rows(spark, planted):
     out = corpus_pipeline.run(spark, planted)
     assert out.count() == 120 - 30 + 2 and out.filter("n_tokens > 0").count() == out.count()
@@ -102,7 +116,7 @@ def test_near_dedup_drops_texts_with_a_few_edited_words(spark, tmp_path):
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMAS["documents"])
     kept = corpus_pipeline.remove_near_duplicates(spark, docs, str(tmp_path)).collect()
     want = brute_groups(texts)
-    for chunk in (1_000, 3):
+    for chunk in (400_000, 200):
         rows = neardup.near_duplicates(docs, chunk=chunk).collect()
         groups = {c: min(r["doc_id"] for r in rows if r["component"] == c) for c in {r["component"] for r in rows}}
         assert [groups[r["component"]] for r in sorted(rows, key=lambda r: r["doc_id"])] == want
@@ -115,5 +129,5 @@ def test_pipeline_on_empty_tables(spark, tmp_path):
 
 def test_names_and_columns():
     numbers = [int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")]
-    assert sorted(numbers) == list(range(1, 11)) and "pipeline" in QUERIES and set(ORACLES) <= set(QUERIES)
+    assert sorted(numbers) == list(range(1, 14)) and "pipeline" in QUERIES and set(ORACLES) <= set(QUERIES)
     assert corpus_pipeline.ORACLE_SQL is None and 4 <= len(corpus_pipeline.STAGES) <= 5
