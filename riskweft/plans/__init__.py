@@ -8,6 +8,7 @@ from riskweft.plans import (  # noqa: F401
     models,
     portfolio,
     quality,
+    states,
     storage,
     temporal,
 )
