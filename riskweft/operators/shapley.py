@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from math import factorial
 
+import numpy as np
 from pyspark.ml.base import Model
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
@@ -18,10 +19,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from riskweft.functions.tables import stack_rows
 from riskweft.operators.modelling import FEATURES, _predict
 from riskweft.operators.sampling import sample_rows
+from riskweft.operators.treeshap import tree_shapley
 
 # Feature count up to which all 2^p sets are evaluated.
 ALL_SETS = 10
 METHODS = ("exact", "permutations")
+TREES = "trees"
 
 
 def linear_shapley(
@@ -54,14 +57,20 @@ def shapley_values(
     """``(row, feature, phi)`` for a sample of rows, each with a ``features`` vector.
 
     ``exact`` goes over all feature sets and refuses more than 10 features;
-    ``permutations`` averages over random orders (Strumbelj and Kononenko, 2014).  Per row the values add up to its
-    prediction minus the average prediction of the background.
+    ``permutations`` averages over random orders (Strumbelj and Kononenko, 2014); ``trees`` is exact for forests and
+    boosted trees with any number of features.  Per row the values add up to its prediction minus the average
+    prediction of the background.
     """
     p = len(names)
-    if method not in METHODS:
-        raise ValueError(f"method is one of {METHODS}")
+    if method not in (*METHODS, TREES):
+        raise ValueError(f"method is one of {(*METHODS, TREES)}")
     if method == "exact" and p > ALL_SETS:
-        raise ValueError(f"{p} features have too many sets; ask for method='permutations'")
+        raise ValueError(f"{p} features have too many sets; ask for method='permutations', or 'trees' for trees")
+    if method == TREES:
+        # At most sample_size and background_size rows.
+        vectors = lambda df, n: np.array([r[0].toArray() for r in sample_rows(df.select(FEATURES), n, seed).collect()])
+        x, others = vectors(rows, sample_size), vectors(background, background_size)
+        return tree_shapley(rows.sparkSession, model, x.reshape(-1, p), others.reshape(-1, p), names)
     picked = sample_rows(rows.select(FEATURES), sample_size, seed)
     picked = picked.select(vector_to_array(FEATURES).alias("x"))
     picked = picked.select(F.monotonically_increasing_id().alias("row"), "x").persist()

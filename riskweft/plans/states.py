@@ -1,10 +1,10 @@
-"""Stored sketches, differences of snapshots, and keyed state on streams."""
+"""Stored sketches, differences of snapshots, keyed state on streams, and fields of JSON text."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskweft.operators import sketches, snapshots
+from riskweft.operators import jsonfields, sketches, snapshots
 from riskweft.plans.registry import policy_sql, query, rounded
 from riskweft.plans.storage import shared_folder
 from riskweft.sources.policy import policy_view, read_table
@@ -193,3 +193,27 @@ def clicks_to_views(spark, sf):
         return keyed.join_within(clicks, views, ["user_id"], "ts", "ts", "8 HOURS").select("event_id", "next_event_id", "user_id")
 
     return _streamed(spark, sf, make, "joined")
+
+
+@query(
+    "event_props_fields",
+    """WITH pairs AS (SELECT '/' || k AS path, json_type(props, '$."' || k || '"') AS kind FROM (
+  SELECT props, unnest(json_keys(props)) AS k FROM events WHERE props IS NOT NULL)),
+whole AS (SELECT count(*) AS n FROM events WHERE json_type(props) = 'OBJECT')
+SELECT '' AS path, n AS present, n AS parents, 0.0::DOUBLE AS missing_share, 'object' AS type FROM whole
+UNION ALL SELECT path, count(*), any_value(n), 1 - count(*) / any_value(n),
+  CASE WHEN bool_and(kind IN ('UBIGINT', 'BIGINT')) THEN 'bigint' ELSE 'string' END FROM pairs, whole GROUP BY path""",
+)
+def event_props_fields(spark, sf):
+    fields = jsonfields.json_fields(read_table(spark, sf, "events"), "props")
+    return fields.select("path", "present", "parents", F.col("missing_share").cast("double").alias("missing_share"), "type")
+
+
+@query(
+    "event_props_totals",
+    """SELECT event_type, count(props->>'$.k') AS n, CAST(sum(CAST(props->>'$.k' AS BIGINT)) AS BIGINT) AS total
+FROM events GROUP BY event_type""",
+)
+def event_props_totals(spark, sf):
+    typed = jsonfields.typed_json(read_table(spark, sf, "events"), "props", "found")
+    return typed.groupBy("event_type").agg(F.count("found.k").alias("n"), F.sum("found.k").alias("total"))
