@@ -85,30 +85,24 @@ def duplicate_rows(
 ) -> DataFrame:
     """The rows a report counts as duplicates, exact copies included.
 
-    Exact copies are collapsed to one row and a count before anything is joined or
-    ranked, and written out again at the end.
+    Exact copies are collapsed to one row and a count first.  One aggregate per key then gives its
+    size and the row that is kept; both return to the rows by the key alone, and the copies are
+    written out again at the end.
     """
     subset = _check(df, subset, keep)
     names = df.columns
     copies = df.groupBy(*names).agg(F.count(F.lit(1)).alias("__copies"))
-    groups = copies.groupBy(*[F.col(c).alias(f"__key_{c}") for c in subset]).agg(
-        F.sum("__copies").alias("__size")
-    )
-    repeated = groups.filter(F.col("__size") > 1)
-    same = None
+    # The remaining columns break ties, so the smallest (or largest) row is one row.
+    row = F.struct(*[F.col(c) for c in [*order_by, *[c for c in names if c not in order_by]]])
+    found = [F.sum("__copies").alias("__size")]
+    if keep is not False:
+        found.append((F.max if keep == "last" else F.min)(row).alias("__kept"))
+    groups = copies.groupBy(*[F.col(c).alias(f"__key_{c}") for c in subset]).agg(*found)
+    same = F.lit(True)
     for c in subset:
-        part = F.col(c).eqNullSafe(F.col(f"__key_{c}"))
-        same = part if same is None else same & part
-    members = copies.join(repeated, same, "left_semi")
-    if keep is False:
-        return expand_copies(members, "__copies").select(*names)
-    kept = remove_duplicates(members.drop("__copies"), subset, keep, order_by)
-    kept = kept.select(*[F.col(c).alias(f"__kept_{c}") for c in names], F.lit(1).alias("__one"))
-    whole = None
-    for c in names:
-        part = F.col(c).eqNullSafe(F.col(f"__kept_{c}"))
-        whole = part if whole is None else whole & part
-    left = members.join(kept, whole, "left").withColumn(
-        "__copies", F.col("__copies") - F.coalesce(F.col("__one"), F.lit(0))
-    )
-    return expand_copies(left.select(*names, "__copies"), "__copies").select(*names)
+        same = same & F.col(c).eqNullSafe(F.col(f"__key_{c}"))
+    members = copies.join(groups.filter("__size > 1"), same)
+    if keep is not False:
+        kept = F.when(row.eqNullSafe(F.col("__kept")), 1).otherwise(0)
+        members = members.withColumn("__copies", F.col("__copies") - kept)
+    return expand_copies(members.select(*names, "__copies"), "__copies").select(*names)

@@ -10,11 +10,12 @@ from riskweft.functions.pvalues import chi2_p, f_p, t_p
 from riskweft.operators.hypothesis import contingency_statistic, f_statistic, group_means
 from riskweft.operators.matrix import pearson, spearman_pair
 from riskweft.operators.quantiles import plan_quantiles
+from riskweft.session import checkpointed
 from riskweft.roles import is_numeric, require_columns, require_numeric
 
 
-# Values the column side of a zero-filled grid may have: they form one array.
-GRID_VALUES = 100_000
+# Values in one list of a zero-filled grid.
+GRID_VALUES = 10_000
 
 
 def bivariate(df: DataFrame, first: str, second: str) -> dict[str, DataFrame]:
@@ -104,20 +105,20 @@ def _cells(df: DataFrame, first: str, second: str) -> DataFrame:
 def contingency(df: DataFrame, first: str, second: str, zero_fill: bool = True) -> DataFrame:
     """Counts ``(a, b, n)`` of two columns, empty cells included on request.
 
-    The zero-filled result has a row per combination by definition.  A second column
-    with more than 100,000 values needs ``zero_fill=False``, which has no such limit.
+    The zero-filled result has a row per combination by definition.  The values of the second column
+    travel in lists of about ``GRID_VALUES``, which meet every value of the first by their number.
     """
     df = nan_to_null(df)
     require_columns(df, [first, second])
     cells = _cells(df, first, second)
     if not zero_fill:
         return cells
-    present = cells.persist()
+    present = checkpointed(cells)
     values = present.select("b").distinct()
-    if values.count() > GRID_VALUES:
-        raise ValueError(f"'{second}' has too many values for a full grid; use zero_fill=False")
-    others = values.agg(F.collect_list("b")).scalar()
-    grid = present.select("a").distinct().select("a", F.explode(others).alias("b"))
+    lists = max(1, -(-values.count() // GRID_VALUES))
+    listed = values.groupBy(F.pmod(F.xxhash64("b"), F.lit(lists)).alias("list")).agg(F.collect_list("b").alias("bs"))
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(lists - 1).cast("bigint"))).alias("list")
+    grid = present.select("a").distinct().select("a", every).join(listed, "list").select("a", F.explode("bs").alias("b"))
     return grid.join(present, ["a", "b"], "left").fillna(0, ["n"])
 
 

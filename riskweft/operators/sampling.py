@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 from riskweft.session import checkpointed
 from riskweft.operators.quantiles import quantile_values
 
+RUN = 1 << 16  # copies of a row numbered by one task
+
 
 def preview(df: DataFrame, order_by: Sequence[str], n: int = 5) -> DataFrame:
     """The first ``n`` rows in the given order."""
@@ -30,7 +32,7 @@ def sample_rows(df: DataFrame, n: int = 1000, seed: int = 42) -> DataFrame:
     names = df.columns
     keyed = df.withColumn("__key", F.xxhash64(*[F.col(f"`{c}`") for c in names], F.lit(seed)))
     copies = keyed.groupBy("__key").agg(F.count(F.lit(1)).alias("__n"))
-    numbered = copies.select("__key", F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("__copy"))
+    numbered = _numbered_copies(copies)
     mixed = F.xxhash64("__key", "__copy", F.lit(seed))
     draws = numbered.withColumn("__draw", F.pmod(mixed, F.lit(1 << 53)) / float(1 << 53))
     # Twelve standard deviations above n: too few rows remain with odds of e^-70.
@@ -45,6 +47,16 @@ def sample_rows(df: DataFrame, n: int = 1000, seed: int = 42) -> DataFrame:
     return once.select("__row", F.explode(F.sequence(F.lit(1), F.col("__times")))).select("__row.*")
 
 
+def _numbered_copies(copies: DataFrame) -> DataFrame:
+    """(__key, __copy): copy numbers from 1 to ``__n``; those of a frequent row are made in many tasks."""
+    runs = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("__n") - 1) / F.lit(RUN)).cast("bigint"))
+    spread = copies.select("__key", "__n", F.explode(runs).alias("__run"))
+    often = spread.filter(F.col("__n") > RUN).repartition("__key", "__run")
+    rows = often.unionByName(spread.filter(F.col("__n") <= RUN))
+    begin = F.col("__run") * RUN
+    return rows.select("__key", F.explode(F.sequence(begin + 1, F.least(begin + RUN, F.col("__n")))).alias("__copy"))
+
+
 def split(
     df: DataFrame, test_size: float = 0.2, seed: int = 42, keys: Sequence[str] = ()
 ) -> tuple[DataFrame, DataFrame]:
