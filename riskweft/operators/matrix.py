@@ -9,7 +9,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from riskweft.functions.tables import nan_to_null
 from riskweft.functions.labels import correlation_strength
@@ -19,10 +19,9 @@ from riskweft.session import checkpointed
 
 METHODS = ("pearson", "spearman", "kendall")
 
-# Kendall: distinct pairs one task sorts, and blocks per axis (so at most its square
-# of block cells in one task).
+# Kendall: distinct pairs one task sorts, and values of a digit of their places.
 BLOCK_ROWS = 100_000
-MOST_BLOCKS = 2_000
+DIGITS = 1_024
 
 
 def pearson(x: str, y: str) -> Column:
@@ -279,44 +278,57 @@ def _count_inversions(frame: pd.DataFrame, by: list[str], value: str) -> pd.Data
 def _discordant(pairs: DataFrame, block_rows: int) -> DataFrame:
     """One row ``d``: weighted count of distinct pairs that are in opposite order.
 
-    Both axes are cut into blocks of equal row count.  Two points in different blocks
-    on both axes are counted from the grid of block totals; points sharing an x block
-    in that block's task; points sharing only a y block in that one's.  A block never
-    holds more than ``block_rows`` rows, whatever the ties.
+    Points are numbered along both axes, ties included.  Two points differ first in one digit of
+    their x places, so each digit is looked at once, among the points that agree in the higher ones.
+    These are cut along y into blocks of about ``block_rows``: a block's task counts the inversions of
+    the digit inside it, and adds what earlier blocks of the same points hold of larger digits, from
+    a table of block totals.  Blocks keep their size whatever the number of points.
     """
-    schema = "d double"
     n = pairs.count()
-    block_rows = max(block_rows, -(-n // MOST_BLOCKS))
     if n <= block_rows:
         # few enough distinct pairs for one task
-        return pairs.groupBy().applyInPandas(
-            lambda f: _count_inversions(f, ["__x", "__y"], "__y"), schema
-        )
+        return pairs.groupBy().applyInPandas(lambda f: _count_inversions(f, ["__x", "__y"], "__y"), "d double")
     placed = with_position(pairs, ["__x", "__y"], "__px")
-    placed = with_position(placed, ["__y", "__x"], "__py")
-    size = F.lit(block_rows)
-    placed = placed.select(
-        "__n",
-        "__px",
-        "__py",
-        F.floor(F.col("__px") / size).alias("__bx"),
-        F.floor(F.col("__py") / size).alias("__by"),
-    )
-    grid = placed.groupBy("__bx", "__by").agg(F.sum("__n").alias("__n"))
-    parts = [
-        grid.groupBy().applyInPandas(
-            lambda f: _count_inversions(f, ["__bx", "__by"], "__by"), schema
-        ),
-        placed.groupBy("__bx").applyInPandas(
-            lambda f: _count_inversions(f, ["__px"], "__py"), schema
-        ),
-        placed.groupBy("__by").applyInPandas(
-            lambda f: _count_inversions(f, ["__bx", "__py"], "__py"), schema
-        ),
-    ]
+    placed = checkpointed(with_position(placed, ["__y", "__x"], "__py").select("__n", "__px", "__py"))
+    width, parts = 1, []
+    while width < n:
+        parts.append(_digit_inversions(placed, width, -(-n // block_rows)))
+        width *= DIGITS
     return _union(parts).agg(F.coalesce(F.sum("d"), F.lit(0.0)).alias("d"))
 
 
+def _digit_inversions(placed: DataFrame, width: int, blocks: int) -> DataFrame:
+    """Rows ``d``: discordant pairs whose x places differ first in the digit worth ``width``."""
+    rows = placed.select(
+        "__n", "__py", F.floor(F.col("__px") / F.lit(width * DIGITS)).alias("__group"), F.floor(F.col("__px") / F.lit(width)).alias("__code")
+    )
+    dealt = rows.repartitionByRange(blocks, "__group", "__py").withColumn("__block", F.spark_partition_id())
+    dealt = checkpointed(dealt)
+    totals = dealt.groupBy("__group", "__code", "__block").agg(F.sum("__n").alias("__t"))
+    spans = totals.groupBy("__group").agg(F.min("__block").alias("__first"), F.max("__block").alias("__last"))
+    # Groups of several blocks: a row per block and digit, at most two such groups a block.
+    spans = spans.filter("__first < __last").select("__group", F.explode(F.sequence("__first", "__last")).alias("__block"))
+    codes = totals.select("__group", "__code").distinct()
+    dense = spans.join(codes, "__group").join(totals, ["__group", "__code", "__block"], "left")
+    earlier = Window.partitionBy("__group", "__code").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = dense.select(
+        F.col("__group").alias("__of_group"), F.col("__code").alias("__of_code"), F.col("__block").alias("__of_block"),
+        F.sum("__t").over(earlier).alias("__t"),
+    ).filter("__t > 0")
+
+    def count(block: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values(["__group", "__py"])
+        found = weighted_inversions(block["__code"].to_numpy(), block["__n"].to_numpy())
+        for group, held in before.sort_values("__of_code").groupby("__of_group"):
+            mine = block[block["__group"] == group]
+            upto = np.concatenate(([0.0], np.cumsum(held["__t"].to_numpy(float))))
+            larger = upto[-1] - upto[np.searchsorted(held["__of_code"].to_numpy(), mine["__code"].to_numpy(), side="right")]
+            found += float((larger * mine["__n"].to_numpy()).sum())
+        return pd.DataFrame({"d": [found]})
+
+    return dealt.groupBy("__block").cogroup(carried.groupBy("__of_block")).applyInPandas(count, "d double")
+
+
 def kendall_tau(df: DataFrame, x: str, y: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row ``tau``: Kendall's tau-b over complete pairs; null for a constant column."""
     df = nan_to_null(df)
