@@ -9,8 +9,9 @@ Frequent n-grams are found by counting: every text shows a window of half as man
 more than ``OFTEN`` windows move to the end.  A set that has too few others left in its window shows all it has.
 The order only decides how much is compared, never what is found.
 
-Links are wanted up to their components.  Where an n-gram holds many groups even so, each is first compared with the
-smallest one, as long as that links one in four; then whatever meets and still lies in different components is paired in
+Links are wanted up to their components.  Where an n-gram holds many groups, one of them, drawn anew each round, stands
+for it, and each group is compared with a few such heads, as long as that links one in eight: this joins large
+families without pairing their members.  Then whatever meets and still lies in different components is paired in
 full, chunk by chunk.
 """
 
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from riskweft.llm.components import connected_components
 from riskweft.llm.skew import join_spread
@@ -29,8 +30,9 @@ from riskweft.llm.wordarrays import NOT_BLANK, mix, pair_hash, slices, split_wor
 
 WORDS, PERCENT = 4, 85
 OFTEN = 8  # windows that may share an n-gram before it moves to the end of the order
-MANY = 64  # groups at one n-gram that are compared with the smallest one first
-ROUNDS = 4  # times that this is done
+FEW = 8  # groups at one n-gram that are paired in full at once
+HEADS = 4  # heads that a group is compared with in a round
+ROUNDS = 4
 MOST_OFTEN = 1 << 21  # n-grams that may move, the most frequent first: 16 MB in a task
 FILTER_BITS = 27  # most bits of a name filter, as a power of two: 16 MB
 CHUNK = 2_048  # groups of one n-gram that a task pairs at once
@@ -270,23 +272,24 @@ def _fits(n, place, other_n, other_place, percent: int):
     return sizes & enough(n - place) & enough(other_n - other_place)
 
 
-def _stars(places: DataFrame, percent: int) -> DataFrame:
-    """(rep, head): each group with the smallest one of another component that it meets at an n-gram of many groups."""
-    seen = F.struct("rep", "low", "n", "place")
+def _stars(places: DataFrame, percent: int, turn: int) -> DataFrame:
+    """(rep, head): each group with at most ``HEADS`` heads of other components that it meets, the most frequent first."""
+    seen = F.struct(F.xxhash64("rep", "code", F.lit(turn)).alias("draw"), "rep", "low", "n", "place")
     first = places.groupBy("code").agg(
         F.min(seen).alias("head"), F.min("low").alias("least"), F.max("high").alias("most"), F.count(F.lit(1)).alias("m")
     )
-    first = stored(first.filter((F.col("least") < F.col("most")) & (F.col("m") > MANY)).select("code", "head"), "heads")
-    if first.isEmpty():
-        return first.select(F.col("code").alias("rep"), F.col("code").alias("head")).limit(0)
+    first = stored(first.filter((F.col("least") < F.col("most")) & (F.col("m") > FEW)).select("code", "head"), "heads")
     met = stored(join_spread(places, first, ["code"]), "met")
     apart = (F.col("low") != F.col("high")) | (F.col("low") != F.col("head.low"))
     second = met.filter(apart).groupBy("code").agg(F.min(seen).alias("next"))
     met = join_spread(met, stored(second, "seconds"), ["code"], "left")
-    pair = F.when(apart, F.col("head")).otherwise(F.col("next")).alias("to")
-    chosen = met.select("rep", "n", "place", pair).filter(F.col("to.rep") != F.col("rep"))
-    chosen = chosen.filter(_fits(F.col("n"), F.col("place"), F.col("to.n"), F.col("to.place"), percent))
-    return chosen.groupBy("rep").agg(F.min("to.rep").alias("head"))
+    to = F.when(apart, F.col("head")).otherwise(F.col("next")).alias("to")
+    chosen = met.select("rep", "n", "place", to).filter(F.col("to.rep") != F.col("rep"))
+    fits = _fits(F.col("n"), F.col("place"), F.col("to.n"), F.col("to.place"), percent)
+    shared = chosen.filter(fits).groupBy("rep", F.col("to.rep").alias("head")).agg(F.count(F.lit(1)).alias("m"))
+    # A group has at most a head for each n-gram of its prefix.
+    order = Window.partitionBy("rep").orderBy(F.desc("m"), "head")
+    return shared.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= HEADS).select("rep", "head")
 
 
 def _rest(places: DataFrame, percent: int, chunk: int) -> DataFrame:
@@ -380,6 +383,10 @@ def _linked(pairs: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
     return stored(rows.mapInArrow(run, "u bigint, v bigint"), "links")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("u").alias("set")).union(pairs.select("v")).distinct()
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u < v").distinct()
 
@@ -415,35 +422,31 @@ def similar_sets(
         F.col("set").alias("rep"), F.col("n").cast("bigint").alias("n"), F.explode(F.arrays_zip("code", "place")).alias("at")
     ).select("rep", "n", "at.code", F.col("at.place").cast("bigint").alias("place"))
     spots = stored(spots, "spots")
-    shared = spots.groupBy("code").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    shared = spots.groupBy("code").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("code")
     shared = stored(shared, "shared")
     spots = stored(join_spread(spots, shared, ["code"]), "spots")
 
-    # Members of one group with its first, and groups at n-grams of many groups with the smallest there.
-    crowded = spots.filter(F.col("m") > MANY).select("rep").distinct()
+    # Members of one group with its first, and groups with heads where many meet.
     inside = members.filter("rep <> set")
-    wanted = members.join(crowded.union(inside.select("rep").distinct()).distinct(), "rep", "left_semi").select("set")
-    wanted = stored(wanted, "wanted")
     links: list[DataFrame] = []
-    if not wanted.isEmpty():
-        close = _lists(docs, words, wanted)
-        crowds = stored(spots.filter(F.col("m") > MANY), "crowds")
-        pairs = inside.select(F.col("rep").alias("u"), F.col("set").alias("v"))
-        for _ in range(ROUNDS):
-            labelled, _, places = _labelled(members, crowds, links)
-            pairs = stored(_ordered(pairs.unionByName(_apart(_stars(places, percent), labelled, whole_head=False))), "pairs")
-            found = _linked(pairs, close, percent)
-            links.append(found)
-            if 4 * found.count() <= pairs.count():
-                break
-            pairs = pairs.limit(0)
+    pairs = inside.select(F.col("rep").alias("u"), F.col("set").alias("v"))
+    for turn in range(ROUNDS):
+        labelled, _, places = _labelled(members, spots, links)
+        pairs = stored(_ordered(pairs.unionByName(_apart(_stars(places, percent, turn), labelled, whole_head=False))), "pairs")
+        if pairs.isEmpty():
+            break
+        found = _linked(pairs, _lists(docs, words, _ends(pairs)), percent)
+        links.append(found)
+        if 8 * found.count() <= pairs.count():
+            break
+        pairs = pairs.limit(0)
     labelled, spans, places = _labelled(members, spots, links)
     pairs = _rest(places, percent, chunk)
     # Members of one group that are still apart.
     torn = spans.filter("low < high").select("rep", F.col("rep").alias("head"))
     pairs = stored(_ordered(_apart(pairs.unionByName(torn), labelled, whole_head=True)), "candidates")
     if not pairs.isEmpty():
-        links.append(_linked(pairs, _lists(docs, words, pairs.select(F.col("u").alias("set")).union(pairs.select("v")).distinct()), percent))
+        links.append(_linked(pairs, _lists(docs, words, _ends(pairs)), percent))
     return rows, _components(links, docs.sparkSession)
 
 
