@@ -26,6 +26,8 @@ AGE_YEAR = 2015
 MOST_LABELS = 10_000
 # Spark's own limit on tree depth stands in for "unlimited".
 DEEPEST = 30
+# Training rows in one partition, where there are more partitions than tasks that run at once.
+ROWS_A_TASK = 2_000_000
 
 LABEL = "label"
 FEATURES = "features"
@@ -274,7 +276,7 @@ class Workbench:
         return self._fit("Boosted Trees", estimator)
 
     def _fit(self, name: str, estimator) -> DataFrame:
-        self.models[name] = estimator.fit(self.train)
+        self.models[name] = estimator.fit(_gathered(self.train))
         return self.evaluate(self.train, [name])
 
     # --- using the models ---
@@ -345,6 +347,16 @@ class Workbench:
         )
 
 
+def _gathered(rows: DataFrame) -> DataFrame:
+    """Cached rows in no more partitions than tasks that run at once, or than their number asks for.
+
+    A fit makes hundreds of passes, and in each one every partition sends statistics of all nodes at
+    work, whatever its number of rows.
+    """
+    at_once = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.coalesce(max(at_once, -(-rows.count() // ROWS_A_TASK)))
+
+
 def _predict(rows: DataFrame, model: Model, output: str) -> DataFrame:
     return model.copy({model.predictionCol: output}).transform(rows)
 

@@ -370,3 +370,18 @@ def test_late_rows_are_dropped(spark, tmp_path):
     assert run() == {0: 1.0}
     add("b", [("2024-01-01 00:20:00", 99.0), ("2024-01-01 09:00:00", 4.0)])
     assert run() == {0: 1.0, 5: 2.0}
+
+
+def test_fits_read_no_more_partitions_than_tasks_at_once(spark, bench):
+    """Every partition sends statistics of all nodes in every pass, so a fit slows down with their number."""
+    seen = []
+
+    class Spy:
+        def fit(self, rows):
+            seen.append((rows.rdd.getNumPartitions(), rows.count()))
+            return L.LinearRegression(featuresCol=L.FEATURES, labelCol=L.LABEL).fit(rows)
+
+    whole = bench[0]
+    b = L.Workbench(whole.steps, whole.train.repartition(60).persist(), whole.test)
+    b._fit("Spy", Spy())
+    assert seen == [(spark.sparkContext.defaultParallelism, whole.train.count())]
