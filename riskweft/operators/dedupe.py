@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from riskweft.functions.tables import percent
 from riskweft.operators.ordering import expand_copies
@@ -68,13 +68,17 @@ def duplicate_report(
         F.coalesce(F.sum(extra), F.lit(0)).alias("duplicate_count"),
         F.coalesce(F.sum("__n"), F.lit(0)).alias("total_rows"),
     )
-    duplicate, total = F.col("duplicate_count"), F.col("total_rows")
-    return totals.select(
-        "duplicate_count",
+    return totals.select(*duplicate_columns(F.col("duplicate_count"), F.col("total_rows")))
+
+
+def duplicate_columns(duplicate: Column, total: Column) -> list[Column]:
+    """The columns of a report on ``duplicate`` of ``total`` rows."""
+    return [
+        duplicate.alias("duplicate_count"),
         F.round(percent(duplicate, total), 2).alias("duplicate_percentage"),
         (total - duplicate).alias("unique_count"),
         F.round(percent(total - duplicate, total), 2).alias("unique_percentage"),
-    )
+    ]
 
 
 def duplicate_rows(

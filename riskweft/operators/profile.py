@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from riskweft import roles
 from riskweft.functions.tables import nan_to_null, null_count, percent, stack_rows
-from riskweft.operators.dedupe import duplicate_report
+from riskweft.operators.dedupe import duplicate_columns, duplicate_report
 from riskweft.operators.outliers import outlier_report
 from riskweft.operators.quantiles import quantile_values
 from riskweft.roles import categorical_columns, is_numeric, numeric_columns, role_of
@@ -16,27 +16,34 @@ from riskweft.roles import categorical_columns, is_numeric, numeric_columns, rol
 _NUMBER = r"^\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*$"
 
 
+def _incomplete(columns: Sequence[str]) -> Column:
+    out = F.col(columns[0]).isNull()
+    for c in columns[1:]:
+        out = out | F.col(c).isNull()
+    return out
+
+
 def _missing_counts(df: DataFrame) -> DataFrame:
     """One row: nulls per column, rows and incomplete rows, from a single scan."""
-    incomplete = None
-    for c in df.columns:
-        part = F.col(c).isNull()
-        incomplete = part if incomplete is None else incomplete | part
     return df.agg(
         F.count(F.lit(1)).alias("__rows"),
-        F.count_if(incomplete).alias("__incomplete"),
+        F.count_if(_incomplete(df.columns)).alias("__incomplete"),
         *[null_count(c).alias(f"__null{i}") for i, c in enumerate(df.columns)],
     )
 
 
 def missing_summary(df: DataFrame) -> DataFrame:
     df = nan_to_null(df)
-    width = len(df.columns)
+    return _missing_counts(df).select(*_missing_columns(len(df.columns)))
+
+
+def _missing_columns(width: int) -> list[Column]:
+    """The summary's columns from those of ``_missing_counts``."""
     nulls = [F.col(f"__null{i}") for i in range(width)]
     total = sum(nulls[1:], nulls[0])
     affected = sum([(n > 0).cast("long") for n in nulls[1:]], (nulls[0] > 0).cast("long"))
     rows, incomplete = F.col("__rows"), F.col("__incomplete")
-    return _missing_counts(df).select(
+    return [
         total.alias("total_missing"),
         F.round(percent(total, rows * width), 2).alias("missing_percentage"),
         affected.alias("columns_with_missing"),
@@ -44,7 +51,7 @@ def missing_summary(df: DataFrame) -> DataFrame:
         F.round(percent(incomplete, rows), 2).alias("rows_with_missing_percentage"),
         (rows - incomplete).alias("complete_rows"),
         F.round(percent(rows - incomplete, rows), 2).alias("complete_rows_percentage"),
-    )
+    ]
 
 
 def missing_by_column(df: DataFrame, threshold: float = 0.0) -> DataFrame:
@@ -239,18 +246,26 @@ def table_info(df: DataFrame) -> DataFrame:
     )
 
 
-def _issue_count(df: DataFrame) -> Column:
-    return numeric_text_columns(df).agg(F.count(F.lit(1))).scalar()
-
-
 def _facts(df: DataFrame) -> DataFrame:
-    """One row: the missing summary, the duplicate report and the type issues."""
-    duplicates = duplicate_report(df)
-    return missing_summary(df).select(
-        "*",
-        duplicates.select(F.struct("*")).scalar().alias("__d"),
-        _issue_count(df).alias("type_issues"),
-    ).select("*", "__d.*").drop("__d")
+    """One row: the missing summary, the duplicate report and the type issues.
+
+    Equal rows are counted once and everything else is summed over them, so the table is read
+    and moved a single time.
+    """
+    n = F.col("__n")
+    of = lambda held: F.coalesce(F.sum(F.when(held, n)), F.lit(0))
+    names = df.columns
+    issues = [_looks_numeric(c).cast("long") for c in categorical_columns(df)]
+    counts = df.groupBy(*names).agg(F.count(F.lit(1)).alias("__n")).agg(
+        F.coalesce(F.sum(n), F.lit(0)).alias("__rows"),
+        of(_incomplete(names)).alias("__incomplete"),
+        *[of(F.col(c).isNull()).alias(f"__null{i}") for i, c in enumerate(names)],
+        F.coalesce(F.sum(n - 1), F.lit(0)).alias("duplicate_count"),
+        sum(issues, F.lit(0).cast("long")).alias("type_issues"),
+    )
+    return counts.select(
+        *_missing_columns(len(names)), *duplicate_columns(F.col("duplicate_count"), F.col("__rows")), "type_issues"
+    )
 
 
 def quality_score(df: DataFrame) -> DataFrame:

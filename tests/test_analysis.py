@@ -520,3 +520,13 @@ def test_dashboard_limits_and_errors(policies):
     assert (slope.slope, slope.intercept) == (pytest.approx(2), pytest.approx(1))
     flat = policies.select(F.lit(1.0).alias("a"), "SumInsured")
     assert V.regression_line(flat, "a", "SumInsured").first().slope is None
+
+
+def test_quality_facts_come_from_one_pass(spark):
+    rows = [(1, None, "7", 1.0), (1, None, "7", 1.0), (2, "a", "8", float("nan")), (2, "a", "8", None), (3, "b", "9", 2.0), (1, None, "7", 1.0)]
+    df = spark.createDataFrame(rows, "i int, t string, n string, x double")
+    out = P.quality_score(df)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "scalar-subquery" not in plan and plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+    s = out.first()
+    assert s.missing_percentage == round(100 * 5 / 24, 2) and s.duplicate_percentage == 50.0 and s.type_issues == 1
