@@ -147,12 +147,45 @@ def neighbours(
 ) -> DataFrame:
     """All rows plus, under new names, columns of the row ``offset`` earlier in the key (later if negative).
 
-    Positions are counted in sorted blocks and rows meet by key and position, so no key needs a task of its own.
+    Rows of a key are looked at inside sorted blocks, so no key needs a task of its own and rows move to their
+    block once.  The rows that a block's first ones ask for come from the blocks before: the last ``offset`` rows of
+    each key and block, gathered over as many blocks.
     """
-    require_columns(df, columns.values())
-    rows = numbered(df, order_by, by, "__position")
-    other = rows.select(*by, (F.col("__position") + offset).alias("__position"), *[F.col(c).alias(n) for n, c in columns.items()])
-    return _joined(rows, other, [*by, "__position"]).select(*df.columns, *columns)
+    require_columns(df, [*columns.values(), *by])
+    if offset == 0:
+        return df.select("*", *[F.col(c).alias(n) for n, c in columns.items()])
+    named = [c for c in order_by if isinstance(c, str)]
+    rest = [c for c in df.columns if c not in by and c not in named]
+    far, turn = abs(offset), 1 if offset > 0 else -1
+    # Later rows are earlier ones of the opposite order.
+    keys = [f"__by_{i}" for i in range(len(by))]
+    rows = sorted_blocks(df, [*by, *order_by, *rest]).select(
+        *[F.col(c).alias(k) for c, k in zip(by, keys)], (F.col("__block") * turn).alias("__block"),
+        (F.col("__index") * turn).alias("__index"), F.struct(*[F.col(c) for c in df.columns]).alias("__row"),
+        F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns.values())]).alias("__held"),
+    )
+    last = Window.partitionBy(*keys, "__block").orderBy(F.desc("__index"))
+    tails = rows.select(*keys, "__block", "__index", "__held", F.row_number().over(last).alias("__n")).filter(F.col("__n") <= far)
+    tails = tails.groupBy(*keys, "__block").agg(F.sort_array(F.collect_list(F.struct("__index", "__held"))).alias("__tail"))
+    # Each block holds a row of the key at least, so ``far`` blocks hold enough.
+    before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(-far, -1)
+    carried = F.flatten(F.collect_list("__tail").over(before))
+    carried = tails.select(*keys, "__block", F.reverse(carried).alias("__c"))
+    carried = carried.select(*keys, "__block", F.posexplode(F.slice("__c", 1, far)).alias("__place", "__of"))
+    # Places before every row of the block, the nearest one last.
+    place = F.lit(-(1 << 40)).cast("bigint") - F.col("__place")
+    asked = rows.unionByName(
+        carried.select(
+            *keys, "__block", place.alias("__index"), F.lit(None).cast(rows.schema["__row"].dataType).alias("__row"),
+            F.col("__of.__held").alias("__held"),
+        )
+    )
+    here = Window.partitionBy(*keys, "__block").orderBy("__index")
+    found = asked.withColumn("__found", F.lag("__held", far).over(here)).filter(F.col("__row").isNotNull())
+    return found.select(
+        *[F.col(f"__row.{c}").alias(c) for c in df.columns],
+        *[F.col("__found").getItem(f"c{i}").alias(n) for i, n in enumerate(columns)],
+    )
 
 
 def tiles(df: DataFrame, n: int, order_by: Sequence[str | Column], by: Sequence[str] = (), name: str = "tile") -> DataFrame:
