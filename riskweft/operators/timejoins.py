@@ -11,6 +11,8 @@ from riskweft.roles import require_columns
 
 DIRECTIONS = ("backward", "forward")
 SIDES = ("left", "both")
+# Where no pair is made, levels are this many powers of two apart: fewer copies of a row to move, wider bins to look through.
+STEP = 6
 
 
 def _named(df: DataFrame, taken: Sequence[str], suffix: str) -> dict[str, str]:
@@ -146,13 +148,14 @@ def _ticks(column: str, kind: T.DataType) -> Column:
     raise ValueError(f"Column {column} is neither a time nor a number")
 
 
-def _levelled(df: DataFrame, start: str, end: str, prefix: str) -> DataFrame:
-    """Adds the span in ticks and its level: the power of two that its length fits in."""
+def _levelled(df: DataFrame, start: str, end: str, prefix: str, step: int = 1) -> DataFrame:
+    """Adds the span in ticks and its level: the power of two, of every ``step``, that its length fits in."""
     a, b = (_ticks(c, df.schema[c].dataType) for c in (start, end))
     length = F.col(f"{prefix}b") - F.col(f"{prefix}a")
     rows = df.withColumns({f"{prefix}a": a, f"{prefix}b": b}).filter(length >= 0)
     # Spans up to one tick, points included, share the lowest level.
-    return rows.withColumn(f"{prefix}level", F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(length, F.lit(1.0))))).cast("int"))
+    power = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(length, F.lit(1.0)))))
+    return rows.withColumn(f"{prefix}level", (F.ceil(power / step) * step).cast("int"))
 
 
 def _binned(df: DataFrame, prefix: str, levels: Sequence[int]) -> DataFrame:
@@ -180,7 +183,8 @@ def overlap_join(
 
     A span holds its start and, with ``closed="both"``, its end; a span whose ends are equal is a
     point and holds that point either way.  Nulls and spans that end before they start meet nothing.
-    With ``how="left"`` rows of ``left`` without a partner are kept.
+    With ``how="left"`` rows of ``left`` without a partner are kept, with ``how="anti"`` they alone are
+    returned, with their own columns: keys and spans are all that moves to find them, and no pair is made.
 
     No row meets all others: a span lies in one or two bins as wide as the power of two its length
     fits in, whatever the lengths of the others, and again at every longer length that the other
@@ -190,18 +194,35 @@ def overlap_join(
     """
     if closed not in SIDES:
         raise ValueError(f"closed must be one of {SIDES}")
-    if how not in ("inner", "left"):
-        raise ValueError("how must be inner or left")
+    if how not in ("inner", "left", "anti"):
+        raise ValueError("how must be inner, left or anti")
     require_columns(left, [*left_span, *by])
     require_columns(right, [*right_span, *by])
+    alone = _alone(left, right, left_span, right_span, by, closed) if how != "inner" else None
+    if how == "anti":
+        return alone
     kept = [c for c in right.columns if c not in by]
     names = _named(right.select(*kept), left.columns, suffix)
-    a = _levelled(left, *left_span, "__l").filter(_all_present(by))
+    a, b, meets, first_bin = _meeting(left, right, left_span, right_span, by, closed)
+    out = a.join(b, meets & first_bin).select(*left.columns, *[F.col(f"__row.{c}").alias(names[c]) for c in kept])
+    if how == "inner":
+        return out
+    return out.unionByName(
+        alone.select(*left.columns, *[F.lit(None).cast(right.schema[c].dataType).alias(names[c]) for c in kept])
+    )
+
+
+def _meeting(
+    left: DataFrame, right: DataFrame, left_span: tuple[str, str], right_span: tuple[str, str], by: Sequence[str], closed: str,
+    step: int = 1,
+) -> tuple[DataFrame, DataFrame, Column, Column]:
+    """Both sides by key, level and bin, the condition on which they meet, and the one that names a pair by its first bin."""
+    a = _levelled(left, *left_span, "__l", step).filter(_all_present(by))
     theirs = right.select(
         *[F.col(c).alias(f"__by_{i}") for i, c in enumerate(by)], F.struct(*[F.col(c) for c in right.columns]).alias("__row"),
         *[F.col(c).alias(f"__end_{i}") for i, c in enumerate(right_span)],
     )
-    b = _levelled(theirs, "__end_0", "__end_1", "__r").filter(_all_present([f"__by_{i}" for i in range(len(by))]))
+    b = _levelled(theirs, "__end_0", "__end_1", "__r", step).filter(_all_present([f"__by_{i}" for i in range(len(by))]))
     # At most 63 levels a side.
     seen = lambda df, p: [r[0] for r in df.select(f"{p}level").distinct().collect()]
     a, b = _binned(a, "__l", seen(b, "__r")), _binned(b, "__r", seen(a, "__l"))
@@ -213,20 +234,22 @@ def overlap_join(
     inside = lambda x, lo, hi: (x >= lo) & ((x <= hi) if closed == "both" else ((x < hi) | ((x == lo) & (lo == hi))))
     la, lb, ra, rb = (F.col(c) for c in ("__la", "__lb", "__ra", "__rb"))
     shared = F.when(la >= ra, inside(la, ra, rb)).otherwise(inside(ra, la, lb))
-    out = a.join(b, meets & home & first_bin & shared).select(
-        *left.columns, *[F.col(f"__row.{c}").alias(names[c]) for c in kept]
-    )
-    if how == "inner":
-        return out
-    # Equal rows have equal partners, so all columns together tell which rows found one.
-    named = out.select(*[F.col(c).alias(f"__had_{c}") for c in left.columns]).distinct()
-    equal = F.lit(True)
-    for c in left.columns:
-        equal = equal & F.col(c).eqNullSafe(F.col(f"__had_{c}"))
-    alone = left.join(named, equal, "left_anti")
-    return out.unionByName(
-        alone.select(*left.columns, *[F.lit(None).cast(right.schema[c].dataType).alias(names[c]) for c in kept])
+    return a, b, meets & home & shared, first_bin
+
+
+def _alone(
+    left: DataFrame, right: DataFrame, left_span: tuple[str, str], right_span: tuple[str, str], by: Sequence[str], closed: str
+) -> DataFrame:
+    """Rows of ``left`` without a partner.  Rows of one key and span have equal partners, so each is asked for once."""
+    names = {c: f"__has_{i}" for i, c in enumerate(dict.fromkeys([*by, *left_span]))}
+    spans = left.select(*[F.col(c).alias(n) for c, n in names.items()]).dropna().distinct()
+    theirs = right.select(*[F.col(c).alias(names[c]) for c in by], *[F.col(c).alias(f"__of_{i}") for i, c in enumerate(right_span)])
+    a, b, meets, _ = _meeting(
+        spans, theirs.dropna().distinct(), tuple(names[c] for c in left_span), ("__of_0", "__of_1"), [names[c] for c in by], closed,
+        STEP,
     )
+    found = a.join(b, meets, "left_semi").select(*names.values()).distinct()
+    return left.join(found, _same(list(names.items())), "left_anti")
 
 
 def interval_join(

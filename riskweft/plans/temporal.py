@@ -102,9 +102,9 @@ SELECT event_id, moment FROM moved WHERE NOT EXISTS (
 )
 def events_outside_periods(spark, sf):
     found = timejoins.interval_join(
-        _moved_events(spark, sf), _periods(spark, sf), "moment", ("begins", "ends"), by=["user_id"], closed="both", how="left"
+        _moved_events(spark, sf), _periods(spark, sf), "moment", ("begins", "ends"), by=["user_id"], closed="both", how="anti"
     )
-    return found.filter(F.col("o_orderkey").isNull()).select("event_id", "moment")
+    return found.select("event_id", "moment")
 
 
 @query(

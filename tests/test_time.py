@@ -197,3 +197,20 @@ def test_levels_read_rows_once_and_check_names(spark, tmp_path, policies):
         levels.metrics_at_levels(rows, [["NoSuchColumn"]])
     with pytest.raises(ValueError):
         levels.cube_levels(list("abcdefghi"))
+
+
+@pytest.mark.parametrize("closed", ["left", "both"])
+def test_rows_without_a_partner_alone(spark, closed):
+    rng = random.Random(5)
+    x = [(rng.choice([1, 2, None]), rng.choice([None, *range(12)]), i % 40) for i in range(200)]
+    y = [(rng.choice([1, 2, 3, None]), a, a + rng.choice([0, 0, 1, 4])) for a in (rng.randrange(14) for _ in range(5))]
+    y.append((1, 3, None))
+    left, right = spark.createDataFrame(x, "k int, t int, v int"), spark.createDataFrame(y, "k int, a int, b int")
+    meets = lambda t, a, b: a <= t <= b if closed == "both" else a <= t < b or a == t == b
+    full = [(k, a, b) for k, a, b in y if None not in (k, a, b)]
+    want = [r for r in x if None in r[:2] or not any(r[0] == k and meets(r[1], a, b) for k, a, b in full)]
+    got = timejoins.interval_join(left, right, "t", ("a", "b"), by=["k"], closed=closed, how="anti")
+    assert got.columns == left.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    both = timejoins.interval_join(left, right, "t", ("a", "b"), by=["k"], closed=closed, how="left").filter("a IS NULL")
+    assert sorted((tuple(r)[:3] for r in both.collect()), key=str) == sorted(want, key=str)
