@@ -160,7 +160,9 @@ def correlation_matrix(
         return _long(df, _correlations(_pair_sums(df, names)))
     rows = df.select(*[F.col(c).cast("double").alias(c) for c in names])
     if method == "kendall":
-        values = {(a, b): kendall_tau(rows, a, b).first()["tau"] for a, b in combinations(names, 2)}
+        # Equal rows are counted once and written: every pair of columns starts from them, not from the input.
+        rows = checkpointed(rows.groupBy(*names).agg(F.count(F.lit(1)).alias("__copies")))
+        values = {(a, b): _tau(rows, a, b, F.col("__copies")).first()["tau"] for a, b in combinations(names, 2)}
         return _long(df, {**_diagonal(rows, names), **values})
 
     found = rows.agg(
@@ -331,12 +333,16 @@ def _digit_inversions(placed: DataFrame, width: int, blocks: int) -> DataFrame:
 
 def kendall_tau(df: DataFrame, x: str, y: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row ``tau``: Kendall's tau-b over complete pairs; null for a constant column."""
-    df = nan_to_null(df)
+    return _tau(nan_to_null(df), x, y, F.lit(1).cast("bigint"), block_rows)
+
+
+def _tau(df: DataFrame, x: str, y: str, copies: Column, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``kendall_tau`` over rows that stand for ``copies`` equal ones each."""
     rows = df.select(
-        F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y")
+        F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"), copies.alias("__n")
     ).dropna()
     # Counted once and written: every part below reads the distinct pairs again.
-    pairs = checkpointed(rows.groupBy("__x", "__y").agg(F.count(F.lit(1)).alias("__n")))
+    pairs = checkpointed(rows.groupBy("__x", "__y").agg(F.sum("__n").alias("__n")))
 
     def tied(frame: DataFrame, *keys: str) -> Column:
         n = F.col("__t").cast("double")
