@@ -62,7 +62,8 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group: the smallest id (null last), one row of it.
 
-    Texts group at a Jaccard similarity of 0.8 or more of their five-word shingles.
+    Texts group at a Jaccard similarity of 0.8 or more of their five-word shingles, asked of texts that meet by
+    SimHash fingerprints within 3 bits, or else by min-hashes.
     """
     groups = neardup.near_duplicates(docs)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "shingle_set")).alias("first")

@@ -1,12 +1,14 @@
 """Near-duplicates by the exact Jaccard similarity of word shingles.
 
 Two texts link when their sets of ``words``-word shingles have a Jaccard similarity of ``similarity`` or
-more; near-duplicates are the connected components of these links.  A 64-bit SimHash would need a radius
-of about 16 bits for 0.8, which no index of bit blocks narrows; candidates come from ``BANDS`` bands of
-``ROWS`` min-hashes instead, and every candidate pair is decided by its sets.  A pair at 0.8 meets in a
-band with probability 1 - (1 - 0.8**6)**25, over 99.9 %; a closer pair more surely.
-
-Equal sets collapse first.  The sets of a band's bucket are compared with its smallest one; in buckets
+more; near-duplicates are the connected components of these links.  Candidates are texts whose SimHash
+fingerprints are joined by steps of ``DISTANCE`` or fewer bits, found by the Gray index of ``simhash.py``: each
+such component is a bucket.  Two texts at 0.8 differ in about 10 of 64 bits, a radius that no index of bit blocks
+narrows; for those beyond the index, ``BANDS`` bands of ``ROWS`` min-hashes give further buckets.  Every pair of
+a bucket is decided by its sets.  A pair at 0.8 meets in a band with probability 1 - (1 - 0.8**6)**25, over 99.9 %;
+a closer pair more surely.
+
+Equal sets collapse first.  The sets of a bucket are compared with its smallest one; in buckets
 that are not one component after that, every pair of different components is compared inside a task, which
 sends on a spanning forest.  A bucket of sets with more than ``CHUNK`` shingles is dealt into chunks, and each pair of
 chunks is a task's work of its own.  So no list of pairs is ever made, and no pair that meets is left out.
@@ -21,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from riskweft.llm.components import connected_components
+from riskweft.llm.simhash import fingerprint, link_fingerprints
 from riskweft.llm.store import stored
 from riskweft.llm.wordarrays import NOT_BLANK, mix, pair_hash, slices, split_words, text_bytes
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 25, 6
+DISTANCE = 3  # bits between fingerprints
 CHUNK = 400_000  # shingles; a task compares two chunks at once
 _RANDOM = np.random.default_rng(42)
 _FACTORS = _RANDOM.integers(0, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1)
@@ -62,14 +66,14 @@ def set_keys(code: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.where(size > 0, mix(sums[bounds[1:]] - sums[bounds[:-1]] + size), np.uint64(0)).view(np.int64)
 
 
-def band_keys(code: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """(texts, BANDS): the bucket of each text in each band; texts without words have the bucket 0."""
+def band_keys(code: np.ndarray, bounds: np.ndarray, bands: int = BANDS) -> np.ndarray:
+    """(texts, bands): the bucket of each text in each band; texts without words have the bucket 0."""
     some = np.flatnonzero(np.diff(bounds))
-    out = np.zeros((len(bounds) - 1, BANDS), np.uint64)
+    out = np.zeros((len(bounds) - 1, bands), np.uint64)
     if not len(some):
         return out.view(np.int64)
     short = (code >> np.uint64(32)).astype(np.uint32)
-    for band in range(BANDS):
+    for band in range(bands):
         key = np.full(len(some), band + 1, np.uint64)
         for k in range(band * ROWS, band * ROWS + ROWS):
             least = np.minimum.reduceat((short ^ _TURNS[k]) * _FACTORS[k], bounds[some])
@@ -93,21 +97,36 @@ def with_set(docs: DataFrame, text: str = "text", words: int = WORDS) -> DataFra
     return rows.mapInArrow(run, "".join(f"`{c}` {kept[c]}, " for c in carried) + "shingle_set bigint")
 
 
-def _sketches(docs: DataFrame, id: str, text: str, words: int) -> DataFrame:
+def _sketches(docs: DataFrame, id: str, text: str, words: int, bands: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", 1 << 20):
                 code, bounds = shingles(batch.column(1), words)
-                bands = pa.ListArray.from_arrays(
-                    np.arange(batch.num_rows + 1, dtype=np.int32) * BANDS, band_keys(code, bounds).ravel()
+                buckets = pa.ListArray.from_arrays(
+                    np.arange(batch.num_rows + 1, dtype=np.int32) * bands, band_keys(code, bounds, bands).ravel()
                 )
+                texts = batch.column(1).cast(pa.large_binary())
+                prints = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in texts]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(set_keys(code, bounds)), pa.array(np.diff(bounds)), bands],
-                    names=["id", "set", "n", "bands"],
+                    [
+                        batch.column(0), pa.array(set_keys(code, bounds)), pa.array(np.diff(bounds)),
+                        pa.array(np.array(prints, np.uint64).view(np.int64)), buckets,
+                    ],
+                    names=["id", "set", "n", "fp", "bands"],
                 )
 
     rows = docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id bigint, set bigint, n bigint, bands array<bigint>")
+    return rows.mapInArrow(run, "id bigint, set bigint, n bigint, fp bigint, bands array<bigint>")
+
+
+def _places(rows: DataFrame) -> DataFrame:
+    """(set, n, band): the buckets of every set, by components of SimHash fingerprints and by bands of min-hashes."""
+    some = rows.filter("n > 0")
+    prints = stored(some.select("set", "n", "fp").distinct(), "prints")
+    groups = link_fingerprints(prints.select("fp").distinct(), DISTANCE).withColumnRenamed("node", "fp")
+    near = prints.join(groups, "fp", "left").select("set", "n", F.xxhash64(F.coalesce("component", "fp")).alias("band"))
+    banded = some.dropDuplicates(["set"]).select("set", "n", F.explode("bands").alias("band"))
+    return banded.unionByName(near.distinct())
 
 
 def _sets(docs: DataFrame, text: str, words: int) -> DataFrame:
@@ -186,16 +205,16 @@ def _forests(similarity: float):
 
 def near_duplicates(
     docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY,
-    chunk: int = CHUNK,
+    chunk: int = CHUNK, bands: int = BANDS,
 ) -> DataFrame:
     """(doc_id, shingle_set, component) for every row of ``docs``; rows of one component are near-duplicates.
 
     ``component`` is the smallest set name reachable over links.  Words are cut at ASCII blanks and compared
-    in lower case.  Null ids and repeated rows are kept; texts without words are one component.
+    in lower case.  Null ids and repeated rows are kept; texts without words are one component.  Without ``bands``
+    only SimHash buckets are searched.
     """
-    rows = stored(_sketches(docs, id, text, words), "sketches")
-    distinct = rows.filter("n > 0").dropDuplicates(["set"])
-    places = distinct.select("set", "n", F.explode("bands").alias("band"))
+    rows = stored(_sketches(docs, id, text, words, bands), "sketches")
+    places = stored(_places(rows), "places")
     buckets = places.groupBy("band").agg(F.min("set").alias("head"), F.count(F.lit(1)).alias("met")).filter("met > 1")
     met = stored(places.join(buckets.drop("met"), "band"), "met")
     heads = met.filter("set <> head").select(F.col("set").alias("u"), F.col("head").alias("v")).distinct()

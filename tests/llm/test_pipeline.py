@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from riskweft.llm import neardup
+from riskweft.llm import neardup, simhash
 from riskweft.llm.queries import ORACLES, QUERIES
 
 SCHEMAS = {
@@ -123,6 +123,25 @@ def test_near_dedup_drops_texts_with_a_few_edited_words(spark, tmp_path):
     assert sorted(r["doc_id"] for r in kept) == sorted(set(want)) and len(kept) < len(texts) / 2
 
 
+def test_near_dedup_finds_candidates_by_simhash(spark):
+    texts = []
+    for i in range(4):
+        base = words(300 + i, 6000).split()
+        texts.append(" ".join(base))
+        for at in (700, 3100):
+            base[at] = f"edit{at}"
+            texts.append(" ".join(base))
+    # One phrase sets the fingerprint, different tails the sets: within 3 bits, but not similar.
+    texts += ["again and so on then " * 3000 + words(800 + i, 200) for i in range(3)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMAS["documents"])
+    rows = neardup.near_duplicates(docs, bands=0).collect()
+    groups = {c: min(r["doc_id"] for r in rows if r["component"] == c) for c in {r["component"] for r in rows}}
+    got = [groups[r["component"]] for r in sorted(rows, key=lambda r: r["doc_id"])]
+    assert got == brute_groups(texts) == [*[i // 3 * 3 for i in range(12)], 12, 13, 14]
+    prints = [r["fingerprint"] for r in simhash.near_duplicates(docs).filter("doc_id > 11").collect()]
+    assert all((int(a, 16) ^ int(b, 16)).bit_count() <= 3 for a in prints for b in prints)
+
+
 def test_pipeline_on_empty_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, write(spark, tmp_path, {})).count() == 0
 
