@@ -21,6 +21,10 @@ METHODS = ("pearson", "spearman", "kendall")
 
 # Kendall: distinct pairs one task sorts, and values of a digit of their places.
 BLOCK_ROWS = 100_000
+# Ranks: rows that one task joins with their ranks, and the share of rows, one in so many, above which a value's rank is
+# sent along.
+RANK_ROWS = 200_000
+FREQUENT = 256
 DIGITS = 1_024
 
 
@@ -221,7 +225,9 @@ def average_ranks(rows: DataFrame, names: Sequence[str]) -> DataFrame:
     """Replace each value by its average rank in its column (no nulls in ``rows``).
 
     Values are counted first, so ties collapse before the sort and a frequent value is
-    one row of it.  The cumulative count runs over sorted blocks.
+    one row of it.  The cumulative count runs over sorted blocks.  Rows meet their ranks in tasks of
+    about ``RANK_ROWS`` rows, however well they compress; the ranks of values that more than one in
+    ``FREQUENT`` rows hold travel with the query, and their rows are spread over all tasks.
     """
     cells = F.array(
         *[F.struct(F.lit(i).alias("__c"), F.col(c).alias("__x")) for i, c in enumerate(names)]
@@ -229,15 +235,29 @@ def average_ranks(rows: DataFrame, names: Sequence[str]) -> DataFrame:
     counts = rows.select(F.inline(cells)).groupBy("__c", "__x").agg(F.count(F.lit(1)).alias("__n"))
     blocks = sorted_blocks(counts, ["__c", "__x"])
     ranks = running_total(blocks, F.col("__n"), "__below", within=["__c"]).select(
-        "__c", "__x", (F.col("__below") + (F.col("__n") + 1) / 2.0).alias("__rank")
+        "__c", "__x", "__n", (F.col("__below") + (F.col("__n") + 1) / 2.0).alias("__rank")
     )
+    ranks = checkpointed(ranks)
+    n = ranks.filter("__c = 0").agg(F.sum("__n")).first()[0] or 0
+    known = ranks.filter(F.col("__n") * FREQUENT > n).collect()  # fewer than FREQUENT a column
+    tasks = max(1, -(-n // RANK_ROWS))
     out = rows
     for i, c in enumerate(names):
+        hot = [F.lit(v) for r in known if r["__c"] == i for v in (r["__x"], r["__rank"])]
+        # A key of 64 bits is dealt to a fixed number of tasks; that values are equal is asked as well.
+        value = F.col(c) + F.lit(0.0)
+        rank = F.try_element_at(F.create_map(*hot), value) if hot else F.lit(None).cast("double")
+        out = out.withColumn(f"__hot{i}", rank)
+        spread = F.xxhash64(F.monotonically_increasing_id())
+        key = F.when(F.col(f"__hot{i}").isNotNull(), spread).otherwise(F.xxhash64(value))
+        out = out.withColumn(f"__key{i}", key).repartition(tasks, f"__key{i}")
         one = ranks.filter(F.col("__c") == i).select(
-            F.col("__x").alias(f"__x{i}"), F.col("__rank").alias(f"__rank{i}")
+            F.xxhash64(F.col("__x") + F.lit(0.0)).alias(f"__of{i}"), F.col("__x").alias(f"__x{i}"), F.col("__rank").alias(f"__rank{i}")
         )
-        out = out.join(one, F.col(c) == F.col(f"__x{i}"), "left")
-    return out.select(*[F.col(f"__rank{i}").alias(c) for i, c in enumerate(names)])
+        one = one.repartition(tasks, f"__of{i}")
+        same = (F.col(f"__key{i}") == F.col(f"__of{i}")) & (F.col(c) <= F.col(f"__x{i}")) & (F.col(c) >= F.col(f"__x{i}"))
+        out = out.join(one, same, "left").drop(f"__key{i}", f"__of{i}", f"__x{i}")
+    return out.select(*[F.coalesce(F.col(f"__hot{i}"), F.col(f"__rank{i}")).alias(c) for i, c in enumerate(names)])
 
 
 def spearman_pair(pairs: DataFrame, x: str, y: str) -> DataFrame:
