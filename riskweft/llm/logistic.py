@@ -1,8 +1,9 @@
-"""Logistic calibration on a bounded sample."""
+"""Logistic calibration: of a bounded sample, and of any number of rows by sums that Spark makes."""
 
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import DataFrame, functions as F
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 30) -> np.ndarray:
@@ -24,5 +25,44 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int
     return w
 
 
+def fit_logistic_rows(
+    rows: DataFrame, x: str, y: str, size: int, ridge: float = 1e-2, rounds: int = 30
+) -> np.ndarray:
+    """``fit_logistic`` of a stored table in which both classes weigh the same; ``x`` is a column of ``size`` numbers.
+
+    Every round is one aggregate; a row of the smaller class counts as often as it takes to match the larger one.
+    """
+    w = np.zeros(size + 1)
+    held = {r["y"]: r["n"] for r in rows.groupBy(F.col(y).cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(held) < 2:
+        n, ones = sum(held.values()), held.get(1, 0)
+        w[-1] = np.log((ones + 0.5) / (n - ones + 0.5)) if n else 0.0
+        return w
+    most = max(held.values())
+    times = F.when(F.col(y) == 1, most / held[1]).otherwise(most / held[0])
+    values = [*[F.col(x)[j] for j in range(size)], F.lit(1.0)]
+    rows = rows.select(times.alias("times"), F.col(y).cast("double").alias("y"), *[v.alias(f"x{j}") for j, v in enumerate(values)])
+    values = [F.col(f"x{j}") for j in range(size + 1)]
+    places = [(i, j) for i in range(size + 1) for j in range(i, size + 1)]
+    penalty = np.full(size + 1, ridge)
+    penalty[-1] = 1e-6
+    for _ in range(rounds):
+        z = sum((v * F.lit(float(k)) for v, k in zip(values, w)), F.lit(0.0))
+        p = 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
+        at = rows.withColumn("p", p).withColumn("curve", F.col("times") * F.greatest(F.col("p") * (1 - F.col("p")), F.lit(1e-6)))
+        row = at.agg(
+            *[F.sum(v * F.col("times") * (F.col("y") - F.col("p"))) for v in values],
+            *[F.sum(values[i] * values[j] * F.col("curve")) for i, j in places],
+        ).first()
+        slope, curve = np.array(row[: size + 1]), np.zeros((size + 1, size + 1))
+        for (i, j), v in zip(places, row[size + 1 :]):
+            curve[i, j] = curve[j, i] = v
+        step = np.linalg.solve(curve + np.diag(penalty), slope - penalty * w)
+        w = w + np.clip(step, -5, 5)
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
+
+
 def logistic(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))

@@ -11,9 +11,10 @@ does not count: over all, over the most toxic tenth and twentieth (two at least)
 function, in which both classes weigh the same, turns these into a score between 0 and 1.  It is fitted on texts that
 were left out of the counts they are scored with, fold by fold.  A word counts once in a text, equal texts once.
 
-The models are fitted on a bounded sample of labelled texts: at most ``sample`` of each class, the first in the order of
-a hash of the id.  All their n-grams are kept, at every size, and all reach the driver: as many rows as the sample has
-distinct n-grams.
+The models are fitted on every labelled text.  Spark counts the n-grams, scores each fold in as many tasks as it has
+``TEXTS_A_TASK``, and sums what a Newton step of the logistic fit needs; texts and their scores never reach the driver.
+All n-grams are kept, at every size: the model is as large as the labelled texts have distinct n-grams, and is sent to
+the tasks by way of the driver.
 """
 
 from __future__ import annotations
@@ -28,13 +29,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from riskweft.llm.logistic import fit_logistic, logistic
+from riskweft.functions.tables import sent_if_small
+from riskweft.llm.logistic import fit_logistic_rows, logistic
 from riskweft.llm.store import stored
 from riskweft.llm.wordarrays import HashTable, mix, pair_hash, slices
 
-SAMPLE = 8_000
 ORDER = 6  # a character and the five before it
 FOLDS = 4
+TEXTS_A_TASK = 4_000  # texts of one fold that a task scores without that fold's counts
 KEPT_WORDS = 1 << 20  # words whose ratios a task remembers
 SHARES = (20, 10)  # one in so many words, the most toxic ones, whose mean counts
 _START, _END, _FIRST = 1, 2, 3  # marks, and what is added to a character's number
@@ -251,23 +253,36 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample: int, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(text, label) of at most ``sample`` labelled rows per class, in the order of a hash of the id.
+def _classes(labels: DataFrame, label: str, id: str) -> DataFrame:
+    classes = labels.filter(F.col(label).isNotNull() & F.col(id).isNotNull())
+    return classes.groupBy(F.col(id).alias("__id")).agg(F.max(F.col(label).cast("int")).alias("label"))
+
+
+def _texts_of(docs: DataFrame, classes: DataFrame, id: str, text: str) -> DataFrame:
+    rows = docs.select(F.col(id).alias("__id"), F.col(text).cast("string").alias("text")).join(classes, "__id")
+    # Null texts last: any other teaches more.
+    least = F.min_by(F.struct("text", "label"), F.struct(F.col("text").isNull(), F.xxhash64("text"), "text"))
+    return rows.groupBy("__id").agg(least.alias("row")).select("row.text", "row.label")
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(text, label) of every row labelled 0 or 1.
 
     Null labels are left out; an id with several labels takes the largest, one with several texts the text of the
-    smallest hash.  ``labels`` rows without a
-    text, and null ids, teach nothing.
+    smallest hash.  ``labels`` rows without a text, and null ids, teach nothing.
     """
-    classes = labels.filter(F.col(label).isNotNull() & F.col(id).isNotNull())
-    classes = classes.groupBy(F.col(id).alias("__id")).agg(F.max(F.col(label).cast("int")).alias("label"))
+    classes = stored(_classes(labels, label, id).filter(F.col("label").isin(0, 1)), "classes")
+    return _texts_of(docs, sent_if_small(classes, classes.count()), id, text)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample: int, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``labelled``, but at most ``sample`` rows per class, in the order of a hash of the id."""
+    classes = _classes(labels, label, id)
     order = [F.xxhash64(F.lit(7), "__id"), "__id"]
     parts = [classes.filter(F.col("label") == k).orderBy(*order).limit(sample) for k in (0, 1)]
     # At most 2 * sample rows.
     chosen = F.broadcast(stored(parts[0].unionByName(parts[1]), "sample"))
-    rows = docs.select(F.col(id).alias("__id"), F.col(text).cast("string").alias("text")).join(chosen, "__id")
-    # Null texts last: any other teaches more.
-    least = F.min_by(F.struct("text", "label"), F.struct(F.col("text").isNull(), F.xxhash64("text"), "text"))
-    return rows.groupBy("__id").agg(least.alias("row")).select("row.text", "row.label")
+    return _texts_of(docs, chosen, id, text)
 
 
 def fit_toxicity(learn: DataFrame) -> ToxicityModel:
@@ -280,25 +295,18 @@ def fit_toxicity(learn: DataFrame) -> ToxicityModel:
     counted = learn.mapInArrow(_counts, "hi bigint, lo bigint, kind int, n bigint").groupBy("hi", "lo")
     kinds = [(1 - k, f) for k in range(2) for f in range(FOLDS)]  # toxic first
     sums = [F.sum(F.when(F.col("kind") == k * FOLDS + f, F.col("n")).otherwise(0)).cast("int").alias(f"n{k}_{f}") for k, f in kinds]
-    table = counted.agg(*sums).toPandas()
-    hi, lo = (table[c].to_numpy(np.int64).view(np.uint64) for c in ("hi", "lo"))
-    n = table[[f"n{k}_{f}" for k, f in kinds]].to_numpy(np.int32).reshape(-1, 2, FOLDS)
+    table = counted.agg(*sums).toArrow()
+    hi, lo = (table[c].to_numpy().view(np.uint64) for c in ("hi", "lo"))
+    n = np.stack([table[f"n{k}_{f}"].to_numpy() for k, f in kinds], axis=1).reshape(-1, 2, FOLDS)
     model = ToxicityModel(hi, lo, n, np.zeros(len(SHARES) + 3))
-    seen = _scored(learn.repartition("fold").sortWithinPartitions("fold"), model, "text", ["label", "fold"], "fold").toPandas()
-    x = np.stack(seen["ratios"]) if len(seen) else np.zeros((0, len(SHARES) + 2))
-    y = seen["label"].to_numpy(float)
-    model.weights = fit_logistic(*_balanced(x, y)) if len(np.unique(y)) == 2 else fit_logistic(x, y)
+    # A task holds texts of one fold, so it makes one model.
+    tasks = max(1, -(-learn.count() // (FOLDS * TEXTS_A_TASK)))
+    dealt = learn.repartitionById(FOLDS * tasks, (F.col("fold") * tasks + F.pmod(F.xxhash64(F.lit(3), "text"), F.lit(tasks))).cast("int"))
+    seen = stored(_scored(dealt, model, "text", ["label", "fold"], "fold").select("label", "ratios"), "ratios")
+    model.weights = fit_logistic_rows(seen, "ratios", "label", len(SHARES) + 2)
     return model
 
 
-def _balanced(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The rows of the smaller class as often as it takes to match the larger one."""
-    rows = [np.flatnonzero(y == k) for k in (0, 1)]
-    most = max(map(len, rows))
-    every = np.concatenate([np.resize(r, most) for r in rows])
-    return x[every], y[every]
-
-
 def _scored(docs: DataFrame, model: ToxicityModel, text: str, carried: list[str], left_out: str | None = None) -> DataFrame:
     """``carried`` columns, features and score; ``left_out`` names the fold whose counts a row is scored without."""
     sent = docs.sparkSession.sparkContext.broadcast(model)

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from riskweft.llm import bpe, decontaminate, htmltext, langid, lmscore, quality, toxicity
-from riskweft.llm.queries import vocabulary_path
+from riskweft.llm.logistic import fit_logistic, fit_logistic_rows
+from riskweft.llm.queries import QUERIES, vocabulary_path
 from riskweft.llm.wordarrays import LETTERS_AND_DIGITS, NOT_BLANK, split_words, text_bytes
 
 ODD = [None, "", " \n\t ", "a", "…", "😀 😀", "x" * 70_000, "1 2 3", "\n\n\nline\n\n", "dup", "dup"]
@@ -215,6 +216,36 @@ def test_toxic_stem_counts_alike_in_small_and_large_samples(spark, texts):
     assert min(scores[1::2]) > max(scores[0::2])
 
 
+def test_toxicity_learns_from_every_labelled_text(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE", 6, raising=False)
+    monkeypatch.setattr(toxicity, "TEXTS_A_TASK", 10, raising=False)
+    stems = [f"{a}{b}orgh" for a in "zxqw" for b in "jkv"]
+    docs, labels = [], []
+    for i in range(300):
+        toxic = i % 2 == 0
+        docs.append((i, made("aa", 30, i) + (f" {stems[i // 2 % 12]}" if toxic else "")))
+        labels.append((i, 1, int(toxic)))
+    docs += [(1000 + i, made("aa", 30, 9000 + i) + (f" {stems[i % 12]}" if i < 12 else "")) for i in range(30)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = QUERIES["op9_toxicity"](spark, str(tmp_path)).filter("doc_id >= 1000").orderBy("doc_id").collect()
+    assert [r["predicted"] for r in rows] == [1] * 12 + [0] * 18
+
+
+def test_logistic_fit_by_sums_equals_the_fit_of_rows(spark):
+    rng = np.random.default_rng(3)
+    y = np.repeat([1, 0], [12, 36])
+    x = rng.normal(size=(48, 2)) + 0.7 * y[:, None]
+    every = np.concatenate([np.repeat(np.arange(12), 3), np.arange(12, 48)])
+    want = fit_logistic(x[every], y[every].astype(float))
+    rows = spark.createDataFrame([(a.tolist(), int(b)) for a, b in zip(x, y)], "x array<double>, y int")
+    assert np.allclose(fit_logistic_rows(rows, "x", "y", 2), want, atol=1e-6)
+    for some in ("y = 1", "y = 0", "y = 2"):
+        n = rows.filter(some).count()
+        want = fit_logistic(np.zeros((n, 2)), np.full(n, float(some[-1])))
+        assert np.allclose(fit_logistic_rows(rows.filter(some), "x", "y", 2), want)
+
+
 def test_toxicity_with_one_class_or_no_rows(spark):
     for learn in ([], [("a b", 0), (None, 0)]):
         model = toxicity.fit_toxicity(spark.createDataFrame(learn, "text string, label int"))
