@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 
@@ -39,30 +42,35 @@ def fit_logistic_rows(
         w[-1] = np.log((ones + 0.5) / (n - ones + 0.5)) if n else 0.0
         return w
     most = max(held.values())
-    times = F.when(F.col(y) == 1, most / held[1]).otherwise(most / held[0])
-    values = [*[F.col(x)[j] for j in range(size)], F.lit(1.0)]
-    rows = rows.select(times.alias("times"), F.col(y).cast("double").alias("y"), *[v.alias(f"x{j}") for j, v in enumerate(values)])
-    values = [F.col(f"x{j}") for j in range(size + 1)]
-    places = [(i, j) for i in range(size + 1) for j in range(i, size + 1)]
-    penalty = np.full(size + 1, ridge)
+    times = [most / held[k] for k in (0, 1)]
+    rows, k = rows.select(F.col(x), F.col(y).cast("int")), size + 1
+    names = [f"s{i}" for i in range(k + k * k)]
+    penalty = np.full(k, ridge)
     penalty[-1] = 1e-6
     for _ in range(rounds):
-        z = sum((v * F.lit(float(k)) for v, k in zip(values, w)), F.lit(0.0))
-        p = 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
-        at = rows.withColumn("p", p).withColumn("curve", F.col("times") * F.greatest(F.col("p") * (1 - F.col("p")), F.lit(1e-6)))
-        row = at.agg(
-            *[F.sum(v * F.col("times") * (F.col("y") - F.col("p"))) for v in values],
-            *[F.sum(values[i] * values[j] * F.col("curve")) for i, j in places],
-        ).first()
-        slope, curve = np.array(row[: size + 1]), np.zeros((size + 1, size + 1))
-        for (i, j), v in zip(places, row[size + 1 :]):
-            curve[i, j] = curve[j, i] = v
-        step = np.linalg.solve(curve + np.diag(penalty), slope - penalty * w)
+        sums = rows.mapInArrow(_sums(w.copy(), times), ", ".join(f"{n} double" for n in names))
+        row = np.array(sums.agg(*[F.sum(n) for n in names]).first(), float)
+        step = np.linalg.solve(row[k:].reshape(k, k) + np.diag(penalty), row[:k] - penalty * w)
         w = w + np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-6:
             break
     return w
 
 
+def _sums(w: np.ndarray, times: list[float]):
+    """Slope and curvature of the likelihood at ``w``, a row for each batch of (numbers, class)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            y = batch.column(1).to_numpy()
+            x = np.column_stack([batch.column(0).flatten().to_numpy().reshape(len(y), -1), np.ones(len(y))]) if len(y) else np.zeros((0, len(w)))
+            p, n = logistic(x[:, :-1], w), np.array(times)[y]
+            curve = n * np.maximum(p * (1 - p), 1e-6)
+            found = np.concatenate([x.T @ (n * (y - p)), ((x * curve[:, None]).T @ x).ravel()])
+            yield pa.RecordBatch.from_arrays([pa.array([v]) for v in found], names=[f"s{i}" for i in range(len(found))])
+
+    return run
+
+
 def logistic(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
