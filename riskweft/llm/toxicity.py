@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 from riskweft.functions.tables import sent_if_small
 from riskweft.llm.logistic import fit_logistic_rows, logistic
 from riskweft.llm.store import stored
-from riskweft.llm.wordarrays import HashTable, mix, pair_hash, slices
+from riskweft.llm.wordarrays import HashTable, mix, pair_hash, slices, span_hashes
 
 ORDER = 6  # a character and the five before it
 FOLDS = 4
@@ -53,54 +53,68 @@ def _letters() -> np.ndarray:
 
 @dataclass
 class Grams:
-    """Characters of the words of several texts, each with the ones before it, packed three to a number."""
+    """Words of several texts, as places in all their characters; packed into n-grams when asked for."""
 
-    hi: np.ndarray
-    lo: np.ndarray
-    word: np.ndarray  # of each character
+    points: np.ndarray  # lower-cased characters of all texts
+    start: np.ndarray  # of each word
+    end: np.ndarray
     text: np.ndarray  # of each word
 
     def __len__(self) -> int:
-        return len(self.hi)
+        return len(self.text)
 
     def names(self) -> np.ndarray:
         """A hash of each word."""
-        first = np.flatnonzero(np.diff(self.word, prepend=-1))
-        step = np.arange(len(self)) - first[self.word]
-        return np.add.reduceat(mix(_name(self.hi, self.lo) + step.astype(np.uint64)), first) if len(first) else np.zeros(0, np.uint64)
+        return span_hashes(self.points.astype(np.uint64) + np.uint64(_FIRST), self.start, self.end)
 
     def only(self, words: np.ndarray) -> Grams:
-        """These words (places, ascending) alone."""
-        number = np.full(len(self.text), -1)
-        number[words] = np.arange(len(words))
-        keep = number[self.word] >= 0
-        return Grams(self.hi[keep], self.lo[keep], number[self.word[keep]], self.text[words])
+        """These words (places) alone."""
+        return Grams(self.points, self.start[words], self.end[words], self.text[words])
+
+    def packed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hi, lo, word): each character of each word with the ones before it, three to a number; starts are context only."""
+        size = self.end - self.start + 2
+        first = np.cumsum(size) - size
+        word = np.repeat(np.arange(len(self)), size)
+        place = np.arange(len(word)) - first[word]
+        symbol = np.full(len(word), _END, np.uint64)
+        symbol[first] = _START
+        inside = (place > 0) & (place < size[word] - 1)
+        symbol[inside] = self.points[(self.start[word] + place - 1)[inside]].astype(np.uint64) + np.uint64(_FIRST)
+        packed = [np.zeros(len(word), np.uint64), np.zeros(len(word), np.uint64)]
+        for back in range(ORDER):
+            moved = np.zeros(len(word), np.uint64)
+            moved[back:] = symbol[: max(0, len(word) - back)]
+            moved[place < back] = 0
+            packed[back // 3] |= moved << (_BITS * np.uint64(back % 3))
+        read = place > 0
+        return packed[1][read], packed[0][read], word[read]
 
 
 def _grams(texts: pa.Array) -> Grams:
-    """Every distinct word of each text is read as often as it stands there; starts are context only."""
+    """Every word of each text, as often as it stands there."""
     lower = [t or "" for t in pc.utf8_lower(texts.cast(pa.large_string())).to_pylist()]
     bounds = np.cumsum([0] + [len(t) + 1 for t in lower])
     points = np.frombuffer("\n".join([*lower, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = _letters()[np.minimum(points, _PLANES - 1)]
     before, after = np.concatenate(([False], letter[:-1])), np.concatenate((letter[1:], [False]))
     start, end = np.flatnonzero(letter & ~before), np.flatnonzero(letter & ~after) + 1
-    size = end - start + 2
-    first = np.cumsum(size) - size
-    word = np.repeat(np.arange(len(start)), size)
-    place = np.arange(len(word)) - first[word]
-    symbol = np.full(len(word), _END, np.uint64)
-    symbol[first] = _START
-    inside = (place > 0) & (place < size[word] - 1)
-    symbol[inside] = points[(start[word] + place - 1)[inside]].astype(np.uint64) + np.uint64(_FIRST)
-    packed = [np.zeros(len(word), np.uint64), np.zeros(len(word), np.uint64)]
-    for back in range(ORDER):
-        moved = np.zeros(len(word), np.uint64)
-        moved[back:] = symbol[: max(0, len(word) - back)]
-        moved[place < back] = 0
-        packed[back // 3] |= moved << (_BITS * np.uint64(back % 3))
-    read = place > 0
-    return Grams(packed[1][read], packed[0][read], word[read], np.searchsorted(bounds, start, side="right") - 1)
+    return Grams(points, start, end, np.searchsorted(bounds, start, side="right") - 1)
+
+
+def _distinct(times: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of distinct rows of ``keys``, and the sum of ``times`` of each.
+
+    Rows are brought together by one hash; should two share it, a row may come twice with parts of its sum.
+    """
+    code = np.zeros(len(times), np.uint64)
+    for key in keys:
+        code = pair_hash(code, key.astype(np.uint64))
+    order = np.argsort(code)
+    fresh = np.ones(len(code), bool)
+    fresh[1:] = np.logical_or.reduce([key[order[1:]] != key[order[:-1]] for key in keys])
+    first = np.flatnonzero(fresh)
+    return order[first], np.add.reduceat(times[order], first) if len(first) else times[:0]
 
 
 def _shorter(hi: np.ndarray, lo: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,21 +144,21 @@ def _discounts(n: np.ndarray) -> np.ndarray:
 class Level:
     """Discounted counts of one order: of n-grams, and of contexts with what their n-grams leave to the next order."""
 
-    def __init__(self, gram: np.ndarray, context: np.ndarray, n: np.ndarray):
+    def __init__(self, gram: np.ndarray, context: np.ndarray, n: np.ndarray, shorter: np.ndarray):
+        """``shorter``: of each n-gram, the chance of its last character after the shorter context."""
         off = _discounts(n)[np.minimum(n, 3).astype(np.int64)]
-        self.gram, self.kept = HashTable(gram), n - off
         names, place = np.unique(context, return_inverse=True)
         self.context = HashTable(names)
         self.total = np.bincount(place, weights=n, minlength=len(names))
         self.left = np.bincount(place, weights=off, minlength=len(names))
+        # What an n-gram that was seen gives is worked out once.
+        self.gram, self.known = HashTable(gram), ((n - off) + self.left[place] * shorter) / self.total[place]
 
-    def chance(self, gram: np.ndarray, context: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-        """Chances of characters, given those after shorter contexts."""
-        at, of = self.gram.find(gram), self.context.find(context)
+    def unseen(self, of: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+        """Chances of characters that never came after their contexts (places, or -1), given those after shorter ones."""
         out, known = shorter.copy(), of >= 0
-        kept = np.where(at >= 0, self.kept[np.maximum(at, 0)], 0.0) if len(self.kept) else np.zeros(len(at))
         of = of[known]
-        out[known] = (kept[known] + self.left[of] * shorter[known]) / self.total[of]
+        out[known] = self.left[of] * shorter[known] / self.total[of]
         return out
 
 
@@ -157,24 +171,59 @@ class Models:
         n = n[:, :, folds].sum(axis=2)
         some = n.sum(axis=1) > 0
         hi, lo, n = hi[some], lo[some], n[some].astype(float)
-        gram, context = _keys(hi, lo, ORDER)
-        self.classes = [Level(gram[n[:, k] > 0], context[n[:, k] > 0], n[n[:, k] > 0, k]) for k in (0, 1)]
-        self.shared = []
+        self.symbols = 1 + len(np.unique(lo & _ONE))
+        self.shared: list[Level] = []  # the shortest first
+        follow = []
         for order in range(ORDER - 1, 0, -1):
             # A continuation count: how many different characters come before.
             _, first = np.unique(_keys(hi, lo, order + 1)[0], return_index=True)
-            name, at, follow = np.unique(_keys(hi[first], lo[first], order)[0], return_index=True, return_counts=True)
-            self.shared.append(Level(name, _keys(hi[first][at], lo[first][at], order)[1], follow.astype(float)))
-        self.symbols = 1 + len(np.unique(lo & _ONE))
+            _, at, count = np.unique(_keys(hi[first], lo[first], order)[0], return_index=True, return_counts=True)
+            follow.append((order, hi[first][at], lo[first][at], count.astype(float)))
+        for order, h, w, count in reversed(follow):
+            self.shared.append(Level(*_keys(h, w, order), count, self._after(h, w, order - 1)))
+        gram, context = _keys(hi, lo, ORDER)
+        shorter = self._after(hi, lo, ORDER - 1)
+        self.classes = [Level(gram[n[:, k] > 0], context[n[:, k] > 0], n[n[:, k] > 0, k], shorter[n[:, k] > 0]) for k in (0, 1)]
+        self.gram, self.known = HashTable(gram), self._ratio(gram, context, shorter)
+
+    def _after(self, hi: np.ndarray, lo: np.ndarray, order: int) -> np.ndarray:
+        """Chances of characters after contexts shared by the classes; only those not seen go on to the next order."""
+        if not order:
+            return np.full(len(hi), 1 / self.symbols)
+        gram, context = _keys(hi, lo, order)
+        level = self.shared[order - 1]
+        at = level.gram.find(gram)
+        new = np.flatnonzero(at < 0)
+        out = level.known[at] if len(level.known) else np.zeros(len(at))
+        if len(new):
+            out[new] = level.unseen(level.context.find(context[new]), self._after(hi[new], lo[new], order - 1))
+        return out
+
+    def _ratio(self, gram: np.ndarray, context: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+        chances = []
+        for level in self.classes:
+            at = level.gram.find(gram)
+            p = level.unseen(level.context.find(context), shorter)
+            p[at >= 0] = level.known[at[at >= 0]]
+            chances.append(np.log(np.maximum(p, 1e-12)))
+        return chances[0] - chances[1]
 
     def ratios(self, grams: Grams) -> np.ndarray:
         """Log-likelihood ratio, toxic over ordinary, of each word."""
-        p = np.full(len(grams), 1 / self.symbols)
-        for order, level in zip(range(1, ORDER), reversed(self.shared)):
-            p = level.chance(*_keys(grams.hi, grams.lo, order), p)
-        names = _keys(grams.hi, grams.lo, ORDER)
-        toxic, ordinary = (np.log(np.maximum(level.chance(*names, p), 1e-12)) for level in self.classes)
-        return np.bincount(grams.word, weights=toxic - ordinary, minlength=len(grams.text))
+        hi, lo, word = grams.packed()
+        gram, context = _keys(hi, lo, ORDER)
+        at = self.gram.find(gram)
+        out = self.known[at] if len(self.known) else np.zeros(len(at))
+        new = np.flatnonzero(at < 0)
+        of = [level.context.find(context[new]) for level in self.classes]
+        # After a context that neither class knows both go by the same shorter one.
+        some = (of[0] >= 0) | (of[1] >= 0)
+        out[new] = 0.0
+        new, of = new[some], [x[some] for x in of]
+        shorter = self._after(hi[new], lo[new], ORDER - 1)
+        toxic, ordinary = (np.log(np.maximum(level.unseen(x, shorter), 1e-12)) for level, x in zip(self.classes, of))
+        out[new] = toxic - ordinary
+        return np.bincount(word, weights=out, minlength=len(grams))
 
 
 class _Ratios:
@@ -234,6 +283,13 @@ class ToxicityModel:
     def models(self, left_out: int | None = None) -> Models:
         return Models(self.hi, self.lo, self.n, left_out)
 
+    def ratios(self, left_out: int | None = None) -> _Ratios:
+        """What is worked out of these counts; a Python worker keeps the last for its next task."""
+        made = self.__dict__.get("_made")
+        if made is None or made[0] != left_out:
+            made = self._made = (left_out, _Ratios(self.models(left_out)))
+        return made[1]
+
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """N-grams of the distinct words of each text, with label and fold."""
@@ -242,13 +298,17 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             grams = _grams(batch.column(0))
             if not len(grams):
                 continue
-            both = np.column_stack([grams.text.astype(np.uint64), grams.names()])
-            grams = grams.only(np.sort(np.unique(both, axis=0, return_index=True)[1]))
-            kind = (batch.column(1).to_numpy().astype(np.int64) * FOLDS + batch.column(2).to_numpy())[grams.text[grams.word]]
-            rows = np.column_stack([grams.hi, grams.lo, kind.astype(np.uint64)])
-            rows, n = np.unique(rows, axis=0, return_counts=True)
+            kinds = batch.column(1).to_numpy().astype(np.int64) * FOLDS + batch.column(2).to_numpy()
+            names = grams.names()
+            once, _ = _distinct(np.ones(len(grams), np.int64), grams.text, names)
+            # A word is read once for all texts of a label and fold.
+            place, times = _distinct(np.ones(len(once), np.int64), kinds[grams.text[once]], names[once])
+            grams = grams.only(once[place])
+            hi, lo, word = grams.packed()
+            kind = kinds[grams.text[word]]
+            row, n = _distinct(times[word], hi, lo, kind)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rows[:, 0].astype(np.int64)), pa.array(rows[:, 1].astype(np.int64)), pa.array(rows[:, 2].astype(np.int32)), pa.array(n)],
+                [pa.array(hi[row].view(np.int64)), pa.array(lo[row].view(np.int64)), pa.array(kind[row].astype(np.int32)), pa.array(n)],
                 names=["hi", "lo", "kind", "n"],
             )
 
@@ -332,7 +392,7 @@ def _scored(docs: DataFrame, model: ToxicityModel, text: str, carried: list[str]
             for one in ready(whole):
                 wanted = None if left_out is None else one.column(sent_columns.index(left_out))[0].as_py()
                 if known is None or wanted != fold:
-                    known, fold = _Ratios(given.models(wanted)), wanted
+                    known, fold = given.ratios(wanted), wanted
                 for batch in slices(one, text, 1 << 20):
                     grams = _grams(batch.column(at))
                     x = _features(known.of(grams), grams.text, batch.num_rows)

@@ -100,6 +100,13 @@ def _pieces(is_word: np.ndarray, raw: np.ndarray, bounds: np.ndarray) -> Iterato
         a = b
 
 
+def span_hashes(letters: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of runs of ``letters`` (64-bit numbers above 0)."""
+    n, sums = len(letters), np.zeros(len(letters) + 1, np.uint64)
+    np.cumsum(letters * _power("up", n)[:n], out=sums[1:])
+    return mix((sums[end] - sums[start]) * _power("down", n)[start])
+
+
 def split_words(raw: np.ndarray, bounds: np.ndarray, is_word: np.ndarray) -> Words:
     starts, ends, hashes = [], [], []
     for a, b in _pieces(is_word, raw, bounds):
@@ -111,13 +118,9 @@ def split_words(raw: np.ndarray, bounds: np.ndarray, is_word: np.ndarray) -> Wor
         before[breaks] = False
         after[breaks - 1] = False
         start, end = np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
-        sums = np.zeros(b - a + 1, np.uint64)
-        letters = piece.astype(np.uint64) + np.uint64(1)
-        np.cumsum(letters * _power("up", b - a)[: b - a], out=sums[1:])
-        h = (sums[end] - sums[start]) * _power("down", b - a)[start]
         starts.append(start + a)
         ends.append(end + a)
-        hashes.append(mix(h))
+        hashes.append(span_hashes(piece.astype(np.uint64) + np.uint64(1), start, end))
     join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
     start = join(starts, np.int64)
     return Words(

@@ -204,6 +204,17 @@ def test_toxicity_equals_plain_kneser_ney(spark):
         assert np.allclose(known.of(toxicity._grams(pa.array([" ".join(asked * 3), None, ""]))), np.tile(got, 3))
 
 
+def test_toxicity_looks_up_a_learnt_ngram_once(spark, monkeypatch):
+    learn = [(made("aa", 30, i), int(i % 2 == 0)) for i in range(40)]
+    fitted = toxicity.fit_toxicity(spark.createDataFrame(learn, "text string, label int"))
+    model, asked, find = fitted.models(), [], toxicity.HashTable.find
+    monkeypatch.setattr(toxicity.HashTable, "find", lambda self, hashes: asked.append(len(hashes)) or find(self, hashes))
+    words = sorted({w for text, _ in learn for w in text.lower().split() if w.isalnum()})
+    assert len(model.ratios(toxicity._grams(pa.array([" ".join(words)])))) == len(words)
+    assert sum(asked) == sum(len(w) + 1 for w in words)
+    assert fitted.ratios(1) is fitted.ratios(1)  # a worker's next task makes no model of its own
+
+
 @pytest.mark.parametrize("texts", [60, 600])
 def test_toxic_stem_counts_alike_in_small_and_large_samples(spark, texts):
     """Five texts with different words of one stem are enough, however many others there are."""
