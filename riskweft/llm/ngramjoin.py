@@ -3,7 +3,9 @@
 A set's n-grams stand in one order for all: by hash, the frequent ones last.  Sets with a Jaccard similarity of
 ``percent`` hundredths share an n-gram among their first n - ceil(t * n) + 1, their prefixes.  Sets of one size and one
 prefix act alike in this search and form a group; groups that meet at an n-gram are paired under the bounds of their
-sizes and of its places in both, and only then are their members compared, by their whole sets.
+sizes and of its places in both, and of what the marks of their sets tell: a mark has a bit for the parity of the
+n-grams that fall on it, so two sets differ in at least as many n-grams as their marks in bits.  Only then are their
+members compared, by their whole sets, for which no other text is read again.
 
 Frequent n-grams are found by counting: every text shows a window of half as many again as its prefix, and n-grams in
 more than ``OFTEN`` windows move to the end.  A set that has too few others left in its window shows all it has.
@@ -37,6 +39,7 @@ MOST_OFTEN = 1 << 21  # n-grams that may move, the most frequent first: 16 MB in
 FILTER_BITS = 27  # most bits of a name filter, as a power of two: 16 MB
 CHUNK = 2_048  # groups of one n-gram that a task pairs at once
 VERIFY = 256  # sets compared with one other in a task
+MARKS = ["m0", "m1", "m2", "m3"]  # 256 bits of a set
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -83,7 +86,7 @@ def _texts(docs: DataFrame, id: str, text: str) -> DataFrame:
 
 
 def _windows(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(id, set, n, list) of every row: the set's name and size, and its window."""
+    """(id, set, n, list, mark) of every row: the set's name and size, its window, and its mark in ``MARKS``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -92,24 +95,43 @@ def _windows(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 n = np.diff(bounds).astype(np.int64)
                 shown = np.where(n > 0, np.minimum(n, _window(n, percent)), 0)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(set_names(code, bounds)), pa.array(n), _blobs(code, bounds[:-1], bounds[:-1] + shown)],
-                    names=["id", "set", "n", "list"],
+                    [
+                        batch.column(0), pa.array(set_names(code, bounds)), pa.array(n), _blobs(code, bounds[:-1], bounds[:-1] + shown),
+                        *map(pa.array, _marks(code, bounds)),
+                    ],
+                    names=["id", "set", "n", "list", *MARKS],
                 )
 
-    return docs.mapInArrow(run, "id bigint, set bigint, n bigint, list binary")
+    return docs.mapInArrow(run, "id bigint, set bigint, n bigint, list binary, " + ", ".join(f"{m} bigint" for m in MARKS))
+
+
+def _marks(code: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    """Of each set, whether an odd number of its n-grams falls on each bit."""
+    rows, bits = len(bounds) - 1, 64 * len(MARKS)
+    at = np.repeat(np.arange(rows) * bits, np.diff(bounds)) + (mix(code) % np.uint64(bits)).astype(np.int64)
+    odd = (np.bincount(at, minlength=rows * bits) & 1).astype(np.uint8).reshape(rows, bits)
+    return list(np.ascontiguousarray(np.packbits(odd, axis=1).view(np.int64).T))
 
 
 def _blobs(code: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.Array:
     return pa.array([code[a:b].tobytes() for a, b in zip(first.tolist(), last.tolist())], pa.binary())
 
 
-def _lists(docs: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
-    """(set, n, list): all n-grams, ascending, of the ``wanted`` sets (set), read from the texts again."""
-    sent = docs.sparkSession.sparkContext.broadcast(_name_filter(wanted))
+def _lists(docs: DataFrame, rows: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
+    """(set, n, list): all n-grams, ascending, of the ``wanted`` sets (set), read again from a text of each in ``rows``."""
+    held = rows.filter("n > 0").select("id", "set").join(wanted, "set", "left_semi")
+    held = stored(held.groupBy("set").agg(F.min("id").alias("id")), "held")
+    ids = held.filter("id IS NOT NULL").select("id").distinct()
+    # Rows without an id are told apart by their sets alone.
+    nameless = not held.filter("id IS NULL").isEmpty()
+    sent = docs.sparkSession.sparkContext.broadcast((_name_filter(ids, 32), _name_filter(held.select("set"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, gone = sent.value, set()
-        for whole in batches:
+        (some, known), gone = sent.value, set()
+        for every in batches:
+            null = every.column(0).is_null().to_numpy(zero_copy_only=False)
+            id = every.column(0).fill_null(0).to_numpy()
+            whole = every.filter(pa.array(np.where(null, nameless, _may_hold(some, id))))
             for batch in slices(whole, "text"):
                 code, bounds = ngram_sets(batch.column(1), words)
                 names, size = set_names(code, bounds), np.diff(bounds)
@@ -138,12 +160,12 @@ def _may_hold(known: np.ndarray, names: np.ndarray) -> np.ndarray:
     return (known[cell >> 6] >> (cell & 63).astype(np.uint64)) & np.uint64(1) > 0
 
 
-def _name_filter(names: DataFrame) -> np.ndarray:
-    """A bit table of all ``names`` (one bigint column): eight bits a name, at most 2 ** FILTER_BITS.
+def _name_filter(names: DataFrame, each: int = 8) -> np.ndarray:
+    """A bit table of all ``names`` (one bigint column): ``each`` bits a name, at most 2 ** FILTER_BITS.
 
     Beyond that size it lets more strangers pass; it never stops a name that it was made from.
     """
-    bits = min(FILTER_BITS, max(12, int(8 * max(1, names.count()) - 1).bit_length()))
+    bits = min(FILTER_BITS, max(12, int(each * max(1, names.count()) - 1).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << (bits - 6), np.uint64)
@@ -292,25 +314,36 @@ def _stars(places: DataFrame, percent: int, turn: int) -> DataFrame:
     return shared.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= HEADS).select("rep", "head")
 
 
-def _rest(places: DataFrame, percent: int, chunk: int) -> DataFrame:
+def _spread(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """(rep, mark, radius): the mark of each group's first set, and the most bits by which a member's differs from it."""
+    marks = rows.filter("n > 0").groupBy("set").agg(*[F.min(m).alias(m) for m in MARKS])  # equal sets, equal marks
+    held = stored(members.join(marks, "set"), "marks")
+    first = stored(held.filter("rep = set").select("rep", *[F.col(m).alias(f"first_{m}") for m in MARKS]), "first_marks")
+    bits = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"first_{m}"))) for m in MARKS), F.lit(0)).cast("bigint")
+    far = join_spread(held, first, ["rep"]).groupBy("rep").agg(F.max(bits).alias("radius"))
+    return first.join(far, "rep").select("rep", *[F.col(f"first_{m}").alias(m) for m in MARKS], "radius")
+
+
+def _rest(places: DataFrame, marks: DataFrame, percent: int, chunk: int) -> DataFrame:
     """(rep, head): all pairs of groups that meet, fit, and are not one component already."""
     spans = places.groupBy("code").agg(F.min("low").alias("least"), F.max("high").alias("most"), F.count(F.lit(1)).alias("m"))
     spans = spans.filter("least < most AND m > 1").select("code", F.ceil(F.col("m") / F.lit(chunk)).cast("bigint").alias("parts"))
-    rows = join_spread(places, stored(spans, "spans"), ["code"])
+    rows = join_spread(places, stored(spans, "spans"), ["code"]).join(marks, "rep")
     own = F.pmod(F.xxhash64("rep"), F.col("parts"))
     # A chunk meets every other one: each pair of chunks is a task's work of its own.
     pair = F.transform(
         F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1), lambda k: F.struct(F.least(own, k).alias("a"), F.greatest(own, k).alias("b"))
     )
-    dealt = rows.select("code", F.explode(pair).alias("pair"), own.alias("own"), "rep", "n", "place", "low", "high")
-    dealt = dealt.select("code", "pair.a", "pair.b", "own", "rep", "n", "place", "low", "high")
+    dealt = rows.select("code", F.explode(pair).alias("pair"), own.alias("own"), "rep", "n", "place", "low", "high", *MARKS, "radius")
+    dealt = dealt.select("code", "pair.a", "pair.b", "own", "rep", "n", "place", "low", "high", *MARKS, "radius")
     dealt = dealt.repartition("code", "a", "b").sortWithinPartitions("code", "a", "b", "n", "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
 
         def pairs(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            code, a, b, own, rep, n, place, low, high = columns
+            code, a, b, own, rep, n, place, low, high, *mark, radius = columns
+            mark = [m.view(np.uint64) for m in mark]
             change = (code[1:] != code[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
             last = np.concatenate((np.flatnonzero(change) + 1, [len(code)]))
             end = last[np.searchsorted(last, np.arange(len(code)), side="right")]
@@ -325,8 +358,12 @@ def _rest(places: DataFrame, percent: int, chunk: int) -> DataFrame:
                 ok = _fits(n[first], place[first], n[second], place[second], percent)
                 ok &= (low[first] != high[first]) | (low[second] != high[second]) | (low[first] != low[second])
                 ok &= (a[first] == b[first]) | (own[first] != own[second])
-                us.append(rep[first[ok]])
-                vs.append(rep[second[ok]])
+                u, v = first[ok], second[ok]
+                bits = sum(np.bitwise_count(m[u] ^ m[v]).astype(np.int64) for m in mark) - radius[u] - radius[v]
+                # Linked sets differ in no more n-grams than this.
+                near = (100 + percent) * bits <= (100 - percent) * (n[u] + n[v])
+                us.append(rep[u[near]])
+                vs.append(rep[v[near]])
                 size += len(us[-1])
                 if size > 500_000:
                     yield found(us, vs)
@@ -406,7 +443,7 @@ def similar_sets(
         more = stored(more.distinct(), "lacking")
         if more.isEmpty():
             break
-        full = _lists(docs, words, more)
+        full = _lists(docs, rows, words, more)
         if not last:  # the order is settled before the last look at who lacks what
             often = np.union1d(often, _most_frequent(_frequent(full, percent, beyond=True)))
         whole = full if whole is None else whole.unionByName(full)
@@ -435,18 +472,18 @@ def similar_sets(
         pairs = stored(_ordered(pairs.unionByName(_apart(_stars(places, percent, turn), labelled, whole_head=False))), "pairs")
         if pairs.isEmpty():
             break
-        found = _linked(pairs, _lists(docs, words, _ends(pairs)), percent)
+        found = _linked(pairs, _lists(docs, rows, words, _ends(pairs)), percent)
         links.append(found)
         if 8 * found.count() <= pairs.count():
             break
         pairs = pairs.limit(0)
     labelled, spans, places = _labelled(members, spots, links)
-    pairs = _rest(places, percent, chunk)
+    pairs = _rest(places, _spread(rows, members), percent, chunk)
     # Members of one group that are still apart.
     torn = spans.filter("low < high").select("rep", F.col("rep").alias("head"))
     pairs = stored(_ordered(_apart(pairs.unionByName(torn), labelled, whole_head=True)), "candidates")
     if not pairs.isEmpty():
-        links.append(_linked(pairs, _lists(docs, words, _ends(pairs)), percent))
+        links.append(_linked(pairs, _lists(docs, rows, words, _ends(pairs)), percent))
     return rows, _components(links, docs.sparkSession)
 
 

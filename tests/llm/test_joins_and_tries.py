@@ -98,6 +98,35 @@ def test_ngram_join_of_a_family_that_one_text_does_not_reach(spark):
     assert len({c for i, _, c in got if i < 100}) == 1 and len({c for i, _, c in got if i >= 100}) == 40
 
 
+def test_ngram_join_pairs_few_texts_that_share_much_but_are_not_linked(spark, monkeypatch):
+    """Texts with three quarters in common meet at every n-gram; their marks tell that they are apart."""
+    rng, made, rest = random.Random(4), [], ngramjoin._rest
+    shared = [f"s{rng.randrange(5000)}" for _ in range(180)]
+    rows = [(k, " ".join(shared + [f"own{k}x{i}" for i in range(30)])) for k in range(60)]
+    rows += [(100, rows[7][1] + " more"), (None, rows[9][1] + " more"), (None, "a b c d e f")]
+
+    def counted(*given):
+        made.append(rest(*given).localCheckpoint())
+        return made[-1]
+
+    monkeypatch.setattr(ngramjoin, "_rest", counted)
+    assert joined(spark, rows) == brute_components(rows)
+    assert made[0].count() < 200
+
+
+def test_ngram_join_finds_lists_of_sets_with_and_without_ids(spark):
+    rng = random.Random(6)
+    texts = [" ".join(f"t{rng.randrange(9000)}" for _ in range(40)) for _ in range(300)]
+    docs = spark.createDataFrame([*enumerate(texts), (None, "nameless but with words")], "id long, text string")
+    rows = ngramjoin.stored(ngramjoin._windows(docs, 4, 85), "windows")
+    blank = docs.withColumn("text", F.when(F.col("id").between(4, 290), F.lit(None)).otherwise(F.col("text")))
+    for chosen in ("id < 3", "id = 3 OR id IS NULL"):
+        wanted = rows.filter(chosen).select("set")
+        got = ngramjoin._lists(docs, rows, 4, wanted).collect()
+        assert {r["set"] for r in got} == {r["set"] for r in wanted.collect()}
+        assert {r["set"]: r["list"] for r in got} == {r["set"]: r["list"] for r in ngramjoin._lists(blank, rows, 4, wanted).collect()}
+
+
 def test_ngram_join_inside_groups(spark):
     """Families of three whose ends are linked only through the middle; some share size and prefix, so form a group."""
     rng, rows = random.Random(2), []
