@@ -11,10 +11,12 @@ Frequent n-grams are found by counting: every text shows a window of half as man
 more than ``OFTEN`` windows move to the end.  A set that has too few others left in its window shows all it has.
 The order only decides how much is compared, never what is found.
 
-Links are wanted up to their components.  Where an n-gram holds many groups, one of them, drawn anew each round, stands
-for it, and each group is compared with a few such heads, as long as that links one in eight: this joins large
-families without pairing their members.  Then whatever meets and still lies in different components is paired in
-full, chunk by chunk.
+Links are wanted up to their components.  Where an n-gram holds many groups, one of them stands for it, and each group
+is compared with a few such heads: this joins tight families without pairing their members.  Then each group there is
+compared with the one of another component whose mark is nearest, among those dealt to its chunk of the n-gram: this
+joins loose families, whose members are far from any one head, by a row for each place.  It goes on as long as one in
+eight is linked and a round finds more than a quarter of the links of the one before.
+Then whatever meets and still lies in different components is paired in full, chunk by chunk.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ WORDS, PERCENT = 4, 85
 OFTEN = 8  # windows that may share an n-gram before it moves to the end of the order
 FEW = 8  # groups at one n-gram that are paired in full at once
 HEADS = 4  # heads that a group is compared with in a round
-ROUNDS = 4
+ROUNDS = 4  # the first with heads, the others with the nearest
 MOST_OFTEN = 1 << 21  # n-grams that may move, the most frequent first: 16 MB in a task
 FILTER_BITS = 27  # most bits of a name filter, as a power of two: 16 MB
 CHUNK = 2_048  # groups of one n-gram that a task pairs at once
@@ -294,9 +296,9 @@ def _fits(n, place, other_n, other_place, percent: int):
     return sizes & enough(n - place) & enough(other_n - other_place)
 
 
-def _stars(places: DataFrame, percent: int, turn: int) -> DataFrame:
+def _stars(places: DataFrame, percent: int) -> DataFrame:
     """(rep, head): each group with at most ``HEADS`` heads of other components that it meets, the most frequent first."""
-    seen = F.struct(F.xxhash64("rep", "code", F.lit(turn)).alias("draw"), "rep", "low", "n", "place")
+    seen = F.struct(F.xxhash64("rep", "code").alias("draw"), "rep", "low", "n", "place")
     first = places.groupBy("code").agg(
         F.min(seen).alias("head"), F.min("low").alias("least"), F.max("high").alias("most"), F.count(F.lit(1)).alias("m")
     )
@@ -324,16 +326,19 @@ def _spread(rows: DataFrame, members: DataFrame) -> DataFrame:
     return first.join(far, "rep").select("rep", *[F.col(f"first_{m}").alias(m) for m in MARKS], "radius")
 
 
-def _rest(places: DataFrame, marks: DataFrame, percent: int, chunk: int) -> DataFrame:
-    """(rep, head): all pairs of groups that meet, fit, and are not one component already."""
+def _rest(places: DataFrame, marks: DataFrame, percent: int, chunk: int, turn: int | None = None) -> DataFrame:
+    """(rep, head): all pairs of groups that meet, fit, and are not one component already.
+
+    With a ``turn``, only each group's nearest by mark at each n-gram, in a chunk that is drawn anew each turn.
+    """
+    every = turn is None
     spans = places.groupBy("code").agg(F.min("low").alias("least"), F.max("high").alias("most"), F.count(F.lit(1)).alias("m"))
     spans = spans.filter("least < most AND m > 1").select("code", F.ceil(F.col("m") / F.lit(chunk)).cast("bigint").alias("parts"))
     rows = join_spread(places, stored(spans, "spans"), ["code"]).join(marks, "rep")
-    own = F.pmod(F.xxhash64("rep"), F.col("parts"))
+    own = F.pmod(F.xxhash64("rep", F.lit(turn or 0)), F.col("parts"))
     # A chunk meets every other one: each pair of chunks is a task's work of its own.
-    pair = F.transform(
-        F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1), lambda k: F.struct(F.least(own, k).alias("a"), F.greatest(own, k).alias("b"))
-    )
+    others = F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1) if every else F.array(own)
+    pair = F.transform(others, lambda k: F.struct(F.least(own, k).alias("a"), F.greatest(own, k).alias("b")))
     dealt = rows.select("code", F.explode(pair).alias("pair"), own.alias("own"), "rep", "n", "place", "low", "high", *MARKS, "radius")
     dealt = dealt.select("code", "pair.a", "pair.b", "own", "rep", "n", "place", "low", "high", *MARKS, "radius")
     dealt = dealt.repartition("code", "a", "b").sortWithinPartitions("code", "a", "b", "n", "rep")
@@ -348,6 +353,7 @@ def _rest(places: DataFrame, marks: DataFrame, percent: int, chunk: int) -> Data
             last = np.concatenate((np.flatnonzero(change) + 1, [len(code)]))
             end = last[np.searchsorted(last, np.arange(len(code)), side="right")]
             first, us, vs, size = np.arange(len(code)), [], [], 0
+            least, nearest = np.full(len(code), 64 * len(mark) + 1), np.full(len(code), -1)
             # Every row with the one ``step`` later, while they stand at the same n-gram and the sizes still fit.
             for step in range(1, len(code)):
                 first = first[first + step < end[first]]
@@ -359,15 +365,24 @@ def _rest(places: DataFrame, marks: DataFrame, percent: int, chunk: int) -> Data
                 ok &= (low[first] != high[first]) | (low[second] != high[second]) | (low[first] != low[second])
                 ok &= (a[first] == b[first]) | (own[first] != own[second])
                 u, v = first[ok], second[ok]
-                bits = sum(np.bitwise_count(m[u] ^ m[v]).astype(np.int64) for m in mark) - radius[u] - radius[v]
+                bits = sum(np.bitwise_count(m[u] ^ m[v]).astype(np.int64) for m in mark)
                 # Linked sets differ in no more n-grams than this.
-                near = (100 + percent) * bits <= (100 - percent) * (n[u] + n[v])
-                us.append(rep[u[near]])
-                vs.append(rep[v[near]])
+                near = (100 + percent) * (bits - radius[u] - radius[v]) <= (100 - percent) * (n[u] + n[v])
+                u, v, bits = u[near], v[near], bits[near]
+                if not every:
+                    for one, other in ((u, v), (v, u)):
+                        closer = bits < least[one]
+                        least[one[closer]], nearest[one[closer]] = bits[closer], other[closer]
+                    continue
+                us.append(rep[u])
+                vs.append(rep[v])
                 size += len(us[-1])
                 if size > 500_000:
                     yield found(us, vs)
                     us, vs, size = [], [], 0
+            if not every:
+                some = nearest >= 0
+                us, vs = [rep[some]], [rep[nearest[some]]]
             yield found(us, vs)
 
         def found(us: list, vs: list) -> pa.RecordBatch:
@@ -459,26 +474,30 @@ def similar_sets(
         F.col("set").alias("rep"), F.col("n").cast("bigint").alias("n"), F.explode(F.arrays_zip("code", "place")).alias("at")
     ).select("rep", "n", "at.code", F.col("at.place").cast("bigint").alias("place"))
     spots = stored(spots, "spots")
-    shared = spots.groupBy("code").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("code")
-    shared = stored(shared, "shared")
+    shared = spots.groupBy("code").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    shared = stored(shared.select("code", (F.col("m") > FEW).alias("crowded")), "shared")
     spots = stored(join_spread(spots, shared, ["code"]), "spots")
 
-    # Members of one group with its first, and groups with heads where many meet.
+    # Members of one group with its first, groups with heads where many meet, and there with the nearest.
     inside = members.filter("rep <> set")
     links: list[DataFrame] = []
+    marks = stored(_spread(rows, members), "marks")
     pairs = inside.select(F.col("rep").alias("u"), F.col("set").alias("v"))
+    many = 0  # links found in a round
     for turn in range(ROUNDS):
-        labelled, _, places = _labelled(members, spots, links)
-        pairs = stored(_ordered(pairs.unionByName(_apart(_stars(places, percent, turn), labelled, whole_head=False))), "pairs")
+        labelled, _, places = _labelled(members, spots.filter("crowded"), links)
+        some = _rest(places, marks, percent, chunk, turn) if turn else _stars(places, percent)
+        pairs = stored(_ordered(pairs.unionByName(_apart(some, labelled, whole_head=False))), "pairs")
         if pairs.isEmpty():
             break
         found = _linked(pairs, _lists(docs, rows, words, _ends(pairs)), percent)
         links.append(found)
-        if 8 * found.count() <= pairs.count():
+        before, many = many, found.count()
+        if 8 * many <= pairs.count() or 4 * many <= before:
             break
         pairs = pairs.limit(0)
     labelled, spans, places = _labelled(members, spots, links)
-    pairs = _rest(places, _spread(rows, members), percent, chunk)
+    pairs = _rest(places, marks, percent, chunk)
     # Members of one group that are still apart.
     torn = spans.filter("low < high").select("rep", F.col("rep").alias("head"))
     pairs = stored(_ordered(_apart(pairs.unionByName(torn), labelled, whole_head=True)), "candidates")

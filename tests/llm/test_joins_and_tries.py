@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -114,6 +115,28 @@ def test_ngram_join_pairs_few_texts_that_share_much_but_are_not_linked(spark, mo
     assert made[0].count() < 200
 
 
+def test_ngram_join_pairs_few_texts_of_a_family_that_no_head_reaches(spark, monkeypatch):
+    """Copies with two or three words changed: few are linked to any one of them, most are linked by steps."""
+    rng, made, rest = random.Random(9), [], ngramjoin._rest
+    base = [f"b{rng.randrange(9000)}" for _ in range(150)]
+    rows = []
+    for k in range(400):
+        words = list(base)
+        for place in rng.sample(range(100, 130), rng.choice([2, 3])):
+            words[place] = f"new{rng.randrange(2)}"
+        rows.append((k, " ".join(words)))
+
+    def counted(*given):
+        made.append(rest(*given).localCheckpoint())
+        return made[-1]
+
+    monkeypatch.setattr(ngramjoin, "_rest", counted)
+    got = joined(spark, rows, chunk=64)
+    assert got == brute_components(rows)
+    assert max(Counter(c for _, _, c in got).values()) > 200
+    assert sum(pairs.count() for pairs in made) < 4 * len(rows)
+
+
 def test_ngram_join_finds_lists_of_sets_with_and_without_ids(spark):
     rng = random.Random(6)
     texts = [" ".join(f"t{rng.randrange(9000)}" for _ in range(40)) for _ in range(300)]
