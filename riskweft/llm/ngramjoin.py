@@ -39,6 +39,7 @@ HEADS = 4  # heads that a group is compared with in a round
 ROUNDS = 4  # the first with heads, the others with the nearest
 MOST_OFTEN = 1 << 21  # n-grams that may move, the most frequent first: 16 MB in a task
 FILTER_BITS = 27  # most bits of a name filter, as a power of two: 16 MB
+SLICE = 1 << 19  # bytes of text that a task cuts into n-grams at once
 CHUNK = 2_048  # groups of one n-gram that a task pairs at once
 VERIFY = 256  # sets compared with one other in a task
 MARKS = ["m0", "m1", "m2", "m3"]  # 256 bits of a set
@@ -92,7 +93,7 @@ def _windows(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE):
                 code, bounds = ngram_sets(batch.column(1), words)
                 n = np.diff(bounds).astype(np.int64)
                 shown = np.where(n > 0, np.minimum(n, _window(n, percent)), 0)
@@ -134,7 +135,7 @@ def _lists(docs: DataFrame, rows: DataFrame, words: int, wanted: DataFrame) -> D
             null = every.column(0).is_null().to_numpy(zero_copy_only=False)
             id = every.column(0).fill_null(0).to_numpy()
             whole = every.filter(pa.array(np.where(null, nameless, _may_hold(some, id))))
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE):
                 code, bounds = ngram_sets(batch.column(1), words)
                 names, size = set_names(code, bounds), np.diff(bounds)
                 rows = []
