@@ -88,7 +88,8 @@ def rolling(
         *keys, "__at", (tick - width).alias("__tick"), (F.col("__block") - span).alias("__block"), F.lit(1).alias("__asks"), *nothing
     )
     answers = times.select(*keys, "__at", "__tick", "__block", F.lit(0).alias("__asks"), *parts).unionByName(asked)
-    later = Window.partitionBy(*keys, "__block").orderBy("__tick").rangeBetween(0, Window.unboundedFollowing)
+    # Later rows are earlier ones of the opposite order: a frame that ends with its partition is summed anew for every row.
+    later = Window.partitionBy(*keys, "__block").orderBy(F.desc("__tick")).rangeBetween(Window.unboundedPreceding, 0)
     tails = answers.select(
         *keys, "__at", "__asks", *[merge(name).over(later).alias(f"tail_{name}") for name, (_, merge) in parts.items()]
     ).filter("__asks = 1").drop("__asks")

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -145,6 +146,19 @@ def test_rolling_over_timestamps_equals_a_frame(spark):
     assert rows_of(got) == rows_of(want)
 
 
+def test_rolling_adds_each_row_to_a_frame_once(spark):
+    # Frames that only grow at their end; one that only loses rows at its start is summed anew for every row.
+    df = spark.range(2_000).select((F.col("id") % 900).alias("t"), (F.col("id") % 7 * 1.5).alias("v"))
+    got = rolling.rolling(df, "t", 300, {"s": ("sum", "v"), "lo": ("min", "v")}, blocks=2)
+    frames = re.findall(r"specifiedwindowframe\((\w+), ([^,]+), ([^)]+)\)", plan(got))
+    assert frames and not [f for f in frames if "unboundedfollowing" in f[2]]
+    df.createOrReplaceTempView("growing_rows")
+    want = spark.sql(
+        "SELECT DISTINCT t, sum(v) OVER w AS s, min(v) OVER w AS lo FROM growing_rows WINDOW w AS (ORDER BY t RANGE BETWEEN 300 PRECEDING AND CURRENT ROW)"
+    )
+    assert rows_of(got) == rows_of(want)
+
+
 def test_neighbours_and_tiles(spark):
     rows = [(k, t, i) for i, k, t in made(6, 230)]
     df = spark.createDataFrame(rows, "k int, t int, i int")
