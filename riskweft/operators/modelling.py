@@ -7,10 +7,11 @@ from dataclasses import dataclass, field
 
 from pyspark.ml.base import Model
 from pyspark.ml.feature import StringIndexerModel, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskweft.functions.tables import sent_if_small
+from riskweft.operators import trees as ensembles
 from riskweft.operators.features import vehicle_age
 from riskweft.operators.ordering import with_position
 from riskweft.operators.profile import value_counts_by_column
@@ -234,6 +235,7 @@ class Workbench:
     train: DataFrame
     test: DataFrame
     models: dict[str, Model] = field(default_factory=dict)
+    blocks: dict[int, ensembles.Binned] = field(default_factory=dict)
 
     # --- fitting ---
 
@@ -241,22 +243,18 @@ class Workbench:
         estimator = LinearRegression(
             featuresCol=FEATURES, labelCol=LABEL, solver="normal", regParam=0.0
         )
-        return self._fit("Linear Regression", estimator)
+        return self._keep("Linear Regression", estimator.fit(_gathered(self.train)[0]))
 
     def train_random_forest(
         self, n_estimators: int = 100, max_depth: int | None = None, seed: int = 42
     ) -> DataFrame:
         if max_depth is not None and max_depth > DEEPEST:
             raise ValueError(f"max_depth goes up to {DEEPEST}")
-        estimator = RandomForestRegressor(
-            featuresCol=FEATURES,
-            labelCol=LABEL,
-            numTrees=n_estimators,
-            maxDepth=max_depth or DEEPEST,
-            featureSubsetStrategy="all",
-            seed=seed,
-        )
-        return self._fit("Random Forest", estimator)
+        depth = max_depth or DEEPEST
+        data = self._binned(seed)
+        made = ensembles.fit_forest(data, n_estimators, depth, seed)
+        model = ensembles.TreesModel(data.cuts, made, [1.0] * len(made), FEATURES, True, depth)
+        return self._keep("Random Forest", model)
 
     def train_boosted_trees(
         self,
@@ -265,18 +263,21 @@ class Workbench:
         learning_rate: float = 0.1,
         seed: int = 42,
     ) -> DataFrame:
-        estimator = GBTRegressor(
-            featuresCol=FEATURES,
-            labelCol=LABEL,
-            maxIter=n_estimators,
-            maxDepth=max_depth,
-            stepSize=learning_rate,
-            seed=seed,
-        )
-        return self._fit("Boosted Trees", estimator)
-
-    def _fit(self, name: str, estimator) -> DataFrame:
-        self.models[name] = estimator.fit(_gathered(self.train))
+        data = self._binned(seed)
+        made = ensembles.fit_boosted(data, n_estimators, max_depth, learning_rate)
+        weights, found = [w for w, _ in made], [t for _, t in made]
+        model = ensembles.TreesModel(data.cuts, found, weights, FEATURES, False, max_depth)
+        return self._keep("Boosted Trees", model)
+
+    def _binned(self, seed: int) -> ensembles.Binned:
+        """The training rows in blocks, made once for all tree models of a seed."""
+        if seed not in self.blocks:
+            rows, total, tasks = _gathered(self.train)
+            self.blocks[seed] = ensembles.binned(rows, FEATURES, LABEL, total, tasks, seed)
+        return self.blocks[seed]
+
+    def _keep(self, name: str, model: Model) -> DataFrame:
+        self.models[name] = model
         return self.evaluate(self.train, [name])
 
     # --- using the models ---
@@ -347,14 +348,15 @@ class Workbench:
         )
 
 
-def _gathered(rows: DataFrame) -> DataFrame:
-    """Cached rows in no more partitions than tasks that run at once, or than their number asks for.
+def _gathered(rows: DataFrame) -> tuple[DataFrame, int, int]:
+    """Rows in no more partitions than tasks that run at once, or than their number asks for; that number, the partitions.
 
     A fit makes hundreds of passes, and in each one every partition sends statistics of all nodes at
     work, whatever its number of rows.
     """
-    at_once = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.coalesce(max(at_once, -(-rows.count() // ROWS_A_TASK)))
+    at_once, total = rows.sparkSession.sparkContext.defaultParallelism, rows.count()
+    parts = max(at_once, -(-total // ROWS_A_TASK))
+    return rows.coalesce(parts), total, parts
 
 
 def _predict(rows: DataFrame, model: Model, output: str) -> DataFrame:

@@ -22,15 +22,18 @@ import pandas as pd
 from pyspark.ml.base import Model
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from riskweft.operators.trees import TreesModel
 from riskweft.session import use_checkpoints
 
 MOST_PAIRS = 1_000_000  # explained times background rows
 
 
 def tree_nodes(spark: SparkSession, model: Model) -> DataFrame:
-    """(tree, weight, id, prediction, left, right, feature, threshold) of a Spark ML regression ensemble."""
+    """(tree, weight, id, prediction, left, right, feature, threshold) of an ensemble of ours or of Spark ML."""
     if not hasattr(model, "treeWeights"):
         raise ValueError("Tree Shapley values need a forest or boosted trees")
+    if isinstance(model, TreesModel):
+        return _own_nodes(spark, model)
     use_checkpoints(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/trees-{uuid.uuid4().hex}"
     model.write().save(path)
@@ -47,6 +50,24 @@ def tree_nodes(spark: SparkSession, model: Model) -> DataFrame:
     )
 
 
+def _own_nodes(spark: SparkSession, model: TreesModel) -> DataFrame:
+    sent = spark.sparkContext.broadcast((model.cuts, [t.parts() for t in model.trees], model.shares))
+
+    def rows(batches):
+        cuts, trees, shares = sent.value
+        for t in (t for batch in batches for t in batch["id"]):
+            feature, code, left, value, _ = trees[t]
+            threshold = np.array([cuts[f][c] if f >= 0 else 0.0 for f, c in zip(feature, code)])
+            inner = feature >= 0
+            yield pd.DataFrame({
+                "tree": t, "weight": shares[t], "id": np.arange(len(feature)), "prediction": value, "left": np.where(inner, left, -1),
+                "right": np.where(inner, left + 1, -1), "feature": feature.astype(int), "threshold": threshold,
+            })
+
+    schema = "tree int, weight double, id int, prediction double, left int, right int, feature int, threshold double"
+    return spark.range(len(model.trees)).mapInPandas(rows, schema)
+
+
 def _paths(nodes: pd.DataFrame):
     """Leaf values, and per leaf its features with the bounds (low, high] that lead there."""
     table = nodes.set_index("id")
