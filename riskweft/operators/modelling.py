@@ -376,7 +376,8 @@ def prepare(
     """Impute, encode, scale and split.
 
     ``fit_on="all"`` takes fill values, codes and scales from all rows, ``"train"``
-    from the training rows only.  The training rows are cached for the fits.
+    from the training rows only.  Every fit reads the training rows once or twice: cache ``df`` if it is
+    made by joins, not what is made of it.
     """
     if fit_on not in ("all", "train"):
         raise ValueError("fit_on must be 'all' or 'train'")
@@ -391,7 +392,7 @@ def prepare(
         )
         return steps.transform(labelled, [LABEL])
 
-    return Workbench(steps, ready(train).persist(), ready(test))
+    return Workbench(steps, ready(train), ready(test))
 
 
 def metrics(label: Column, prediction: Column) -> Column:

@@ -228,9 +228,11 @@ def boosted_trees_importance(spark, sf):
 
 @query("predicted_risk_bands")
 def predicted_risk_bands(spark, sf):
-    bench = _bench(spark, sf)
+    # Joined once: the fit, the cuts and the result read the same rows.
+    rows = policy_view(spark, sf, [*KEYS, *INPUT]).persist()
+    bench = L.prepare(rows.select(*INPUT))
     bench.train_linear_regression()
-    scored = bench.predict(policy_view(spark, sf, [*KEYS, *INPUT]), "Linear Regression")
+    scored = bench.predict(rows, "Linear Regression")
     return rules.risk_bands(scored).select(*KEYS, "prediction", "risk_band")
 
 

@@ -148,6 +148,26 @@ def test_importance_and_prediction(bench):
         empty.evaluate()
 
 
+def test_risk_bands_join_the_policies_once(spark, policies, monkeypatch):
+    from riskweft.operators import rules
+    from riskweft.plans import models
+
+    made = policies.withColumn("CalculatedPremiumPerTerm", F.pmod(F.xxhash64("LineNo"), F.lit(5000)).cast("double")).select(
+        "*", F.col("LineNo").alias("LineNumber"), F.lit(1).alias("PartKey"), F.lit("7").alias("PostalCode")
+    )
+    read = []
+    monkeypatch.setattr(models, "policy_view", lambda _, __, columns: read.append(columns) or made.select(*columns))
+    got = models.predicted_risk_bands(spark, "")
+    assert len(read) == 1
+    b = L.prepare(made.select(*models.INPUT))
+    assert not b.train.is_cached
+    b.train_linear_regression()
+    want = rules.risk_bands(b.predict(made, "Linear Regression")).select(*got.columns)
+    key = lambda r: r.LineNumber
+    pairs = list(zip(sorted(got.collect(), key=key), sorted(want.collect(), key=key), strict=True))
+    assert len(pairs) == 1000 and all(x.risk_band == y.risk_band and x.prediction == pytest.approx(y.prediction) for x, y in pairs)
+
+
 # --- Shapley values ------------------------------------------------------------------------
 
 
