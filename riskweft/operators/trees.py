@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from riskweft.session import use_checkpoints
 
-BINS = 32
+BINS = 32  # bins that thresholds are meant for
 SAMPLE = 10_000  # rows that thresholds are taken from, as in Spark's trees
 BLOCK = 1 << 14  # rows of a block
 ROWS_A_NODE = 4_000_000  # rows of a bag that one task grows a tree or the rest of one from
@@ -87,6 +87,11 @@ class Binned:
     cuts: list[np.ndarray]
     rows: int
 
+    @property
+    def bins(self) -> int:
+        """Codes of the feature that has most; a sample larger than expected has more than ``BINS``."""
+        return 1 + max(map(len, self.cuts))
+
 
 def binned(rows: DataFrame, features: str, label: str, total: int, tasks: int, seed: int) -> Binned:
     """The rows as blocks in the checkpoint folder, read by ``tasks`` tasks."""
@@ -233,7 +238,7 @@ class Splits:
         return (self.feature >= 0) & (self.gain > NOISE * np.abs(self.score))
 
 
-def grown(codes: np.ndarray, weight: np.ndarray, label: np.ndarray, depth: int) -> Tree:
+def grown(codes: np.ndarray, weight: np.ndarray, label: np.ndarray, depth: int, bins: int) -> Tree:
     """A tree of rows that one task holds."""
     sums = weight * label
     tree = Tree(weight.sum(), sums.sum())
@@ -242,18 +247,18 @@ def grown(codes: np.ndarray, weight: np.ndarray, label: np.ndarray, depth: int)
         k = len(open_nodes)
         if not k:
             break
-        best, base = Splits(k), slot * BINS
+        best, base = Splits(k), slot * bins
         for f, code in enumerate(codes):
             at = base + code
             best.offer(
-                f, np.bincount(at, weight, k * BINS).reshape(k, BINS), np.bincount(at, sums, k * BINS).reshape(k, BINS)
+                f, np.bincount(at, weight, k * bins).reshape(k, bins), np.bincount(at, sums, k * bins).reshape(k, bins)
             )
         on = best.worth()
         place = np.where(on, 2 * (np.cumsum(on) - 1), -1)
         right = codes.ravel()[best.feature.astype(np.int64)[slot] * codes.shape[1] + np.arange(codes.shape[1])] > best.code[slot]
         slot = place[slot] + right
         if not on.all():
-            stay = on[base // BINS]
+            stay = on[base // bins]
             codes, weight, sums, slot = codes[:, stay], weight[stay], sums[stay], slot[stay]
         open_nodes = tree.split(open_nodes, best)
     return tree
@@ -274,22 +279,22 @@ def _block(block, width: int) -> tuple[int, np.ndarray, np.ndarray]:
     return number, np.frombuffer(codes, np.uint8).reshape(width, -1), np.frombuffer(labels, float)
 
 
-def _histograms(codes: np.ndarray, slot: np.ndarray, weight: np.ndarray | None, sums: np.ndarray, k: int) -> np.ndarray:
-    """(2, features, k * BINS): rows and sums; slot ``k`` holds rows of no interest."""
-    out = np.empty((2, len(codes), k * BINS))
-    base = slot.astype(np.int64) * BINS
+def _histograms(codes: np.ndarray, slot: np.ndarray, weight: np.ndarray | None, sums: np.ndarray, k: int, bins: int) -> np.ndarray:
+    """(2, features, k * bins): rows and sums; slot ``k`` holds rows of no interest."""
+    out = np.empty((2, len(codes), k * bins))
+    base = slot.astype(np.int64) * bins
     for f, code in enumerate(codes):
         at = base + code
-        out[0, f] = np.bincount(at, weight, (k + 1) * BINS)[: k * BINS]
-        out[1, f] = np.bincount(at, sums, (k + 1) * BINS)[: k * BINS]
+        out[0, f] = np.bincount(at, weight, (k + 1) * bins)[: k * bins]
+        out[1, f] = np.bincount(at, sums, (k + 1) * bins)[: k * bins]
     return out
 
 
-def _best(found: np.ndarray) -> Splits:
-    k = found.shape[2] // BINS
+def _best(found: np.ndarray, bins: int) -> Splits:
+    k = found.shape[2] // bins
     best = Splits(k)
     for f in range(found.shape[1]):
-        best.offer(f, found[0, f].reshape(k, BINS), found[1, f].reshape(k, BINS))
+        best.offer(f, found[0, f].reshape(k, bins), found[1, f].reshape(k, bins))
     return best
 
 
@@ -302,7 +307,7 @@ def _slots(tree: Tree, open_nodes: np.ndarray) -> np.ndarray:
 
 def fit_forest(data: Binned, trees: int, depth: int, seed: int) -> list[Tree]:
     """Trees over bags of the rows, each bag drawn with replacement."""
-    context, width, alone = data.blocks.context, len(data.cuts), trees == 1
+    context, width, bins, alone = data.blocks.context, len(data.cuts), data.bins, trees == 1
     made = [Tree() for _ in range(trees)]
     # Open nodes (node, rows, depth) that are split by added histograms, and those that a task grows.
     large = {t: np.zeros(1, np.int32) for t in range(trees)} if data.rows > ROWS_A_NODE and depth else {}
@@ -316,12 +321,12 @@ def fit_forest(data: Binned, trees: int, depth: int, seed: int) -> list[Tree]:
             for number, codes, label in (_block(b, width) for b in blocks):
                 for t, (tree, k, slots) in sent.value.items():
                     weight = _bag(seed, t, number, len(label), alone)
-                    part = _histograms(codes, slots[Tree.of(tree).down(codes, level)], weight, weight * label, k)
+                    part = _histograms(codes, slots[Tree.of(tree).down(codes, level)], weight, weight * label, k, bins)
                     held[t] = held[t] + part if t in held else part
             return iter(held.items())
 
         added = data.blocks.mapPartitions(add).reduceByKey(lambda a, b: a + b, min(trees, data.blocks.getNumPartitions()))
-        for t, found in added.mapValues(lambda h: vars(_best(h))).collect():
+        for t, found in added.mapValues(lambda h: vars(_best(h, bins))).collect():
             tree, nodes, best = made[t], large.pop(t), Splits.of(found)
             if not level:
                 tree.value[0] = best.s[0] / best.n[0] if best.n[0] else 0.0
@@ -342,7 +347,7 @@ def _grow_rest(data: Binned, made: list[Tree], small: list[tuple[int, int, int]]
     """Grow the open nodes (tree, node, levels left), each from its rows in one task."""
     if not small:
         return
-    context, width = data.blocks.context, len(data.cuts)
+    context, width, bins = data.blocks.context, len(data.cuts), data.bins
     at: dict[int, list[int]] = {}
     for place, (t, node, _) in enumerate(small):
         at.setdefault(t, []).append(place)
@@ -370,7 +375,7 @@ def _grow_rest(data: Binned, made: list[Tree], small: list[tuple[int, int, int]]
             weight = np.concatenate([np.frombuffer(w, np.uint16) for _, _, w, _ in parts]).astype(float)
             label = np.concatenate([np.frombuffer(y, float) for _, _, _, y in parts])
             del parts
-            yield place, grown(codes, weight, label, left[place]).parts()
+            yield place, grown(codes, weight, label, left[place], bins).parts()
 
     dealt = data.blocks.flatMap(deal).partitionBy(len(small), lambda place: place)
     for place, tree in dealt.mapPartitions(grow).collect():
@@ -383,7 +388,7 @@ def _grow_rest(data: Binned, made: list[Tree], small: list[tuple[int, int, int]]
 
 def fit_boosted(data: Binned, rounds: int, depth: int, rate: float) -> list[tuple[float, Tree]]:
     """(weight, tree): the first tree fits the labels, each later one twice what is left of them."""
-    context, width = data.blocks.context, len(data.cuts)
+    context, width, bins = data.blocks.context, len(data.cuts), data.bins
     state, stale, made = data.blocks, None, []
     for turn in range(rounds):
         tree, nodes = Tree(), np.zeros(1, np.int32)
@@ -393,12 +398,12 @@ def fit_boosted(data: Binned, rounds: int, depth: int, rate: float) -> list[tupl
             def add(blocks, sent=sent, level=level):
                 tree, k, slots = sent.value
                 tree = Tree.of(tree)
-                total = np.zeros((2, width, k * BINS))
+                total = np.zeros((2, width, k * bins))
                 for _, codes, label in (_block(b, width) for b in blocks):
-                    total += _histograms(codes, slots[tree.down(codes, level)], None, label, k)
+                    total += _histograms(codes, slots[tree.down(codes, level)], None, label, k, bins)
                 yield total
 
-            best = _best(sum(state.mapPartitions(add).collect()))
+            best = _best(sum(state.mapPartitions(add).collect()), bins)
             sent.destroy()
             if stale is not None:
                 stale.unpersist()

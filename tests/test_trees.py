@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
 from pyspark.sql import functions as F
 
@@ -46,6 +47,22 @@ def test_boosted_trees_are_those_of_spark(spark, n):
         assert list(own.featureImportances) == pytest.approx(list(want.featureImportances), abs=1e-9)
 
 
+def test_more_thresholds_than_meant(spark, monkeypatch):
+    # A sample larger than expected gives more than 31.
+    assert len(trees._cuts(np.arange(1.0, 10_700.0), 10_000.0, 31)) > 31
+    cuts = np.linspace(-29, 69, 40)
+    monkeypatch.setattr(trees, "_cuts", lambda *_: cuts)
+    rows = frame(spark, 2_000).withColumn("label", F.when(F.element_at(vector_to_array("features"), 2) > float(cuts[-1]), 1.0).otherwise(0.0))
+    for most in (10**9, 100):
+        monkeypatch.setattr(trees, "ROWS_A_NODE", most)
+        b = bench(rows)
+        b.train_random_forest(n_estimators=1, max_depth=3)
+        b.train_boosted_trees(n_estimators=2, max_depth=3)
+        for model in b.models.values():
+            assert model.trees[0].feature[0] == 1 and model.trees[0].code[0] == 39
+            assert predictions(model, rows) == pytest.approx([r.label for r in rows.collect()])
+
+
 def test_one_tree_is_that_of_spark(spark):
     rows = frame(spark, 5_000)
     b = bench(rows)
