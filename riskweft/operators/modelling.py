@@ -243,7 +243,7 @@ class Workbench:
         estimator = LinearRegression(
             featuresCol=FEATURES, labelCol=LABEL, solver="normal", regParam=0.0
         )
-        return self._keep("Linear Regression", estimator.fit(_gathered(self.train)[0]))
+        return self._fit("Linear Regression", estimator)
 
     def train_random_forest(
         self, n_estimators: int = 100, max_depth: int | None = None, seed: int = 42
@@ -269,6 +269,9 @@ class Workbench:
         model = ensembles.TreesModel(data.cuts, found, weights, FEATURES, False, max_depth)
         return self._keep("Boosted Trees", model)
 
+    def _fit(self, name: str, estimator) -> DataFrame:
+        return self._keep(name, estimator.fit(_gathered(self.train)[0]))
+
     def _binned(self, seed: int) -> ensembles.Binned:
         """The training rows in blocks, made once for all tree models of a seed."""
         if seed not in self.blocks:
